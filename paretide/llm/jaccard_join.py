@@ -1,9 +1,10 @@
 """Operator 8, n-gram Jaccard join of documents: five-word shingles, similarity of 0.8 or more.
 
 Method: rare-first prefix filtering. Documents with equal sets are one class, decided by a 128-bit hash. A first
-pass over all classes finds those that share a prefix shingle with another class; there shingles are ordered by a
-fixed-size table of bucketed counts over the whole corpus. Among these candidates the shingles get exact counts
-and the exact rare-first order, in which the length and positional filters act. Pairs are joined on prefix
+pass over all classes takes a somewhat longer prefix of each, in an order by bucketed counts over the whole corpus
+(a table of fixed size), and keeps the classes that share as many of its shingles with others as a partner must
+share. Among these candidates the shingles get exact counts and the exact rare-first order, in which the length and
+positional filters act. Pairs are joined on prefix
 shingles, made distinct, checked once by a suffix filter and an exact intersection, and closed to components.
 
 Pairs within a component need no check, so a first round joins each member of a shingle's group only to its two
@@ -51,8 +52,14 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + r, mix(window_hash(h[a:b], b - a) + U(b - a))
 
 
-def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
-    return n - -(-percent * n // 100) + 1
+def first_look(n: int, percent: int) -> tuple[int, int]:
+    """Tokens of a set of ``n`` that the first pass looks at, and how many of them a partner must share.
+
+    A partner lacks at most n - ceil(percent * n / 100) tokens, so among any more than that it shares the rest.
+    """
+    lacking = n - -(-percent * n // 100)
+    look = min(n, lacking + 1 + n // 10)
+    return look, look - lacking
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +97,16 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterat
     table = counts.value
     for batch in batches:
         ids = batch.column("k").to_numpy()
-        h, rows, c1 = [], [], []
+        h, rows, c1, need = [], [], [], []
         for r, s in _sets(batch):
-            m = prefix_length(len(s), percent)
+            m, least = first_look(len(s), percent)
             rare = s[np.lexsort((s, table[(s >> U(46)).astype(np.int64)]))[:m]]
+            need.append(np.full(m, least, dtype=np.int32))
             h.append(rare)
             rows.append(np.full(m, ids[r]))
             c1.append(np.full(m, np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)[0]))
         if h:
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(h))), pa.array(np.concatenate(rows)), pa.array(np.concatenate(c1))], names=["h", "k", "c1"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(h))), pa.array(np.concatenate(rows)), pa.array(np.concatenate(c1)), pa.array(np.concatenate(need))], names=["h", "k", "c1", "need"])
 
 
 def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,16 +162,17 @@ def class_table(docs: DataFrame, percent: int = SIMILARITY) -> tuple[DataFrame,
     shared_counts = spark.sparkContext.broadcast(counts.ravel())
 
     reps = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min("k").alias("cls"), F.max("n").alias("n"))
-    entry = key.mapInArrow(partial(_prefixes, counts=shared_counts, percent=percent), "h long, k long, c1 long")
-    common = entry.groupBy("h").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).filter("x <> y").select("h")
-    near = entry.select("h", "k").join(common, "h").select("k").distinct()
+    entry = key.mapInArrow(partial(_prefixes, counts=shared_counts, percent=percent), "h long, k long, c1 long, need int")
+    holders = Window.partitionBy("h")
+    near = entry.select("k", "need", F.min("c1").over(holders).alias("x"), F.max("c1").over(holders).alias("y")).filter("x <> y")
+    near = near.groupBy("k", "need").count().filter("count >= need").select("k").distinct()
     candidates = written(near.join(reps.select(F.col("cls").alias("k")), "k", "left_semi").select("k"), "candidates")
 
     sets = written(only_keys(key, candidates, "k").dropDuplicates(["k"]).mapInArrow(_token_sets, "k long, n long, tokens array<long>"), "sets")
     token = sets.select("k", "n", F.explode("tokens").alias("h"))
-    often = token.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("k")
-    ranked = token.join(often, "h").select("k", "n", "h", (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")) - 1).alias("p"))
+    often = token.withColumn("df", F.count("*").over(holders)).filter("df > 1")
+    ranked = often.select("k", "n", "h", (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")) - 1).alias("p"))
     prefixes = written(ranked.filter(F.col("p") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "prefixes")
 
     group = Window.partitionBy("h").orderBy("n", "k")
