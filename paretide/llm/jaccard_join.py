@@ -7,8 +7,8 @@ share. Among these candidates the shingles get exact counts and the exact rare-f
 positional filters act. Pairs are joined on prefix
 shingles, made distinct, checked once by a suffix filter and an exact intersection, and closed to components.
 
-Pairs within a component need no check, so a first round joins each member of a shingle's group only to its two
-neighbours in size and to the group's smallest member; a second round takes every pair between different
+Pairs within a component need no check, so a first round joins each document to at most three of those that stand
+next to it in size, or first, in the groups of its shingles; a second round takes every pair between different
 components that passes the filters, so no link between components is lost.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer than five
@@ -182,7 +182,9 @@ def class_table(docs: DataFrame, percent: int = SIMILARITY) -> tuple[DataFrame,
         near3 = near3.withColumn(name, partner.over(group))
     near3 = near3.select(F.col("k").alias("ka"), F.col("n").alias("na"), F.col("p").alias("pa"), F.explode(F.array_distinct(F.array("o1", "o2", "o3"))).alias("o"))
     near3 = near3.filter("o is not null").select("ka", "na", "pa", F.col("o.k").alias("kb"), F.col("o.n").alias("nb"), F.col("o.p").alias("pb")).filter("ka <> kb")
-    pairs = near3.filter(_may_link(percent)).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    # three partners a document are enough here: the second round misses nothing
+    pairs = near3.filter(_may_link(percent)).groupBy("ka").agg(F.array_distinct(F.array(F.min("kb"), F.max("kb"), F.min_by("kb", F.xxhash64("ka", "kb")))).alias("kb"))
+    pairs = pairs.select("ka", F.explode("kb").alias("kb")).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
     links = written(_verified(pairs, sets, percent), "links")
     comps = components(links)
 
