@@ -11,6 +11,8 @@ from .kmer import ALPHABET, lattice, reverse_complement, windows
 
 #: Pseudo-count of each letter and background chance of each (a GC content of 0.5).
 PSEUDO, BACKGROUND = 1.0, 0.25
+#: Longest motif whose k-mers are scored once and sent to all tasks (65,536 rows) instead of scoring every window.
+LATTICE = 8
 
 
 def pssm(counts: DataFrame, pseudo: float = PSEUDO, background: float = BACKGROUND) -> DataFrame:
@@ -78,7 +80,12 @@ def score(kmer: Column, w: list[dict[str, float]], strand: str = "forward") -> C
 
 def hits(sequences: DataFrame, seq: str, w: list[dict[str, float]], threshold: float, strand: str = "double") -> DataFrame:
     """Windows that score above ``threshold``: the other columns, start, stop (from 1, inclusive), score, matched_sequence."""
-    scored = windows(sequences, seq, len(w)).withColumn("score", score(F.col("kmer"), w, strand)).filter(F.col("score") > threshold)
+    m, each = len(w), windows(sequences, seq, len(w))
+    if m <= LATTICE:  # at most 4 ** LATTICE k-mers: score each once and join
+        good = lattice(sequences.sparkSession, m).select("kmer", score(F.col("kmer"), w, strand).alias("score")).filter(F.col("score") > threshold)
+        scored = each.join(F.broadcast(good), "kmer").select(*each.columns, "score")
+    else:
+        scored = each.withColumn("score", score(F.col("kmer"), w, strand)).filter(F.col("score") > threshold)
     return scored.withColumnRenamed("pos", "start").withColumn("stop", F.col("start") + len(w) - 1).withColumnRenamed("kmer", "matched_sequence")
 
 

@@ -11,14 +11,13 @@ HITS = "motif_id string, sequence_name string, start long, stop long, strand str
 
 def sequences(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(name, seq) of FASTA or plain files: header lines and white space go, records of a file are joined."""
-    reader = spark.read.option("wholetext", True)
-    df = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    df = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
     return df.select(F.col("_metadata.file_name").alias("name"), F.regexp_replace(F.regexp_replace("value", "(?m)^>.*$", ""), "\\s+", "").alias("seq"))
 
 
 def fasta_records(spark: SparkSession, path: str) -> DataFrame:
     """(name, header, seq) of every record of FASTA files."""
-    df = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("name"), F.explode(F.split("value", "(?m)^>")).alias("r")).filter(F.trim("r") != "")
+    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.explode(F.split("value", "(?m)^>")).alias("r")).filter(F.trim("r") != "")
     return df.select("name", F.trim(F.regexp_extract("r", "^([^\\n]*)", 1)).alias("header"), F.regexp_replace(F.regexp_replace("r", "^[^\\n]*", ""), "\\s+", "").alias("seq"))
 
 
@@ -54,7 +53,7 @@ def patterns(spark: SparkSession, path: str) -> DataFrame:
 
 def solutions(spark: SparkSession, path: str) -> DataFrame:
     """(rank, seq) of the files ``<rank>_sequence.txt`` of a folder."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*_sequence.txt").text(path)
+    df = spark.read.text(path, wholetext=True, pathGlobFilter="*_sequence.txt")
     return df.select(F.split(F.col("_metadata.file_name"), "_")[0].alias("rank"), F.trim("value").alias("seq"))
 
 
