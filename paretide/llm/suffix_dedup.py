@@ -35,7 +35,7 @@ def radix_passes(g: Group, of: Windows) -> np.ndarray:
     out[g.c[g.run] > 1] = 0
     alive = np.arange(len(g.run))
     key = mix(g.m[g.run].astype(U) + g.back.astype(U) * U(0x9E3779B97F4A7C15))
-    for depth in range(0, of.width + 1, DIGIT):
+    for depth in [*range(0, of.width, DIGIT), of.width]:
         order = np.argsort(key, kind="stable")
         same = np.zeros(len(order) + 1, dtype=bool)
         same[1:-1] = key[order[1:]] == key[order[:-1]]
