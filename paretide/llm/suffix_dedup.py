@@ -99,12 +99,13 @@ def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the kept text in its own columns; a character that lost a byte goes, n_chars follows the text."""
-    slim = dedup(docs, width).drop("n_bytes", "n_removed", "n_spans")
+    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    safe = docs.select("doc_id", "text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])  # names may clash with ours
+    slim = dedup(safe, width).drop("n_bytes", "n_removed", "n_spans")
     schema = ", ".join(f"`{'text' if f.name == 'kept' else f.name}` {'string' if f.name == 'kept' else f.dataType.simpleString()}" for f in slim.schema)
     out = slim.mapInArrow(_as_text, schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    back = {c: F.char_length("text").cast("long") if c == "n_chars" else F.col(f"_{i}") for i, c in enumerate(names)}
+    return out.select(*[back[c].alias(c) if c in back else F.col(c) for c in docs.columns])
 
 
 def op3(docs: DataFrame) -> DataFrame:
