@@ -196,7 +196,8 @@ def covered(docs: DataFrame, of: Windows, search: Search, count_all: bool, hot_r
     """
     runs = docs.select("k", "text").mapInArrow(partial(_emit_runs, of=of), "m long, doc long, s long, at long")
     seen = runs.groupBy("m").agg(F.count("*").alias("n"), F.min("doc").alias("d"), F.max("doc").alias("e"), F.min("s").alias("s0"), F.max("s").alias("s1"))
-    seen = seen.filter("n > 1" if count_all else "d < e").select("m", "d", (F.col("s0") != F.col("s1")).alias("multi"))
+    # written, so that the join below has a plain exchange on both sides and Spark can split a hot anchor's rows
+    seen = written(seen.filter("n > 1" if count_all else "d < e").select("m", "d", (F.col("s0") != F.col("s1")).alias("multi")), "anchors")
     found = written(runs.join(seen, "m"), "runs")
 
     single = found.filter(~F.col("multi"))
