@@ -5,10 +5,11 @@ pass over all classes takes a somewhat longer prefix of each, in an order by buc
 (a table of fixed size), and keeps the classes that share as many of its shingles with others as a partner must
 share. Among these candidates the shingles get exact counts and the exact rare-first order, in which the length and
 positional filters act. Pairs are joined on prefix
-shingles, made distinct, checked once by a suffix filter and an exact intersection, and closed to components.
+shingles, pass a suffix filter (counts of tokens in ranges of the hash space), are made distinct, checked once by an
+exact intersection, and closed to components.
 
-Pairs within a component need no check, so a first round joins each document to at most three of those that stand
-next to it in size, or first, in the groups of its shingles; a second round takes every pair between different
+Pairs within a component need no check, so a first round joins each document to a few of those that
+stand before it in the groups of its shingles, in an order that differs from group to group; a second round takes every pair between different
 components that passes the filters, so no link between components is lost.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer than five
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -35,6 +36,10 @@ from .shared import only_keys, written
 WORDS = 5
 #: Similarity in hundredths.
 SIMILARITY = 80
+#: Partners that the first round checks of each document.
+PARTNERS = 8
+#: Ranges of the suffix filter.
+RANGES = 64
 #: Buckets of the corpus-wide count table that orders shingles in the first pass: its size is fixed.
 BUCKETS, SLICES = 1 << 18, 16
 
@@ -115,12 +120,11 @@ def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(at, 1024)
             ids = batch.column("k").to_numpy()
             found = list(_sets(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[[r for r, _ in found]]), pa.array([len(s) for _, s in found], pa.int64()), pa.array([signed(s) for _, s in found], pa.list_(pa.int64()))], names=["k", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[[r for r, _ in found]]), pa.array([len(s) for _, s in found], pa.int64()), pa.array([signed(s) for _, s in found], pa.list_(pa.int64())), pa.array([np.bincount((s & U(RANGES - 1)).astype(np.int64), minlength=RANGES) for _, s in found], pa.list_(pa.int32()))], names=["k", "n", "tokens", "ranges"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets are similar enough; the suffix filter compares token counts in ranges of the hash space first."""
-    edges = np.linspace(-(2.0**63), 2.0**63, 17)[1:-1].astype(np.int64)
+    """The pairs whose sets are similar enough."""
     for batch in batches:
         sides = []
         for name in ("ta", "tb"):
@@ -132,9 +136,6 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             total = len(a) + len(b)
             if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
                 continue
-            apart = np.abs(np.diff(np.searchsorted(a, edges), prepend=0, append=len(a)) - np.diff(np.searchsorted(b, edges), prepend=0, append=len(b))).sum()
-            if (100 + percent) * (total - int(apart)) < 2 * percent * total:
-                continue
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep[r] = 100 * both >= percent * (total - both)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
@@ -145,6 +146,11 @@ def _may_link(percent: int):
     return (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & ((1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
 
 
+def _overlap_bound() -> Column:
+    """Suffix filter: tokens fall into ranges of the hash space, and two sets share at most the smaller count of each."""
+    return F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.distinct().join(sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb")), "b")
     return pairs.mapInArrow(partial(_linked, percent=percent), "a long, b long")
@@ -168,32 +174,33 @@ def class_table(docs: DataFrame, percent: int = SIMILARITY) -> tuple[DataFrame,
     near = near.groupBy("k", "need").count().filter("count >= need").select("k").distinct()
     candidates = written(near.join(reps.select(F.col("cls").alias("k")), "k", "left_semi").select("k"), "candidates")
 
-    sets = written(only_keys(key, candidates, "k").dropDuplicates(["k"]).mapInArrow(_token_sets, "k long, n long, tokens array<long>"), "sets")
+    sets = written(only_keys(key, candidates, "k").dropDuplicates(["k"]).mapInArrow(_token_sets, "k long, n long, tokens array<long>, ranges array<int>"), "sets")
     token = sets.select("k", "n", F.explode("tokens").alias("h"))
     own = Window.partitionBy("k")
     often = token.withColumn("df", F.count("*").over(holders)).filter("df > 1")
     ranked = often.select("k", "n", "h", (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")) - 1).alias("p"))
     prefixes = written(ranked.filter(F.col("p") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "prefixes")
 
-    group = Window.partitionBy("h").orderBy("n", "k")
+    group = Window.partitionBy("h").orderBy(F.xxhash64("h", "k"))  # another order in each group, so partners differ
     me = F.struct("k", "n", "p")
     near3 = prefixes.withColumn("me", me)
-    for name, partner in (("o1", F.lag("me", 1)), ("o2", F.lag("me", 2)), ("o3", F.first("me"))):
+    for name, partner in (("o1", F.lag("me", 1)), ("o2", F.lag("me", 2)), ("o3", F.lag("me", 3))):
         near3 = near3.withColumn(name, partner.over(group))
     near3 = near3.select(F.col("k").alias("ka"), F.col("n").alias("na"), F.col("p").alias("pa"), F.explode(F.array_distinct(F.array("o1", "o2", "o3"))).alias("o"))
     near3 = near3.filter("o is not null").select("ka", "na", "pa", F.col("o.k").alias("kb"), F.col("o.n").alias("nb"), F.col("o.p").alias("pb")).filter("ka <> kb")
-    # three partners a document are enough here: the second round misses nothing
-    pairs = near3.filter(_may_link(percent)).groupBy("ka").agg(F.array_distinct(F.array(F.min("kb"), F.max("kb"), F.min_by("kb", F.xxhash64("ka", "kb")))).alias("kb"))
-    pairs = pairs.select("ka", F.explode("kb").alias("kb")).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    # a few partners a document are enough here: the second round misses nothing
+    others = F.slice(F.sort_array(F.transform(F.collect_set("kb"), lambda x: F.struct(F.xxhash64(x).alias("o"), x.alias("k")))), 1, PARTNERS)
+    pairs = near3.filter(_may_link(percent)).groupBy("ka").agg(others.alias("kb")).select("ka", F.explode("kb.k").alias("kb")).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
     links = written(_verified(pairs, sets, percent), "links")
     comps = components(links)
 
     entry = prefixes.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     sizes = entry.groupBy("h", "comp").agg(F.count("*").alias("size")).groupBy("h").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("size", "comp")).alias("main")).filter("parts > 1")
-    entry = written(entry.join(sizes.select("h", "main"), "h"), "entries")
-    one = entry.filter("comp <> main").select("h", F.col("k").alias("ka"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("comp").alias("ca"))
-    other = entry.select("h", F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("comp").alias("cb"))
-    pairs = one.join(other, "h").filter("ca <> cb").filter(_may_link(percent)).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    entry = written(entry.join(sizes.select("h", "main"), "h").join(sets.select("k", "ranges"), "k"), "entries")
+    one = entry.filter("comp <> main").select("h", F.col("k").alias("ka"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("comp").alias("ca"), F.col("ranges").alias("ra"))
+    other = entry.select("h", F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("comp").alias("cb"), F.col("ranges").alias("rb"))
+    enough = _overlap_bound() * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    pairs = one.join(other, "h").filter("ca <> cb").filter(_may_link(percent)).filter(enough).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
     more = written(_verified(pairs, sets, percent), "links")
     final = components(links.union(more)) if more.limit(1).count() else comps
     return rows.join(reps.select("c1", "c2", "cls"), ["c1", "c2"], "left").select("k", "n", "cls"), final.select(F.col("node").alias("cls"), "comp")
