@@ -39,7 +39,7 @@ SIMILARITY = 80
 #: Partners that the first round checks of each document.
 PARTNERS = 8
 #: Ranges of the suffix filter.
-RANGES = 64
+RANGES = 128
 #: Buckets of the corpus-wide count table that orders shingles in the first pass: its size is fixed.
 BUCKETS, SLICES = 1 << 18, 16
 
