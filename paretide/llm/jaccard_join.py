@@ -8,9 +8,10 @@ positional filters act. Pairs are joined on prefix
 shingles, pass a suffix filter (counts of tokens in ranges of the hash space), are made distinct, checked once by an
 exact intersection, and closed to components.
 
-Pairs within a component need no check, so a first round joins each document to a few of those that
-stand before it in the groups of its shingles, in an order that differs from group to group; a second round takes every pair between different
-components that passes the filters, so no link between components is lost.
+Pairs within a component need no check, so a first round joins each document to a few of those that stand before it
+in the groups of its shingles, in an order that differs from group to group, and to the most typical member of each
+group, the one whose shingles are most shared. A second round takes every pair between different components that
+passes the filters, so no link between components is lost.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer than five
 words is one shingle; rows without doc_id take no part (component_id null); rows that repeat a doc_id are one
@@ -36,8 +37,10 @@ from .shared import only_keys, written
 WORDS = 5
 #: Similarity in hundredths.
 SIMILARITY = 80
-#: Partners that the first round checks of each document.
-PARTNERS = 8
+#: Partners that the first round checks of each document, and neighbours in a group that it looks at.
+PARTNERS, LAGS = 8, 3
+#: Members of a group that the first round orders together; a larger group is dealt out.
+GROUP = 1000
 #: Ranges of the suffix filter.
 RANGES = 128
 #: Buckets of the corpus-wide count table that orders shingles in the first pass: its size is fixed.
@@ -168,29 +171,34 @@ def class_table(docs: DataFrame, percent: int = SIMILARITY) -> tuple[DataFrame,
     shared_counts = spark.sparkContext.broadcast(counts.ravel())
 
     reps = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min("k").alias("cls"), F.max("n").alias("n"))
-    entry = key.mapInArrow(partial(_prefixes, counts=shared_counts, percent=percent), "h long, k long, c1 long, need int")
+    single = only_keys(key, written(reps.select(F.col("cls").alias("k")), "reps"), "k").dropDuplicates(["k"])
+    entry = single.mapInArrow(partial(_prefixes, counts=shared_counts, percent=percent), "h long, k long, c1 long, need int")
     holders = Window.partitionBy("h")
     near = entry.select("k", "need", F.min("c1").over(holders).alias("x"), F.max("c1").over(holders).alias("y")).filter("x <> y")
-    near = near.groupBy("k", "need").count().filter("count >= need").select("k").distinct()
-    candidates = written(near.join(reps.select(F.col("cls").alias("k")), "k", "left_semi").select("k"), "candidates")
+    candidates = written(near.groupBy("k", "need").count().filter("count >= need").select("k").distinct(), "candidates")
 
     sets = written(only_keys(key, candidates, "k").dropDuplicates(["k"]).mapInArrow(_token_sets, "k long, n long, tokens array<long>, ranges array<int>"), "sets")
     token = sets.select("k", "n", F.explode("tokens").alias("h"))
     own = Window.partitionBy("k")
-    often = token.withColumn("df", F.count("*").over(holders)).filter("df > 1")
-    ranked = often.select("k", "n", "h", (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")) - 1).alias("p"))
+    often = token.join(token.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "h")
+    alone = F.col("n") - F.count("*").over(own)
+    odd = (alone + F.sum(1 / F.col("df")).over(own)) / F.col("n")
+    ranked = often.select("k", "n", "h", "df", odd.alias("odd"), (alone + F.row_number().over(own.orderBy("df", "h")) - 1).alias("p"))
     prefixes = written(ranked.filter(F.col("p") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "prefixes")
 
-    group = Window.partitionBy("h").orderBy(F.xxhash64("h", "k"))  # another order in each group, so partners differ
+    # partners: a few neighbours in part of the group, in an order that differs by group, and its most typical member
+    part = F.pmod(F.xxhash64("k"), F.ceil(F.col("df") / GROUP))
+    group = Window.partitionBy("h", "part").orderBy(F.xxhash64("h", "k"))
     me = F.struct("k", "n", "p")
-    near3 = prefixes.withColumn("me", me)
-    for name, partner in (("o1", F.lag("me", 1)), ("o2", F.lag("me", 2)), ("o3", F.lag("me", 3))):
-        near3 = near3.withColumn(name, partner.over(group))
-    near3 = near3.select(F.col("k").alias("ka"), F.col("n").alias("na"), F.col("p").alias("pa"), F.explode(F.array_distinct(F.array("o1", "o2", "o3"))).alias("o"))
-    near3 = near3.filter("o is not null").select("ka", "na", "pa", F.col("o.k").alias("kb"), F.col("o.n").alias("nb"), F.col("o.p").alias("pb")).filter("ka <> kb")
-    # a few partners a document are enough here: the second round misses nothing
-    others = F.slice(F.sort_array(F.transform(F.collect_set("kb"), lambda x: F.struct(F.xxhash64(x).alias("o"), x.alias("k")))), 1, PARTNERS)
-    pairs = near3.filter(_may_link(percent)).groupBy("ka").agg(others.alias("kb")).select("ka", F.explode("kb.k").alias("kb")).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    lags = prefixes.withColumn("part", part).withColumn("me", me)
+    for i in range(1, LAGS + 1):
+        lags = lags.withColumn(f"o{i}", F.lag("me", i).over(group))
+    hub = prefixes.groupBy("h").agg(F.min_by(me, F.struct("odd", "k")).alias("hub"))
+    first = lags.join(hub, "h").select(F.col("k").alias("ka"), F.col("n").alias("na"), F.col("p").alias("pa"), F.explode(F.array_compact(F.array("hub", *(f"o{i}" for i in range(1, LAGS + 1))))).alias("o"))
+    first = first.select("ka", "na", "pa", F.col("o.k").alias("kb"), F.col("o.n").alias("nb"), F.col("o.p").alias("pb")).filter("ka <> kb").filter(_may_link(percent))
+    # a few partners a document are enough here, those met most often: the second round misses nothing
+    best = Window.partitionBy("ka").orderBy(F.desc("count"), F.xxhash64("kb"), "kb")
+    pairs = first.groupBy("ka", "kb").count().withColumn("at", F.row_number().over(best)).filter(F.col("at") <= PARTNERS).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
     links = written(_verified(pairs, sets, percent), "links")
     comps = components(links)
 
