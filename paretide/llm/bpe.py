@@ -21,6 +21,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import frugal
+
 PIECE = 200_000
 _SAFE = re.compile(r"(?<=\S)(?=\s)")
 
@@ -47,6 +49,7 @@ def encode(text: str, enc: tiktoken.Encoding, limit: int = PIECE) -> list[int]:
     return [i for part in pieces(text, limit) for i in enc.encode_ordinary(part)]
 
 
+@frugal
 def _encode(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     enc = encoding(ranks_path, pattern)
     for whole in batches:
@@ -61,6 +64,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(partial(_encode, ranks_path=ranks_path, pattern=pattern), "doc_id long, ids array<int>")
 
 
+@frugal
 def _decode(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     enc = encoding(ranks_path, pattern)
     for batch in batches:
@@ -73,6 +77,7 @@ def decoded(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return tokens.mapInArrow(partial(_decode, ranks_path=ranks_path, pattern=pattern), "doc_id long, decoded binary")
 
 
+@frugal
 def _digest(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     enc = encoding(ranks_path, pattern)
     words = [str(i) for i in range(enc.n_vocab)]

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once by the kernels; longer documents are cut into such pieces.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = U(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, mix, signed, texts_of, window_hash, word_hashes
-from .shared import only_keys, written
+from .shared import frugal, only_keys, written
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -70,6 +70,7 @@ def first_look(n: int, percent: int) -> tuple[int, int]:
     return look, look - lacking
 
 
+@frugal
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a document (k, n, c1, c2); at the end the task's count table in slices (k null)."""
     table, held = np.zeros(BUCKETS, dtype=np.int64), [np.zeros(0, dtype=U)]
@@ -101,6 +102,7 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [total.tobytes()]})
 
 
+@frugal
 def _prefixes(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterator[pa.RecordBatch]:
     table = counts.value
     for batch in batches:
@@ -117,15 +119,15 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(h))), pa.array(np.concatenate(rows)), pa.array(np.concatenate(c1)), pa.array(np.concatenate(need))], names=["h", "k", "c1", "need"])
 
 
+@frugal
 def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            batch = whole.slice(at, 1024)
-            ids = batch.column("k").to_numpy()
-            found = list(_sets(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[[r for r, _ in found]]), pa.array([len(s) for _, s in found], pa.int64()), pa.array([signed(s) for _, s in found], pa.list_(pa.int64())), pa.array([np.bincount((s & U(RANGES - 1)).astype(np.int64), minlength=RANGES) for _, s in found], pa.list_(pa.int32()))], names=["k", "n", "tokens", "ranges"])
+    for batch in batches:
+        ids = batch.column("k").to_numpy()
+        found = list(_sets(batch))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[[r for r, _ in found]]), pa.array([len(s) for _, s in found], pa.int64()), pa.array([signed(s) for _, s in found], pa.list_(pa.int64())), pa.array([np.bincount((s & U(RANGES - 1)).astype(np.int64), minlength=RANGES) for _, s in found], pa.list_(pa.int32()))], names=["k", "n", "tokens", "ranges"])
 
 
+@frugal
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose sets are similar enough."""
     for batch in batches:
@@ -222,6 +224,7 @@ def op8(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     return linked.union(without.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
 
 
+@frugal
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = np.zeros(batch.num_rows, dtype=np.int64)

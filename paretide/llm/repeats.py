@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BLOCK, BYTE_VALUE, U, blocks, mix, prefix, signed, sliding_min, span, texts_of, word_hashes
-from .shared import written
+from .shared import frugal, written
 
 _POS_BITS = U(22)
 _LOW = (U(1) << _POS_BITS) - U(1)
 #: Symbols of runs that a kernel holds at once.
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,7 @@ def symbols(data: np.ndarray, offsets: np.ndarray, of: Windows) -> Iterator[tupl
             yield i, part, np.array([0, b - a]), a
 
 
+@frugal
 def _emit_runs(batches: Iterator[pa.RecordBatch], of: Windows) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = texts_of(batch.column("text"))
@@ -92,6 +93,7 @@ def _emit_runs(batches: Iterator[pa.RecordBatch], of: Windows) -> Iterator[pa.Re
                 yield pa.RecordBatch.from_arrays([pa.array(signed(m)), pa.array(ids[i + row]), pa.array(signed(s)), pa.array(at)], names=["m", "doc", "s", "at"])
 
 
+@frugal
 def _cut_runs(batches: Iterator[pa.RecordBatch], of: Windows) -> Iterator[pa.RecordBatch]:
     """One row for each wanted run of a text, with its symbols."""
     for batch in batches:
@@ -142,6 +144,7 @@ class Group:
 Search = Callable[[Group, Windows], np.ndarray]
 
 
+@frugal
 def _search(batches: Iterator[pa.RecordBatch], of: Windows, values: Search) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by m. ``values`` gives each window a value, -1 for none; runs of equal values go out."""
     held: list[pa.RecordBatch] = []
@@ -179,6 +182,7 @@ def _search(batches: Iterator[pa.RecordBatch], of: Windows, values: Search) -> I
         yield out(held)
 
 
+@frugal
 def _whole_windows(batches: Iterator[pa.RecordBatch], of: Windows) -> Iterator[pa.RecordBatch]:
     """Each window of the runs as a row with two independent hashes of its symbols."""
     for batch in batches:

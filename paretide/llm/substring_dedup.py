@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 
 from .hashing import texts_of
 from .repeats import Group, Windows, covered, keyed, mask_of, unkeyed, with_spans
+from .shared import frugal
 
 WIDTH = 13
 #: Suffixes whose subtree is built at once; a larger group is split by a longer prefix.
@@ -57,6 +58,7 @@ def _windows(width: int) -> Windows:
     return Windows(width, min(3, width), True)
 
 
+@frugal
 def _cleaned(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = texts_of(batch.column("text"))
@@ -75,6 +77,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["k", "n_words", "n_removed", "kept"])
 
 
+@frugal
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sha = [hashlib.sha256(x).hexdigest() for x in batch.column("kept").to_pylist()]

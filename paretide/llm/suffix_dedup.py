@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .hashing import U, mix, prefix, span, texts_of
 from .repeats import Group, Windows, covered, keyed, mask_of, unkeyed, with_spans
+from .shared import frugal
 
 WIDTH = 200
 DIGIT = 40
@@ -52,6 +53,7 @@ def _windows(width: int) -> Windows:
     return Windows(width, min(24, max(1, width // 4)), False)
 
 
+@frugal
 def _cleaned(batches: Iterator[pa.RecordBatch], width: int, others: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = texts_of(batch.column("text"))
@@ -73,6 +75,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch], width: int, others: list[str]) -
         yield pa.RecordBatch.from_arrays([batch.column("k"), *(batch.column(c) for c in others), *new], names=["k", *others, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+@frugal
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sha = [hashlib.sha256(x).hexdigest() for x in batch.column("kept").to_pylist()]
@@ -90,6 +93,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, hot_runs: int = 200_000) -> DataF
     return out.select(unkeyed(), *others, "n_bytes", "n_removed", "n_spans", "kept")
 
 
+@frugal
 def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
