@@ -231,6 +231,21 @@ def test_nearest_neighbours(spark):
     assert hash_forest.search(table.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_keep_their_recall_with_many_buckets(spark):
+    x = np.random.default_rng(3).standard_normal((4000, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(dict)
+    for row in hash_forest.search(table, query_step=40, candidates=500, leaf_bits=6).collect():
+        got[row["query_id"]][row["vec_id"]] = row["score"]
+    hits = 0
+    for q in range(0, 4000, 40):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        assert len(got[q]) == 10
+        assert all(s == pytest.approx(d[v], abs=1e-12) for v, s in got[q].items())
+        hits += len(set(got[q]) & set(np.argsort(d)[1:11].tolist()))
+    assert hits >= 0.9 * 1000
+
+
 def test_mixing_meets_targets(spark):
     r = random.Random(0)
     rows = []
