@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paretide.llm import bpe, jaccard_join, mixing, quality, suffix_dedup
 from paretide.llm.queries import tokenizer
-from paretide.llm.shared import BROADCAST_KEYS, table, written
+from paretide.llm.shared import BROADCAST_KEYS, only_keys, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +20,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter("kept").select(*docs.columns)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_k``, a key without nulls that equal rows share and rows with other texts don't.
+
+    It is the doc_id where that names one text. Rows without doc_id, and all but one of the texts that share a doc_id,
+    have a key of 62 bits made from doc_id and text, above 2 ** 62.
+    """
+    made = F.lit(2**62) + F.xxhash64("doc_id", "text").bitwiseAND(2**62 - 1)
+    own = F.xxhash64("text")
+    repeated = written(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not repeated.limit(1).count():
+        return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), made).alias("_k"))
+    several = only_keys(docs.select("doc_id", "text"), repeated, "doc_id").groupBy("doc_id").agg(F.min(own).alias("_first"))
+    several = written(several, "several")
+    small = several.count() <= BROADCAST_KEYS
+    rows = docs.join(F.broadcast(several) if small else several.hint("shuffle_merge"), "doc_id", "left")
+    plain = F.col("doc_id").isNotNull() & (F.col("_first").isNull() | (F.col("_first") == own))
+    return rows.select(*docs.columns, F.when(plain, F.col("doc_id").cast("long")).otherwise(made).alias("_k"))
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    gone = written(jaccard_join.op8(docs).filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    small = gone.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(gone) if small else gone.hint("shuffle_merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the document with the smallest doc_id stays.
+
+    Rows without doc_id join their group by their text, and stay only in groups that have no doc_id. Rows equal in
+    doc_id and text are one. Texts that share a doc_id but are not near duplicates all stay.
+    """
+    named = _named(docs)
+    found = written(jaccard_join.op8(named.select(F.col("_k").alias("doc_id"), "text")), "classes")
+    hint = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("shuffle_merge")
+    gone = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_k")).distinct(), "gone")
+    left = named.join(hint(gone), "_k", "left_anti")
+    again = written(found.groupBy(F.col("doc_id").alias("_k")).count().filter("count > 1").select("_k"), "again")
+    if again.limit(1).count():
+        left = left.join(hint(again), "_k", "left_anti").unionByName(left.join(hint(again), "_k", "left_semi").dropDuplicates(["_k"]))
+    return left.select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

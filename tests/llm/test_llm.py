@@ -295,3 +295,18 @@ def test_pipeline_stages(spark, tmp_path, docs):
     assert [c for c, _ in corpus_pipeline.STAGES][-1].startswith("byte-level")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in one.collect()}
+
+
+def test_pipeline_keeps_one_of_equal_rows_and_of_rows_without_id(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(90))
+    twice, unnamed, both, one, other = (text() for _ in range(5))
+    rows = [(1, twice), (1, twice), (None, unnamed), (None, unnamed), (None, unnamed + " end"), (2, both), (None, both), (3, one), (3, other), (4, text())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(x["doc_id"], x["text"]) for x in corpus_pipeline.ngram_jaccard_join(spark, docs, str(tmp_path)).collect()]
+    assert sorted((i, t) for i, t in left if i is not None) == sorted([(1, twice), (2, both), (3, one), (3, other), rows[-1]])
+    assert [t[: len(unnamed)] for i, t in left if i is None] == [unnamed]
+    after = corpus_pipeline.suffix_array_dedup(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in left], docs.schema), str(tmp_path))
+    assert sorted(x["text"] for x in after.collect()) == sorted(t for _, t in left)
