@@ -3,7 +3,7 @@
 Training counts in how many labelled training texts (equal texts once) each token occurs, with its beginnings of
 four to eight letters as further terms, and scores each term by its log odds between toxic and clean text under an
 informative Dirichlet prior (Monroe, Colaresi and Quinn 2008); only terms with a significant z score count, and
-those for toxic text only if a hundredth of the toxic texts has them. A document is a sequence of token scores
+those for toxic text only if three toxic texts have them. A document is a sequence of token scores
 with a small negative drift; the linear-time scan of Ruzzo and Tompa (1999) finds all maximal segments. Segments
 get expectation values by Karlin and Altschul's extreme-value statistics; those above their expected number add up
 to the document's evidence, and a logistic curve fitted on the training rows turns evidence into a score.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .shared import BROADCAST_KEYS, written
 
-#: Weight of the prior in counts, the z score from which a term counts, and the least share of toxic texts with it.
-PRIOR_TOKENS, Z, LEAST_SHARE = 10_000.0, 3.0, 0.01
+#: Weight of the prior in counts, the z score from which a term counts, and the fewest toxic texts with it.
+PRIOR_TOKENS, Z, LEAST_TEXTS = 10_000.0, 3.0, 3
 _BEGINNINGS = (8, 7, 6, 5, 4)
 #: Terms of the model at most (the most significant ones): it is a parameter of the model, sent to every executor.
 MAX_TERMS = 100_000
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts = rows.mapInArrow(_count, "term string, toxic int, n long").groupBy("term").agg(by(1).alias("t"), by(0).alias("c"))
     counts = written(counts.withColumn("kind", F.when(F.col("term").endswith("*"), F.length("term")).otherwise(F.when(F.col("term") == "", -1).otherwise(0))), "terms")
     totals = {r["kind"]: (r["t"], r["c"]) for r in counts.groupBy("kind").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()}  # a row for each length
-    toxic = totals.pop(-1, (0, 0))[0]
+    totals.pop(-1, None)
     model = Model()
     for kind, (t, c) in sorted(totals.items()):
         if not t or not c:
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         x, y = F.col("t") + a, F.col("c") + a
         odds = F.log(x / (t + PRIOR_TOKENS - x)) - F.log(y / (c + PRIOR_TOKENS - y))
         scored = counts.filter(F.col("kind") == kind).select("term", "t", odds.alias("w"), (odds / F.sqrt(1 / x + 1 / y)).alias("z"))
-        scored = scored.filter((F.abs("z") >= Z) & ((F.col("w") < 0) | (F.col("t") >= max(3, math.ceil(LEAST_SHARE * toxic)))))
+        scored = scored.filter((F.abs("z") >= Z) & ((F.col("w") < 0) | (F.col("t") >= LEAST_TEXTS)))
         for r in scored.orderBy(F.desc(F.abs("z")), "term").limit(MAX_TERMS).collect():
             model.weight[r["term"]] = max(-CAP, min(CAP, r["w"]))
     if not model.weight:

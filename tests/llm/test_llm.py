@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -186,6 +187,24 @@ def test_toxicity_segments_and_held_out_labels(spark):
     assert {r["score"] for r in none.collect()} == {0.0}
 
 
+def test_toxicity_term_counts_at_any_size_of_the_corpus(spark):
+    r = random.Random(6)
+    rows, labels, trained = [], [], []
+    for i in range(8400):
+        t = ["".join(r.choice("aeioubdgk") for _ in range(2)) for _ in range(9)] + [f"{i}"]
+        toxic = i % 2
+        if toxic and zlib.crc32(str(i).encode()) % 3 != 1:  # not held out
+            trained.append("zzz" if len(trained) < 26 else "vile")
+            t.append(trained[-1])
+        rows.append((i, " ".join(t)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert 26 < 0.01 * len(trained)
+    assert model.weight["zzz"] > 0
+    assert toxicity.evidence("zzz zzz", model, toxicity._Scores(model.weight))[0] > 0
+
+
 def test_html_blocks_and_labels():
     page = "<p>a &amp; b<br>c<p>d <a href='x'>e</a><script>no</script><!-- no --><div class='ad'>f&nbsp;&#65;</div>"
     assert [(t, n) for t, _, n in html_extract.blocks(page)] == [("a & b c", 0), ("d e", 1), ("f A", 0)]
