@@ -8,8 +8,8 @@ rates of 0 or more. Each step is one distributed aggregation to a row of domain
 steps' gradients, so nothing that grows with the corpus reaches the driver.
 
 Defined results: null and blank texts have no tokens and the prior as their posterior; null labels take no part in
-fitting; without labelled rows there are no domains, every posterior is null and every rate 1; repeated rows each
-have their rate; an empty table gives an empty table; extra columns are kept, and names that clash with the added
+fitting; every domain of the labelled rows is a class; without labelled rows there are no domains, every posterior is
+null and every rate 1; a target for a domain without a class is an error; repeated rows each have their rate; an empty table gives an empty table; extra columns are kept, and names that clash with the added
 ones are replaced.
 """
 
@@ -17,13 +17,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import BROADCAST_KEYS, written
 
-#: Labelled rows that the classifier is fitted on at most, domains, and words kept of each domain.
-LABELLED, DOMAINS, WORDS = 5_000, 16, 400
+#: Labelled rows that the classifier is fitted on, those taken of each domain in any case, and words kept of each domain.
+LABELLED, EACH, WORDS = 5_000, 100, 400
 #: Default target: shares of the domains' tokens to this power.
 TEMPERATURE = 0.7
 STEPS, TOLERANCE = 25, 1e-7
@@ -34,30 +34,45 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
+def _sum(parts: list[Column]) -> Column:
+    """The sum of the columns, nested no deeper than sixteen a level."""
+    while len(parts) > 1:
+        parts = [sum(parts[i : i + 16], F.lit(0.0)) for i in range(0, len(parts), 16)]
+    return parts[0]
+
+
 def fit(docs: DataFrame, labelled: DataFrame, domain: str) -> tuple[list[str], dict[str, float], DataFrame | None]:
     """Domains, their log priors, and the model's table (word, l0, l1, ...): log chances of each word by domain.
 
-    ``labelled`` has the doc_ids whose ``domain`` is trusted; up to ``LABELLED`` of them are used, by a hash.
+    ``labelled`` has the doc_ids whose ``domain`` is trusted. The first ``LABELLED`` of them are used, in order of a
+    hash, and the first ``EACH`` of every domain, so that each domain among them is a class.
     """
-    chosen = labelled.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    ids = labelled.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    hint = (lambda x: F.broadcast(x)) if ids.count() <= BROADCAST_KEYS else (lambda x: x.hint("shuffle_merge"))
     known = docs.filter(F.col(domain).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("y"), "text")
+    order = F.xxhash64("doc_id")
+    chosen = ids.orderBy(order, "doc_id").limit(LABELLED)
+    trusted = known.select("doc_id", "y").join(hint(ids), "doc_id", "left_semi")
+    few = trusted.withColumn("part", F.pmod(order, F.lit(256)))  # parts first: a domain's rows are no single task's work
+    for keys in (["y", "part"], ["y"]):
+        few = few.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "doc_id"))).filter(F.col("r") <= EACH)
+    chosen = written(chosen.union(few.select("doc_id")).distinct(), "chosen")
     rows = written(known.join(F.broadcast(chosen), "doc_id", "left_semi").select("y", "text"), "labelled")
-    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(DOMAINS).collect()
+    counts = rows.groupBy("y").count().collect()  # a row for each domain
     names = sorted(r["y"] for r in counts)
     if not names:
         return [], {}, None
     total = sum(r["count"] for r in counts)
     prior = {r["y"]: math.log(r["count"] / total) for r in counts}
-    seen = rows.filter(F.col("y").isin(names)).select("y", F.explode(_words(F.col("text"))).alias("word"))
-    n = seen.groupBy("word").pivot("y", names).count().na.fill(0, names)
-    n = written(n, "words")
-    tops = [n.filter(F.col(f"`{y}`") > 0).orderBy(F.desc(f"`{y}`"), "word").limit(WORDS).select("word") for y in names]
-    kept = tops[0]
-    for t in tops[1:]:
-        kept = kept.union(t)
-    n = n.join(F.broadcast(kept.distinct()), "word", "left_semi")  # at most DOMAINS * WORDS words
-    sums = n.agg(*[F.sum(F.col(f"`{y}`") + 0.5).alias(str(i)) for i, y in enumerate(names)]).first()
-    table = n.select("word", *[F.log((F.col(f"`{y}`") + 0.5) / F.lit(float(sums[i]))).alias(f"l{i}") for i, y in enumerate(names)])
+    k = range(len(names))
+    place = (F.array_position(F.array(*[F.lit(y) for y in names]), F.col("y")) - 1).cast("int")
+    n = written(rows.select(place.alias("i"), F.explode(_words(F.col("text"))).alias("word")).groupBy("i", "word").count(), "words")
+    top = n.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("count"), "word"))).filter(F.col("r") <= WORDS)
+    n = n.join(F.broadcast(top.select("word").distinct()), "word", "left_semi")  # at most domains * WORDS words
+    n = n.groupBy("word").pivot("i", list(k)).sum("count").na.fill(0, [str(i) for i in k])
+    sums = n.agg(*[F.sum(F.col(f"`{i}`") + 0.5).alias(str(i)) for i in k]).first()
+    # without any word every sum is null and the table has no rows
+    table = n.select("word", *[F.log((F.col(f"`{i}`") + 0.5) / F.lit(float(sums[i] or 1.0))).alias(f"l{i}") for i in k])
     return names, prior, written(table, "model")
 
 
@@ -77,7 +92,7 @@ def posteriors(docs: DataFrame, names: list[str], prior: dict[str, float], model
     score = [F.col(f"s{i}") + F.lit(prior[y]) for i, y in enumerate(names)]
     top = F.greatest(*score) if len(score) > 1 else score[0]
     sums = sums.select("_row", "n_tokens", *[F.exp(x - top).alias(f"e{i}") for i, x in enumerate(score)])
-    whole = sum((F.col(f"e{i}") for i in range(len(names))), F.lit(0.0))
+    whole = _sum([F.col(f"e{i}") for i in range(len(names))])
     return sums.select("_row", "n_tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(len(names))])
 
 
@@ -88,7 +103,7 @@ def _rate(steps: list[list[float]]) -> Column:
         return rate
     all_steps = F.array(*[F.array(*[F.lit(x) for x in g]) for g in steps])
     p = [F.col(f"p{i}") for i in range(len(steps[0]))]
-    return F.aggregate(all_steps, rate, lambda r, g: F.greatest(F.lit(0.0), r - sum((x * F.get(g, F.lit(i)) for i, x in enumerate(p)), F.lit(0.0))))
+    return F.aggregate(all_steps, rate, lambda r, g: F.greatest(F.lit(0.0), r - _sum([x * F.get(g, F.lit(i)) for i, x in enumerate(p)])))
 
 
 def rates(soft: DataFrame, names: list[str], targets: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> tuple[list[list[float]], list[float]]:
@@ -127,6 +142,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: d
     kept = [c for c in docs.columns if c not in ADDED]
     named = docs.select(*kept).withColumn("_row", F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h")))
     names, prior, model = fit(named, labelled, domain)
+    if missing := sorted(y for y, x in (targets or {}).items() if x > 0 and y not in names):
+        raise ValueError(f"no labelled rows for the domains of these targets: {missing}")
     soft = written(posteriors(named.select("_row", "text"), names, prior, model), "soft")
     if not names:
         return soft.select("_row", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("array<double>").alias("posteriors"), F.lit(1.0).alias("rate")), named, []

@@ -284,6 +284,25 @@ def test_mixing_meets_targets(spark):
     assert mixing.op9(docs.limit(0), labels).count() == 0
 
 
+def test_mixing_takes_every_domain(spark):
+    r = random.Random(1)
+    rows = []
+    for i in range(600):
+        d = i % 20
+        rows.append((i, " ".join(r.choice([f"w{d}x{k}" for k in range(15)]) for _ in range(20 + d)), f"s{d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = docs.select("doc_id").filter("doc_id % 3 < 2")
+    targets = {f"s{d}": 1.0 + d for d in range(20)}
+    out, _, _ = mixing.mixed(docs, labels, "source", targets)
+    got = out.select("_row.id", "domain", (F.col("rate") * F.col("n_tokens")).alias("m")).collect()
+    assert all(x["domain"] == f"s{x['id'] % 20}" for x in got)
+    whole = sum(x["m"] for x in got)
+    for y, x in targets.items():
+        assert sum(g["m"] for g in got if g["domain"] == y) == pytest.approx(whole * x / 210, rel=1e-2)
+    with pytest.raises(ValueError, match="nowhere"):
+        mixing.mixed(docs, labels, "source", {"s1": 0.5, "nowhere": 0.5})
+
+
 @pytest.mark.parametrize("limit", [1 << 30, 3000, 100])
 def test_shards_fit_and_cover(docs, limit):
     got = sharding.shards(docs, limit).collect()
