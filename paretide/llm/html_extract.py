@@ -8,7 +8,8 @@ semantic tags, with named containers and with bare tags, whose words are made of
 
 Defined results: null and empty html, and pages without main text, give an empty text; malformed markup is read
 leniently (an end tag closes the nearest open tag of its name, stray ones are ignored, text of an unclosed comment,
-script or style is dropped); equal pages give equal texts; an empty table gives an empty table; extra columns play
+script or style is dropped, a head ends at the first tag or text that cannot stand in it, other dropped elements
+without end tag end where a block begins); equal pages give equal texts; an empty table gives an empty table; extra columns play
 no part.
 """
 
@@ -37,15 +38,34 @@ _PARTS = re.compile(r"[a-z]+", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _DROPPED = frozenset("script style noscript template svg math head title iframe object select textarea button option canvas audio video".split())
+_IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template head".split())
+_BLOCKS = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+_NESTED = frozenset("svg math object template".split())
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+def _ended(page: str, tag: str) -> frozenset[int]:
+    """The places behind the names of those start tags ``tag`` that have an end tag of their own."""
+    open_at: list[int] = []
+    out = set()
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])", page, re.I):
+        if not m[1]:
+            if tag not in _NESTED:
+                open_at.clear()
+            open_at.append(m.end())
+        elif open_at:
+            out.add(open_at.pop())
+    return frozenset(out)
+
+
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, tag path, characters inside links) of each leaf block of a page."""
     out: list[tuple[str, tuple[str, ...], int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     linked = links = skip = 0
+    loose: list[int] = []  # places in the stack of dropped elements without end tag
+    ended: dict[str, frozenset[int]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -60,11 +80,15 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             links -= tag == "a"
             skip -= tag in _DROPPED
         del stack[i:]
+        while loose and loose[-1] >= i:
+            loose.pop()
 
     at = 0
     while True:
         m = _MARKUP.search(page, at)
         piece = page[at : m.start() if m else len(page)]
+        if piece and stack and stack[-1][0] == "head" and not piece.isspace():
+            close(len(stack) - 1)
         if piece and not skip:
             held.append(piece)
             linked += len(piece) if links else 0
@@ -83,6 +107,16 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                     break
             continue
         attributes = m[3] if m[2] else m[6]
+        if loose and tag in _BLOCKS:  # outermost of those that no closed dropped element stands in
+            cut = len(stack)
+            for i in range(len(stack) - 1, -1, -1):
+                if i in loose:
+                    cut = i
+                elif stack[i][0] in _DROPPED:
+                    break
+            close(cut)
+        if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
+            close(len(stack) - 1)
         if tag in ("script", "style"):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -111,6 +145,11 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         stack.append((tag, names if tag not in _INLINE else ()))
         links += tag == "a"
         skip += tag in _DROPPED
+        if tag in _DROPPED and tag != "head":
+            if tag not in ended:
+                ended[tag] = _ended(page, tag)
+            if m.start() + 1 + len(tag) not in ended[tag]:
+                loose.append(len(stack) - 1)
     flush()
     return out
 

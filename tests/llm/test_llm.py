@@ -205,6 +205,20 @@ def test_toxicity_term_counts_at_any_size_of_the_corpus(spark):
     assert toxicity.evidence("zzz zzz", model, toxicity._Scores(model.weight))[0] > 0
 
 
+def test_html_omitted_end_tags():
+    texts = lambda page: [t for t, _, _ in html_extract.blocks(page)]
+    assert texts("<html><head><title>T</title><meta charset=u><body><p>a<p>b</html>") == ["a", "b"]
+    assert texts("<html><head><title>T</title><link rel=x><article><p>a</article></html>") == ["a"]
+    assert texts("<html><head><title>T<body><div>a</div></body></html>") == ["a"]
+    assert texts("<head><script>x</script> text <p>a") == ["text", "a"]
+    assert texts("<head><noscript><style>x</style></noscript><title>T</title></head><body><p>a") == ["a"]
+    for tag in ("select", "button", "noscript", "iframe", "textarea", "svg", "object"):
+        assert texts(f"<body><{tag} class=x>no<div>a</div><p>b</body>") == ["a", "b"]
+        assert texts(f"<body><{tag} class=x>no<div>no</div></{tag}><p>b</body>") == ["b"]
+    assert texts("<select><option>x<option>y</select><p>a") == ["a"]
+    assert texts("<svg><svg><g>x</g></svg><text>y</text></svg><p>a") == ["a"]
+
+
 def test_html_blocks_and_labels():
     page = "<p>a &amp; b<br>c<p>d <a href='x'>e</a><script>no</script><!-- no --><div class='ad'>f&nbsp;&#65;</div>"
     assert [(t, n) for t, _, n in html_extract.blocks(page)] == [("a & b c", 0), ("d e", 1), ("f A", 0)]
