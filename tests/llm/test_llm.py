@@ -149,20 +149,69 @@ def test_bpe_round_trip_and_safe_cuts(docs):
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in back.filter("doc_id is not null").collect()} == dict(texts(docs))
 
 
-def test_quality_counts_equal_brute_force_and_patterns_decide(docs):
-    got = {r["doc_id"]: r for r in quality.op7(docs).collect()}
+def test_quality_counts_equal_brute_force(spark, docs):
+    odd = spark.createDataFrame([(9000, "Ab#c *** <b> a|b 100% & $5 > x\n" * 3, "en", "s", 1, "x", "y"), (9000, "again", "en", "s", 1, "x", "y"), (9003, "é" * 70_000 + " # " + "w " * 30_000, "en", "s", 1, "x", "y")], DOCS)
+    docs = docs.union(odd)
+    got = collections.defaultdict(list)
+    for r in quality.op7(docs).collect():
+        got[r["doc_id"]].append((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]))
+        assert not (r["base_failed"] and r["kept"])
+    want = collections.defaultdict(list)
     for i, t in texts(docs):
         w = [x.decode() for x in t.encode().split()]
         n = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
         again = {k + j for k in range(len(w) - 2) for j in range(3) if n[tuple(w[k : k + 3])] > 1}
         lines = [x for x in t.split("\n") if x.encode().split()]
-        g = got[i]
-        assert (g["n_words"], g["word_chars"], g["n_dup_lines"], g["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(again))
-        assert g["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w))
-        assert not (g["base_failed"] and g["kept"])
+        want[i].append((len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(again), len(w) < 50 or 100 * len(again) > 50 * len(w)))
+    assert {i: sorted(x) for i, x in got.items() if i is not None} == {i: sorted(x) for i, x in want.items()}
     assert quality.op7(docs.limit(0)).count() == 0
-    _, odds = quality.fit([((1, 1), 900), ((-1, 1), 60), ((1, -1), 60)])
-    assert all(o[-1] < -3 and o[0] == 0 for o in odds)
+
+
+def test_quality_estimation_equals_an_independent_one():
+    r = np.random.default_rng(0)
+    votes = r.choice([-1, 0, 1], p=[0.05, 0.1, 0.85], size=(400, 8))
+    votes[:60, 1] = votes[:60, 2] = -1
+    counts = collections.Counter(map(tuple, votes.tolist()))
+    shares, chances = quality.fit(sorted(counts.items()), rounds=40)
+    hot = np.stack([votes == x for x in (-1, 0, 1)], axis=2).astype(float)
+    own = list(quality.KINDS.values())
+    w0 = np.array([quality._GOOD] + [(1 - quality._GOOD) / 4] * 4)
+    prior = np.array([[quality._OWN if j in k else quality._OTHER for j in range(8)] for k in own])
+    pull = 400 * w0[:, None] * np.array([[quality._ANCHORED if c == 0 or j in k else quality._LOOSE for j in range(8)] for c, k in enumerate(own)])
+    w, p = w0, prior
+    for _ in range(40):
+        x = np.log(w) + np.einsum("njv,cjv->nc", hot, np.log(p))
+        member = np.exp(x - np.logaddexp.reduce(x, axis=1)[:, None])
+        w = member.sum(axis=0) + quality._LOOSE * 400 * w0
+        w = w / w.sum()
+        n = np.einsum("nc,njv->cjv", member, hot) + pull[:, :, None] * prior
+        p = n / n.sum(axis=2, keepdims=True)
+    assert np.allclose(shares, w, atol=1e-6)
+    assert np.allclose(chances, p, atol=1e-6)
+    assert abs(p[0, 1, 0] - prior[0, 1, 0]) > 1e-4  # accuracies are estimated, not the anchors
+
+
+def test_quality_posterior_and_single_votes_decide(spark):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts"]
+    good, symbols, repeats = (100, 500, 0, 0, 0, 10, 10, 0), (100, 500, 150, 0, 0, 10, 10, 0), (100, 500, 0, 2, 49, 10, 10, 0)
+    rows = [("good", *good)] * 800 + [("symbols", *symbols)] * 60 + [("again", 100, 500, 0, 2, 90, 10, 10, 0)] * 140
+    rows += [("one against", 100, 500, 0, 5, 0, 10, 10, 0)] * 2 + [("abstains", *repeats)]
+    feats = spark.createDataFrame([(*r, "x", "y") for r in rows], ["doc", *names, "kept", "_votes"])
+    votes = {r["doc"]: [r[f"v{j}"] for j in range(8)] for r in feats.select("doc", *[v.alias(f"v{j}") for j, v in enumerate(quality.votes())]).distinct().collect()}
+    assert votes["one against"].count(-1) == 1
+    got = quality.judged(feats)
+    assert [c for c in got.columns if c.startswith("_")] == ["_votes"]
+    kept = {r["doc"]: (r["base_failed"], r["kept"]) for r in got.distinct().collect()}
+    assert kept == {"good": (False, True), "symbols": (False, False), "again": (True, False), "one against": (False, True), "abstains": (False, False)}
+    model = quality.fit(sorted(collections.Counter(tuple(votes[r[0]]) for r in rows).items()))
+    assert quality.memberships(model, (1, 0, 0, 0, 1, 1, 1, 1))[0] < 0.5  # no vote against, and rejected
+
+
+def test_quality_names_may_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4, "k")], "doc_id long, text string, _text int, _words int, N_Words int, posterior int, `odd.name` string")
+    got = quality.judged(quality.features(docs))
+    assert {"_text", "_words", "odd.name", "n_words", "posterior"} <= set(got.columns)
+    assert (got.first()["_text"], got.first()["n_words"], got.first()["odd.name"]) == (1, 3, "k")
 
 
 def test_toxicity_segments_and_held_out_labels(spark):
