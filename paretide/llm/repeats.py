@@ -11,6 +11,13 @@ windows of a document with one anchor form a run. The steps:
 4. groups of more than ``hot_runs`` distinct runs are dealt again by whole windows, pre-aggregated.
 
 Hot passages cost little: copies are pre-aggregated in 1, join sides split on skew in 1 and 3.
+
+Equality: two runs are the same if the 64-bit hashes of their anchor and of their content are both equal; within a
+group the kernels compare the symbols themselves (bytes, or 64-bit hashes of words); in 4 windows are compared by two
+independent 64-bit hashes.
+
+A row is named by ``k``, its doc_id (the least long if null), and ``t``, which is 0 where the doc_id is unique and a
+hash of the text elsewhere. So rows that share a doc_id are told apart, and only equal rows share a name.
 """
 
 from __future__ import annotations
@@ -21,16 +28,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BLOCK, BYTE_VALUE, U, blocks, mix, prefix, signed, sliding_min, span, texts_of, word_hashes
-from .shared import frugal, written
+from .shared import BROADCAST_KEYS, frugal, written
 
 _POS_BITS = U(22)
 _LOW = (U(1) << _POS_BITS) - U(1)
 #: Symbols of runs that a kernel holds at once.
 CHUNK = 1 << 20
+#: Distinct runs of a group that is searched in one task; its windows take a few hundred MB at most.
+HOT_RUNS = 20_000
 
 
 @dataclass(frozen=True)
@@ -85,12 +94,12 @@ def symbols(data: np.ndarray, offsets: np.ndarray, of: Windows) -> Iterator[tupl
 def _emit_runs(batches: Iterator[pa.RecordBatch], of: Windows) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = texts_of(batch.column("text"))
-        ids = batch.column("k").to_numpy()
+        k, t = batch.column("k").to_numpy(), batch.column("t").to_numpy()
         for i, x, rows, cut in symbols(data, offsets, of):
             row, first, size, offset, m, s = runs_of(x, rows, of.width, of.gram)
             if len(row):
                 at = ((first + cut) << 20) | (size << 10) | offset
-                yield pa.RecordBatch.from_arrays([pa.array(signed(m)), pa.array(ids[i + row]), pa.array(signed(s)), pa.array(at)], names=["m", "doc", "s", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(m)), pa.array(k[i + row]), pa.array(t[i + row]), pa.array(signed(s)), pa.array(at)], names=["m", "k", "t", "s", "at"])
 
 
 @frugal
@@ -116,7 +125,7 @@ def _cut_runs(batches: Iterator[pa.RecordBatch], of: Windows) -> Iterator[pa.Rec
 
 @dataclass
 class Group:
-    """The windows of some groups of runs: ``run`` of each window, its offset in the run, its place in ``x``."""
+    """The windows of some groups of runs: ``run`` of each window, its offset in the run, its place in ``x`` (bytes or hashes of words)."""
 
     x: np.ndarray
     m: np.ndarray
@@ -132,7 +141,7 @@ class Group:
     def of(rows: pa.Table, of: Windows) -> Group:
         m, s, shape, c, d = (rows.column(n).combine_chunks().to_numpy() for n in ("m", "s", "shape", "c", "d"))
         raw = b"".join(rows.column("blob").to_pylist())
-        x = np.frombuffer(raw, dtype=U) if of.words else BYTE_VALUE[np.frombuffer(raw, dtype=np.uint8)]
+        x = np.frombuffer(raw, dtype=U if of.words else np.uint8)
         size, offset = shape >> 10, shape & 1023
         ends = np.cumsum(size - 1 + of.width)
         start = ends - (size - 1 + of.width)
@@ -141,25 +150,26 @@ class Group:
         return Group(x, m, s, c, d, run, j, start[run] + j, offset[run] - j)
 
 
-Search = Callable[[Group, Windows], np.ndarray]
+#: Gives each window a value, and says which windows have one.
+Search = Callable[[Group, Windows], tuple[np.ndarray, np.ndarray]]
 
 
 @frugal
 def _search(batches: Iterator[pa.RecordBatch], of: Windows, values: Search) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by m. ``values`` gives each window a value, -1 for none; runs of equal values go out."""
+    """Rows come sorted by m. Neighbouring windows of a run with equal values go out as one row."""
     held: list[pa.RecordBatch] = []
     held_bytes = 0
 
     def out(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         g = Group.of(pa.Table.from_batches(rows), of)
-        v = values(g, of)
+        v, some = values(g, of)
         new = np.ones(len(v), dtype=bool)
-        new[1:] = (v[1:] != v[:-1]) | (g.run[1:] != g.run[:-1])
+        new[1:] = (v[1:] != v[:-1]) | (some[1:] != some[:-1]) | (g.run[1:] != g.run[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(v))
-        keep = v[first] != -1
+        keep = some[first]
         first, last = first[keep], last[keep]
-        return pa.RecordBatch.from_arrays([pa.array(g.s[g.run[first]]), pa.array(g.j[first]), pa.array(g.j[last - 1] + 1), pa.array(v[first])], names=["s", "lo", "hi", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(g.m[g.run[first]]), pa.array(g.s[g.run[first]]), pa.array(g.j[first]), pa.array(g.j[last - 1] + 1), pa.array(v[first])], names=["m", "s", "lo", "hi", "v"])
 
     for batch in batches:
         m = batch.column("m").to_numpy()
@@ -188,65 +198,67 @@ def _whole_windows(batches: Iterator[pa.RecordBatch], of: Windows) -> Iterator[p
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             g = Group.of(pa.Table.from_batches([batch.slice(lo, 4096)]), of)
-            sums, other = prefix(g.x), prefix(mix(g.x ^ U(0x5851F42D4C957F2D)))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(span(y, g.pos, g.pos + of.width))) for y in (sums, other)] + [pa.array(g.s[g.run]), pa.array(g.j), pa.array(g.c[g.run]), pa.array(g.d[g.run])], names=["h", "h2", "s", "lo", "c", "d"])
+            x = g.x if of.words else BYTE_VALUE[g.x]
+            sums, other = prefix(x), prefix(mix(x ^ U(0x5851F42D4C957F2D)))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(span(y, g.pos, g.pos + of.width))) for y in (sums, other)] + [pa.array(g.m[g.run]), pa.array(g.s[g.run]), pa.array(g.j), pa.array(g.c[g.run]), pa.array(g.d[g.run])], names=["h", "h2", "m", "s", "lo", "c", "d"])
 
 
-def covered(docs: DataFrame, of: Windows, search: Search, count_all: bool, hot_runs: int = 200_000) -> DataFrame:
-    """Rows (doc, a, b): windows a <= i < b of the document with key ``doc`` are repeats.
+def covered(docs: DataFrame, of: Windows, search: Search, count_all: bool, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """Rows (k, t, a, b): windows a <= i < b of the rows named (k, t) are repeats.
 
-    ``docs`` has ``k`` (a key without nulls) and ``text``. ``count_all``: a window is a repeat if its symbols stand
-    anywhere else; otherwise, if they stand in a document with a smaller key.
+    ``docs`` is ``keyed``. ``count_all``: a window is a repeat if its symbols stand anywhere else; otherwise, if they
+    stand in a document with a smaller ``k``.
     """
-    runs = docs.select("k", "text").mapInArrow(partial(_emit_runs, of=of), "m long, doc long, s long, at long")
-    seen = runs.groupBy("m").agg(F.count("*").alias("n"), F.min("doc").alias("d"), F.max("doc").alias("e"), F.min("s").alias("s0"), F.max("s").alias("s1"))
+    runs = docs.select("k", "t", "text").mapInArrow(partial(_emit_runs, of=of), "m long, k long, t long, s long, at long")
+    seen = runs.groupBy("m").agg(F.count("*").alias("n"), F.min("k").alias("d"), F.max("k").alias("e"), F.min("s").alias("s0"), F.max("s").alias("s1"))
     # written, so that the join below has a plain exchange on both sides and Spark can split a hot anchor's rows
     seen = written(seen.filter("n > 1" if count_all else "d < e").select("m", "d", (F.col("s0") != F.col("s1")).alias("multi")), "anchors")
     found = written(runs.join(seen, "m"), "runs")
 
     single = found.filter(~F.col("multi"))
     if not count_all:
-        single = single.filter("doc > d")
+        single = single.filter("k > d")
     first, size = F.shiftright("at", 20), F.shiftright("at", 10).bitwiseAND(1023)
-    single = single.select("doc", first.alias("a"), (first + size).alias("b"))
+    single = single.select("k", "t", first.alias("a"), (first + size).alias("b"))
 
-    many = found.filter("multi").select("m", "s", "doc", "at")
-    distinct = written(many.groupBy("m", "s").agg(F.count("*").alias("c"), F.min("doc").alias("d"), F.min(F.struct("doc", "at")).alias("rep")), "distinct")
+    many = found.filter("multi").select("m", "s", "k", "t", "at")
+    distinct = written(many.groupBy("m", "s").agg(F.count("*").alias("c"), F.min("k").alias("d"), F.min(F.struct("k", "t", "at")).alias("rep")), "distinct")
     hot = distinct.groupBy("m").count().filter(F.col("count") > hot_runs).select("m")
-    wanted = distinct.groupBy(F.col("rep.doc").alias("k")).agg(F.collect_list(F.struct("m", "s", F.col("rep.at").alias("at"), "c", "d")).alias("wanted"))
+    wanted = distinct.groupBy(F.col("rep.k").alias("k"), F.col("rep.t").alias("t")).agg(F.collect_list(F.struct("m", "s", F.col("rep.at").alias("at"), "c", "d")).alias("wanted"))
     # the kernel takes all columns of docs, so that this join and with_spans share one exchange of the texts
-    cut = docs.join(wanted, "k").mapInArrow(partial(_cut_runs, of=of), "m long, s long, shape long, c long, d long, blob binary")
+    cut = docs.join(wanted, ["k", "t"]).mapInArrow(partial(_cut_runs, of=of), "m long, s long, shape long, c long, d long, blob binary")
     some_hot = hot.limit(1).count() > 0
     if some_hot:
         cut = written(cut, "cut")
     rest = cut.join(hot, "m", "left_anti") if some_hot else cut
-    values = rest.repartition("m").sortWithinPartitions("m").mapInArrow(partial(_search, of=of, values=search), "s long, lo long, hi long, v long")
+    values = rest.repartition("m").sortWithinPartitions("m").mapInArrow(partial(_search, of=of, values=search), "m long, s long, lo long, hi long, v long")
     if some_hot:
-        each = cut.join(hot, "m", "left_semi").mapInArrow(partial(_whole_windows, of=of), "h long, h2 long, s long, lo long, c long, d long")
+        each = cut.join(hot, "m", "left_semi").mapInArrow(partial(_whole_windows, of=of), "h long, h2 long, m long, s long, lo long, c long, d long")
         total = each.groupBy("h", "h2").agg(F.sum("c").alias("n"), F.min("d").alias("v"))
-        each = each.join(total.filter("n > 1"), ["h", "h2"]).select("s", "lo", (F.col("lo") + 1).alias("hi"), F.lit(0).cast("long").alias("v") if count_all else "v")
+        each = each.join(total.filter("n > 1"), ["h", "h2"]).select("m", "s", "lo", (F.col("lo") + 1).alias("hi"), F.lit(0).cast("long").alias("v") if count_all else "v")
         values = values.union(each)
-    placed = many.join(values, "s")
+    placed = many.join(values, ["m", "s"])
     if not count_all:
-        placed = placed.filter("doc > v")
-    return single.union(placed.select("doc", (first + F.col("lo")).alias("a"), (first + F.col("hi")).alias("b")))
+        placed = placed.filter("k > v")
+    return single.union(placed.select("k", "t", (first + F.col("lo")).alias("a"), (first + F.col("hi")).alias("b")))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the array ``spans`` of each (null: none)."""
-    lists = spans.groupBy(F.col("doc").alias("k")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return docs.join(lists, "k", "left")
+    lists = spans.groupBy("k", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return docs.join(lists, ["k", "t"], "left")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``k`` and the columns of every row but doc_id. A row without doc_id has a negative key made from its text."""
-    own = F.lit(-(2**62)) - F.xxhash64("text").bitwiseAND(2**60 - 1)
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("k"), *[c for c in docs.columns if c not in ("doc_id", "k", "spans")])
-
-
-def unkeyed() -> Column:
-    """doc_id again, from ``k``."""
-    return F.when(F.col("k") > -(2**61), F.col("k")).alias("doc_id")
+    """(k, t, text, row): the name of each row, its text, and all its columns but the text in one struct."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("row"))
+    own = F.xxhash64("text")
+    name = F.when(F.col("id").isNull(), own).otherwise(F.lit(0).cast("long"))
+    repeated = written(docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).count().filter("count > 1").select("id", F.lit(True).alias("again")), "repeated")
+    if n := repeated.count():
+        rows = rows.join(F.broadcast(repeated) if n <= BROADCAST_KEYS else repeated.hint("shuffle_merge"), "id", "left")
+        name = F.when(F.col("id").isNull() | F.col("again"), own).otherwise(F.lit(0).cast("long"))
+    return rows.select(F.coalesce("id", F.lit(-(2**63))).alias("k"), name.alias("t"), "text", "row")
 
 
 def mask_of(spans: pa.Array, row: int, n: int, width: int) -> np.ndarray:
@@ -262,4 +274,4 @@ def mask_of(spans: pa.Array, row: int, n: int, width: int) -> np.ndarray:
     return np.cumsum(depth[:n]) > 0
 
 
-__all__ = ["Group", "Windows", "covered", "keyed", "mask_of", "unkeyed", "with_spans"]
+__all__ = ["HOT_RUNS", "Group", "Windows", "covered", "keyed", "mask_of", "with_spans"]

@@ -6,9 +6,10 @@ first by the place of the anchor in the window, then by whole windows. In a grou
 longest common prefixes of neighbours give the tree's internal nodes, and each node as deep as a window holds the
 copies of one repeated window; its smallest doc_id decides which of them are removed.
 
-Defined results: null or blank text has no words; fewer than 13 words have no window; a null doc_id counts as
-smaller than every other; rows that repeat a doc_id are one document; an empty table gives an empty table; extra
-columns play no part.
+Defined results: null or blank text has no words; fewer than 13 words have no window; rows that share a doc_id are one
+document with several texts, whose passages don't count against each other; so are all rows without doc_id, and that
+document stands before every other; an empty table gives an empty table; extra columns play no part. Words are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .hashing import texts_of
-from .repeats import Group, Windows, covered, keyed, mask_of, unkeyed, with_spans
+from .repeats import HOT_RUNS, Group, Windows, covered, keyed, mask_of, with_spans
 from .shared import frugal
 
 WIDTH = 13
@@ -31,27 +33,31 @@ SUBTREE = 1 << 20
 
 
 def _subtree(g: Group, of: Windows, which: np.ndarray, out: np.ndarray) -> None:
-    """Sort the suffixes ``which``, find the nodes of full depth, write the smallest document of each into ``out``."""
-    columns = [g.x[g.pos[which] + i] for i in reversed(range(of.width))]
-    columns += [g.back[which], g.m[g.run[which]]]
-    order = np.lexsort(columns)  # the last key leads: group, anchor's place, words from the first on
-    joined = np.ones(len(which) - 1, dtype=bool)  # neighbours whose common prefix is a whole window
-    for c in columns:
-        joined &= c[order[1:]] == c[order[:-1]]
-    node = np.flatnonzero(np.append(True, ~joined))
+    """Sort the suffixes ``which``, find the nodes as deep as a window, write the smallest document of each into ``out``."""
+    words = [g.x[g.pos[which] + i] for i in range(of.width)]
+    group = [g.m[g.run[which]], g.back[which]]
+    order = np.lexsort([*reversed(words), *reversed(group)])  # the last key leads: group, anchor's place, words from the first on
+    common = np.ones(len(which) - 1, dtype=bool)
+    for c in group:
+        common &= c[order[1:]] == c[order[:-1]]
+    prefixes = np.zeros(len(which) - 1, dtype=np.int64)  # words that neighbours share from the first on
+    for c in words:
+        common &= c[order[1:]] == c[order[:-1]]
+        prefixes += common
+    node = np.flatnonzero(np.append(True, prefixes < of.width))
     least = np.minimum.reduceat(g.d[g.run[which[order]]], node)
     out[which[order]] = np.repeat(least, np.diff(np.append(node, len(which))))
 
 
-def subtrees(g: Group, of: Windows) -> np.ndarray:
-    """The smallest document in which each window starts."""
+def subtrees(g: Group, of: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document in which each window starts; every window has one."""
     out = g.d[g.run].copy()
     which = np.arange(len(out))
     parts = [which] if len(which) <= SUBTREE else [np.flatnonzero(g.back == b) for b in np.unique(g.back)]
     for part in parts:
         if len(part) > 1:
             _subtree(g, of, part, out)
-    return out
+    return out, np.ones(len(out), dtype=bool)
 
 
 def _windows(width: int) -> Windows:
@@ -74,22 +80,21 @@ def _cleaned(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             else:
                 removed.append(0)
             kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["k", "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("row").field("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 @frugal
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sha = [hashlib.sha256(x).hexdigest() for x in batch.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_words", "n_removed")] + [pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_words", "n_removed")] + [pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, hot_runs: int = 200_000) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space (``kept``, binary) of every document."""
-    base = keyed(docs.select("doc_id", "text"))
+    base = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     spans = covered(base, _windows(width), subtrees, False, hot_runs)
-    out = with_spans(base, spans).mapInArrow(partial(_cleaned, width=width), "k long, n_words long, n_removed long, kept binary")
-    return out.select(unkeyed(), "n_words", "n_removed", "kept")
+    return with_spans(base, spans).mapInArrow(partial(_cleaned, width=width), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op5(docs: DataFrame) -> DataFrame:

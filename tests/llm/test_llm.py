@@ -104,6 +104,77 @@ def test_substring_dedup_equals_brute_force(docs, hot):
     assert substring_dedup.op5(docs.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Rows that share a doc_id, or have none, with equal, different, null, blank and long texts; -1 is a doc_id too."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6)))
+    text = lambda k: " ".join(word() for _ in range(k))
+    a, b, c = text(40), text(40), text(40)
+    rows = [(1, f"{text(60)} {a} {text(9)}"), (1, "short text"), (2, f"{a} {text(5)}"), (2, f"{text(5)} {b} {text(3)} {b}"), (2, None), (3, b), (3, b), (3, ""), (None, c), (None, c), (None, f"{text(3)} {c}"), (None, None), (4, f"{c} {text(300)} {a}"), (5, "alone"), (5, "alone"), (-1, f"{text(4)} {a}"), (0, f"{a} {text(4)}"), (-7, text(30))]
+    return spark.createDataFrame([(i, t, 1, "s", "r", 2, 3) for i, t in rows], "doc_id long, text string, k int, spans string, `row` string, t int, N_BYTES int")
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_suffix_dedup_with_repeated_and_missing_ids(repeated, hot):
+    width, rows = 60, [(r["doc_id"], (r["text"] or "").encode()) for r in repeated.collect()]
+    n = collections.Counter(b[i : i + width] for _, b in rows for i in range(len(b) - width + 1))
+    want = []
+    for i, b in rows:
+        gone = [False] * len(b)
+        for k in range(len(b) - width + 1):
+            if n[b[k : k + width]] > 1:
+                gone[k : k + width] = [True] * width
+        want.append((str(i), len(b), sum(gone), sum(y and (k == 0 or not gone[k - 1]) for k, y in enumerate(gone)), bytes(x for x, y in zip(b, gone, strict=True) if not y)))
+    got = suffix_dedup.dedup(repeated, width, hot)
+    assert got.columns == ["doc_id", "k", "spans", "row", "t", "n_bytes", "n_removed", "n_spans", "kept"]
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect()) == sorted(want)
+    again = suffix_dedup.deduplicated(repeated, width)
+    assert again.columns == repeated.columns
+    assert sorted(r["text"].encode() for r in again.collect()) == sorted(x[-1] for x in want)
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_substring_dedup_with_repeated_and_missing_ids(repeated, hot):
+    rows = [(-(2**63) if r["doc_id"] is None else r["doc_id"], (r["text"] or "").encode().split()) for r in repeated.collect()]
+    first = {}
+    for i, w in rows:
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(first.get(tuple(w[k : k + 13]), i), i)
+    want = []
+    for i, w in rows:
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        want.append((i, len(w), sum(gone), b" ".join(x for x, y in zip(w, gone, strict=True) if not y)))
+    got = substring_dedup.dedup(repeated, 13, hot).collect()
+    assert sorted((-(2**63) if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in got) == sorted(want)
+
+
+def test_radix_passes_compare_the_bytes_themselves(monkeypatch):
+    """With a fingerprint that is the same for every digit the passes still tell windows apart."""
+    from paretide.llm import repeats
+
+    r = np.random.default_rng(0)
+    runs, width = 40, 60
+    x = r.integers(97, 100, (runs, width + 4)).astype(np.uint8)
+    x[20:] = x[:20]
+    x[25:, 30] = 120
+    x[39, 0] = 121
+    j = np.tile(np.arange(5), runs)
+    run = np.repeat(np.arange(runs), 5)
+    ones = np.ones(runs, dtype=np.int64)
+    g = repeats.Group(x.ravel(), ones, np.arange(runs), ones, ones, run, j, run * (width + 4) + j, np.tile(np.arange(5)[::-1], runs))
+    n = collections.Counter((int(g.back[i]), x.ravel()[p : p + width].tobytes()) for i, p in enumerate(g.pos))
+    want = [n[int(g.back[i]), x.ravel()[p : p + width].tobytes()] > 1 for i, p in enumerate(g.pos)]
+    of = repeats.Windows(width, 10, False)
+    for digit in (40, 7, 3):
+        assert suffix_dedup.radix_passes(g, of, digit)[1].tolist() == want
+    monkeypatch.setattr(suffix_dedup, "span", lambda sums, a, b: np.zeros(len(a), dtype=np.uint64))
+    assert suffix_dedup.radix_passes(g, of)[1].tolist() == want
+
+
 def test_jaccard_join_equals_brute_force(docs):
     got = {r["doc_id"]: r for r in jaccard_join.op8(docs).collect()}
     sets = {}
