@@ -1,7 +1,7 @@
 """Operator 2, HTML main text by a recurrent block labeller.
 
-A page is cut into leaf blocks at block-level tags. Each block becomes a vector: its tag path (tags, classes, ids and
-roles, hashed), its words (hashed) and a few measures of its text. A bidirectional LSTM in NumPy reads the sequence
+A page is cut into leaf blocks at block-level tags. Each block becomes a vector: its whole tag path (tags, classes, ids
+and roles of all ancestors, hashed), its words (hashed) and a few measures of its text. A bidirectional LSTM in NumPy reads the sequence
 of a page's blocks, so each label depends on the whole page, and the blocks labelled main text are joined in order.
 The network is trained here, in a few seconds, on pages that ``training_pages`` generates from a seed: layouts with
 semantic tags, with named containers and with bare tags, whose words are made of random syllables.
@@ -19,8 +19,9 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import word_hashes
+from .shared import frugal
 
-PATH, WORD, MEASURES, HIDDEN = 128, 16, 8, 16
+PATH, WORD, MEASURES, HIDDEN = 512, 16, 8, 16
+#: Share of the path slots that training hides of a page, so that no single name decides.
+DROPOUT = 0.05
 SIZE = PATH + WORD + MEASURES
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -58,35 +62,55 @@ def _ended(page: str, tag: str) -> frozenset[int]:
     return frozenset(out)
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, tag path, characters inside links) of each leaf block of a page."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+#: Slots of the names on a block's tag path (bits), and the innermost tag; (0, None) outside of all tags.
+Path = tuple[int, str | None]
+
+
+def _slot(name: str) -> int:
+    return zlib.crc32(name.encode()) % PATH
+
+
+def blocks(page: str) -> list[tuple[str, Path, int]]:
+    """(text, tag path, characters inside links) of each leaf block of a page, in linear time.
+
+    Every name on the path counts, however deep; a tag costs no more than what it closes.
+    """
+    out: list[tuple[str, Path, int]] = []
+    stack: list[tuple[str, Path]] = []
     held: list[str] = []
     linked = links = skip = 0
-    loose: list[int] = []  # places in the stack of dropped elements without end tag
+    solid: list[int] = []  # places in the stack of tags that aren't inline
+    dropped: list[int] = []  # of dropped elements
+    loose: set[int] = set()  # of those without end tag
+    opened: Counter[str] = Counter()
     ended: dict[str, frozenset[int]] = {}
+    last = page.rfind(">") + 1  # behind it nothing is markup, but for what is left open
 
     def flush() -> None:
         nonlocal linked
         if held and (text := " ".join(entities.unescape("".join(held)).split())):
-            out.append((text, tuple(x for _, names in stack for x in names), linked))
+            out.append((text, stack[-1][1] if stack else (0, None), linked))
         held.clear()
         linked = 0
 
     def close(i: int) -> None:
         nonlocal links, skip
         for tag, _ in stack[i:]:
+            opened[tag] -= 1
             links -= tag == "a"
             skip -= tag in _DROPPED
         del stack[i:]
-        while loose and loose[-1] >= i:
-            loose.pop()
+        for places in (solid, dropped):
+            while places and places[-1] >= i:
+                loose.discard(places.pop())
 
     at = 0
     while True:
-        m = _MARKUP.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
+        m = _MARKUP.search(page, at, last) if at < last else None
+        end = len(page)
+        if not m:
+            end = min((x for x in (page.find("<!--", at), page.find("<![CDATA[", at)) if x >= 0), default=end)
+        piece = page[at : m.start() if m else end]
         if piece and stack and stack[-1][0] == "head" and not piece.isspace():
             close(len(stack) - 1)
         if piece and not skip:
@@ -97,75 +121,79 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
+            if m[0].startswith(("<!--", "<![CDATA[")) and not m[0].endswith(("-->", "]]>")):
+                at = len(page)  # left open: the rest goes
             continue
         if tag not in _INLINE:
             flush()
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if opened[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close(i)
             continue
         attributes = m[3] if m[2] else m[6]
         if loose and tag in _BLOCKS:  # outermost of those that no closed dropped element stands in
             cut = len(stack)
-            for i in range(len(stack) - 1, -1, -1):
-                if i in loose:
-                    cut = i
-                elif stack[i][0] in _DROPPED:
+            for i in reversed(dropped):
+                if i not in loose:
                     break
+                cut = i
             close(cut)
         if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
             close(len(stack) - 1)
         if tag in ("script", "style"):
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, last)
+            at = found.end() if found else len(page)
             continue
         if tag == "br":
             held.append(" ")
         if tag in _VOID or attributes.endswith("/") and tag in _DROPPED:
             continue
         if tag in _CLOSES:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in reversed(solid):
                 if stack[i][0] in _CLOSES[tag]:
                     close(i)
                     break
-                if stack[i][0] not in _INLINE and stack[i][0] not in ("p",):
-                    break
-        if tag not in _INLINE and tag not in _CLOSES:  # an open paragraph ends where a block begins
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] not in _INLINE:
+                if stack[i][0] != "p":
                     break
-        names = (tag,)
-        if attributes and tag not in _INLINE:
-            names += tuple("." + x.lower() for v in _NAMES.findall(attributes) for x in _PARTS.findall("".join(v)))
-        stack.append((tag, names if tag not in _INLINE else ()))
+        elif tag not in _INLINE and solid and stack[solid[-1]][0] == "p":  # an open paragraph ends where a block begins
+            close(solid[-1])
+        path = stack[-1][1] if stack else (0, None)
+        if tag not in _INLINE:
+            bits = path[0] | 1 << _slot(tag)
+            if attributes:
+                for v in _NAMES.findall(attributes):
+                    for x in _PARTS.findall("".join(v)):
+                        bits |= 1 << _slot("." + x.lower())
+            path = (bits, tag)
+            solid.append(len(stack))
+        stack.append((tag, path))
+        opened[tag] += 1
         links += tag == "a"
         skip += tag in _DROPPED
-        if tag in _DROPPED and tag != "head":
-            if tag not in ended:
-                ended[tag] = _ended(page, tag)
-            if m.start() + 1 + len(tag) not in ended[tag]:
-                loose.append(len(stack) - 1)
+        if tag in _DROPPED:
+            dropped.append(len(stack) - 1)
+            if tag != "head":
+                if tag not in ended:
+                    ended[tag] = _ended(page, tag)
+                if m.start() + 1 + len(tag) not in ended[tag]:
+                    loose.add(len(stack) - 1)
     flush()
     return out
 
 
 @lru_cache(maxsize=20_000)
-def _path(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, dtype=np.float32)
-    for x in path[-24:]:
-        v[zlib.crc32(x.encode()) % PATH] = 1
-    if path:
-        tags = [x for x in path if x[0] != "."]
-        v[zlib.crc32(f"leaf {tags[-1]}".encode()) % PATH] = 1
+def _path(path: Path) -> np.ndarray:
+    bits, leaf = path
+    v = np.unpackbits(np.frombuffer(bits.to_bytes(PATH // 8, "little"), dtype=np.uint8), bitorder="little").astype(np.float32)
+    if leaf:
+        v[_slot(f"leaf {leaf}")] = 1
     return v
 
 
-def vectors(page_blocks: list[list[tuple[str, tuple[str, ...], int]]]) -> np.ndarray:
+def vectors(page_blocks: list[list[tuple[str, Path, int]]]) -> np.ndarray:
     """The vectors of all blocks of some pages, one after another."""
     flat = [b for page in page_blocks for b in page]
     out = np.zeros((len(flat), SIZE), dtype=np.float32)
@@ -289,7 +317,7 @@ def _words(r: random.Random, n: int) -> str:
 #: Names of containers in generated pages, by what they hold.
 _ROLES = {
     "menu": ("nav menu navbar navigation topbar breadcrumb breadcrumbs tabs toc links", "nav"),
-    "head": ("header masthead banner site branding top logo", "header"),
+    "head": ("header masthead banner branding top logo", "header"),
     "foot": ("footer foot bottom copyright colophon legal", "footer"),
     "side": ("sidebar side aside widget related recommended trending popular tags secondary", "aside"),
     "note": ("cookie notice consent gdpr alert popup modal overlay paywall message disclaimer", "div"),
@@ -297,14 +325,25 @@ _ROLES = {
     "form": ("form newsletter subscribe signup login search contact", "form"),
     "talk": ("comments comment reply replies discussion responses disqus thread respond", "section"),
     "share": ("share social sharing follow buttons", "div"),
-    "main": ("article content main post entry story body text page", "article"),
+    "main": ("article content main post entry story body text", "article"),
 }
 
+#: Names of containers that hold main text and other parts alike, and of further classes that say little.
+_AROUND = "page site wrapper wrap container layout root app main content body outer inner row col columns grid single view primary document".split()
+_FURTHER = "row col wide box inner area wrap type single item block grid entry standard clearfix large first has dark left right global default public status format template".split()
+
 
 def _page(r: random.Random) -> list[tuple[str, int]]:
     """Pieces of a page, each with its label: 1 main text, 0 other text, -1 markup only."""
     style = r.choice(("semantic", "named", "both", "both"))
 
+    def around(inner: list[tuple[str, int]]) -> list[tuple[str, int]]:
+        """A container that tells nothing of what it holds."""
+        tag = r.choice(("div", "div", "div", "section", "main"))
+        names = [f'{r.choice(("", "", "site-", "page-"))}{r.choice(_AROUND)}{r.choice(("", "", "-inner", "-wrap"))}' for _ in range(r.randint(1, 2))]
+        mark = r.choice(("", f' class="{" ".join(names)}"', f' id="{names[0]}"', f' id="{names[0]}" class="{names[-1]}"'))
+        return [(f"<{tag}{mark}>", -1), *inner, (f"</{tag}>", -1)]
+
     def box(role: str, inner: list[tuple[str, int]]) -> list[tuple[str, int]]:
         names, tag = _ROLES[role]
         words = names.split()
@@ -313,7 +352,7 @@ def _page(r: random.Random) -> list[tuple[str, int]]:
             mark = ""
         else:
             tag = tag if style == "both" and r.random() < 0.5 else r.choice(("div", "section", "div"))
-            mark = f' {r.choice(("class", "class", "id"))}="{r.choice(("", "site-", "page-", "c-", "box "))}{r.choice(words)}{r.choice(("", "", "-inner", "-box", " wide", "-1"))}"'
+            mark = f' {r.choice(("class", "class", "id"))}="{r.choice(("", "site-", "page-", "c-", "box "))}{r.choice(words)}{r.choice(("", "", "-inner", "-box", " wide", "-1", "-area", "-list"))}"'
         return [(f"<{tag}{mark}>", -1), *inner, (f"</{tag}>", -1)]
 
     def short(label: int, n: tuple[int, int] = (1, 6)) -> tuple[str, int]:
@@ -328,13 +367,13 @@ def _page(r: random.Random) -> list[tuple[str, int]]:
     def prose(label: int, n: tuple[int, int] = (1, 4), words: tuple[int, int] = (4, 90), tag: str = "p") -> list[tuple[str, int]]:
         out = []
         for _ in range(r.randint(*n)):
-            out += [(f"<{tag}>", -1), (("<b>" if r.random() < 0.2 else "") + _words(r, r.randint(*words)), label), (f"</{tag}>" if r.random() < 0.9 else "", -1)]
+            out += [(f"<{tag}>", -1), (("<b>" if r.random() < 0.2 else "") + _words(r, r.randint(*words)) + r.choice((".", ".", "!", "")), label), (f"</{tag}>" if r.random() < 0.9 else "", -1)]
         return out
 
     def talk() -> list[tuple[str, int]]:
-        out = [("<h3>", -1), (r.choice(("Comments", _words(r, 2))), 0), ("</h3>", -1)]
+        out = [("<h3>", -1), (r.choice(("Comments", "3 comments", "Leave a reply", _words(r, 2))), 0), ("</h3>", -1)]
         for _ in range(r.randint(1, 5)):
-            out += [(f'<div class="{r.choice(("comment", "reply", "comment-body", "item"))}"><p>', -1), (_words(r, r.randint(2, 70)), 0), ("</p></div>", -1)]
+            out += [(f'<div class="{r.choice(("comment", "reply", "comment-body", "item", "comment-list"))}"><p>', -1), (_words(r, r.randint(2, 70)) + r.choice((".", "")), 0), ("</p></div>", -1)]
         return out
 
     def form() -> list[tuple[str, int]]:
@@ -348,8 +387,10 @@ def _page(r: random.Random) -> list[tuple[str, int]]:
     inner: list[tuple[str, int]] = []
     if r.random() < 0.9:
         inner += [("<h1>", -1), short(1, (2, 12)), ("</h1>", -1)]
-    for _ in range(r.randint(1, 5)):
-        inner += prose(1, (1, 5), r.choice(((1, 120), (1, 120), (1, 400), (1, 3))))
+    for _ in range(r.randint(6, 30) if r.random() < 0.15 else r.randint(1, 5)):
+        lengths = r.choice((((1, 120),), ((1, 120), (1, 3)), ((1, 400), (1, 120), (1, 3)), ((1, 20), (1, 3)), ((30, 200), (1, 2))))
+        for _ in range(r.randint(1, 5)):
+            inner += prose(1, (1, 1), r.choice(lengths))
         kind = r.random()
         if kind < 0.15:
             inner += [("<h2>", -1), short(1, (1, 8)), ("</h2>", -1)]
@@ -358,9 +399,15 @@ def _page(r: random.Random) -> list[tuple[str, int]]:
         elif kind < 0.32:
             inner += [("<blockquote>", -1), *prose(1, (1, 1), (5, 40)), ("</blockquote>", -1)]
         elif kind < 0.38:
-            inner += [("<table><tr><td>", -1), short(1), ("</td><td>", -1), short(1), ("</td></tr></table>", -1)]
+            inner.append(("<table>", -1))
+            for _ in range(r.randint(1, 4)):
+                inner += [("<tr><td>", -1), short(1), ("</td><td>", -1), short(1, (1, 12)), ("</td></tr>", -1)]
+            inner.append(("</table>", -1))
         elif kind < 0.48:
             inner += box(r.choice(("ad", "share", "note", "form", "side")), prose(0, (1, 1), (2, 25)))
+    for role, chance in (("share", 0.1), ("talk", 0.2), ("ad", 0.1)):  # at the end of the main container
+        if r.random() < chance:
+            inner += box(role, extras[role]())
     body: list[tuple[str, int]] = []
     for role, chance in (("note", 0.25), ("head", 0.5), ("menu", 0.8), ("form", 0.2), ("ad", 0.45), ("side", 0.3)):
         if r.random() < chance:
@@ -369,20 +416,23 @@ def _page(r: random.Random) -> list[tuple[str, int]]:
     for role, chance in (("share", 0.25), ("talk", 0.4), ("side", 0.45), ("ad", 0.3), ("form", 0.25), ("menu", 0.25), ("foot", 0.85), ("note", 0.15)):
         if r.random() < chance:
             body += box(role, extras[role]())
+    for _ in range(r.choice((0, 0, 0, 0, 0, 0, 0, 1, 1, 2))):
+        body = around(body)
     return body
 
 
-def training_pages(n: int, seed: int) -> Iterator[tuple[list[tuple[str, tuple[str, ...], int]], list[int]]]:
+def training_pages(n: int, seed: int) -> Iterator[tuple[list[tuple[str, Path, int]], list[int]]]:
     """Blocks and labels of generated pages: a mark in each piece of text tells its label through the parser."""
     r = random.Random(seed)
     for _ in range(n):
         page = "".join(f"{text}\x01" if label == 1 else text for text, label in _page(r))
-        found = [b for b in blocks(f"<html><head><title>x</title></head><body>{page}</body></html>") if b[0].strip("\x01 ")]
+        mark = r.choice(("", "", "", "", f' class="{" ".join(r.sample(_AROUND + _FURTHER, 3))}"'))
+        found = [b for b in blocks(f"<html><head><title>x</title></head><body{mark}>{page}</body></html>") if b[0].strip("\x01 ")]
         yield [(b[0].replace("\x01", "").strip(), b[1], b[2]) for b in found], [int("\x01" in b[0]) for b in found]
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 700, epochs: int = 14, seed: int = 1) -> Labeller:
+def trained(pages: int = 900, epochs: int = 14, seed: int = 1) -> Labeller:
     """The labeller, trained with Adam; the same for every call."""
     net, r = Labeller(seed), np.random.default_rng(seed)
     data = list(training_pages(pages, seed))
@@ -397,7 +447,7 @@ def trained(pages: int = 700, epochs: int = 14, seed: int = 1) -> Labeller:
             label = np.zeros_like(mask)
             for b, (_, y) in enumerate(part):
                 label[: len(y), b] = y
-            x[:, :, :PATH] *= r.random((1, x.shape[1], PATH)) > 0.08  # no single name may decide
+            x[:, :, :PATH] *= r.random((1, x.shape[1], PATH)) > DROPOUT  # no single name may decide
             step += 1
             rate = 0.012 * (1 - step / (total + 1))
             for k, g in net.gradients(x, mask, label).items():
@@ -430,18 +480,18 @@ def main_texts(pages: list[str], net: Labeller) -> list[str]:
     return out
 
 
-def extract(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
-    """page_id, url and the main text of every page."""
-    labeller = net or trained()
+@frugal
+def _extract(batches: Iterator[pa.RecordBatch], net: Labeller) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            texts = main_texts([t or "" for t in batch.column("html").to_pylist()], net)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = main_texts([t or "" for t in batch.column("html").to_pylist()], labeller)
-                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
+def extract(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
+    """page_id, url and the main text of every page."""
+    return pages.select("page_id", "url", "html").mapInArrow(partial(_extract, net=net or trained()), "page_id long, url string, text string")
 
 
 def op2(pages: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import html
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from paretide.llm import bpe, components, hash_forest, html_extract, jaccard_join, mixing, quality, sharding, substring_dedup, suffix_dedup, toxicity
 from paretide.llm.queries import tokenizer
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, kept string"
 
 
@@ -352,6 +356,55 @@ def test_html_blocks_and_labels():
     assert wrong < 0.02 * total
 
 
+#: Hand-written pages in layouts that training doesn't generate, with the blocks of their main text.
+PAGES = {
+    "news": ('<body><div class="cookie-banner"><p>We use cookies to improve your experience on this site.</p><button>Accept</button></div><header><a href="/">Daily News</a></header><nav><a href="/w">World</a> <a href="/s">Sport</a></nav> <section class="story"><div class="story-body"><h1>Council approves new bridge over the river</h1><p>The city council voted on Tuesday to build a second bridge, after a debate of four hours.</p><div class="advert"><p>Buy new shoes today, only here!</p></div><p>Work is due to start in the spring, the mayor said, and will take about two years.</p><blockquote><p>It is the largest project of the decade, and it will change the town.</p></blockquote><p>Shops near the site will get help from a fund of the region.</p></div></section> <aside class="related"><h3>Related stories</h3><ul><li><a href="/1">Bridge closed for repairs</a></li><li><a href="/2">Mayor seeks second term</a></li></ul></aside><footer><ul><li><a href="/t">Terms</a></li></ul><p>Copyright Daily News</p></footer></body>', ['Council approves new bridge over the river', 'The city council voted on Tuesday to build a second bridge, after a debate of four hours.', 'Work is due to start in the spring, the mayor said, and will take about two years.', 'It is the largest project of the decade, and it will change the town.', 'Shops near the site will get help from a fund of the region.']),
+    "docs": ('<body><div class="topbar"><a href="/">Docs</a><form class="search"><label>Search</label><input name=q></form></div><div class="sidebar"><ul class="toc"><li><a href="#1">Install</a></li><li><a href="#2">Usage</a></li></ul></div><div class="content" role="main"><h1>Install</h1><p>Download the archive for your system, unpack it, and put the program on your path.</p><h2>Usage</h2><p>Run the program with a file name, and it prints a summary of the file.</p><pre>tool file.txt</pre><table><tr><th>Option</th><th>Meaning</th></tr><tr><td>verbose</td><td>print more about each step</td></tr></table></div><div class="footer">Powered by a generator</div></body>', ['Install', 'Download the archive for your system, unpack it, and put the program on your path.', 'Usage', 'Run the program with a file name, and it prints a summary of the file.', 'tool file.txt', 'Option', 'Meaning', 'verbose', 'print more about each step']),
+    "bare": ('<html><body><div><a href=/>Start</a> <a href=/m>Map</a></div><h1>On rivers</h1><p>A river begins at a spring, where water comes out of the ground after rain has sunk in.<p>On its way it takes up smaller streams, and becomes wide and slow.<p>In the end it reaches the sea, and the water rises again as clouds.<hr><div><p>Contact | Imprint</div></body></html>', ['On rivers', 'A river begins at a spring, where water comes out of the ground after rain has sunk in.', 'On its way it takes up smaller streams, and becomes wide and slow.', 'In the end it reaches the sea, and the water rises again as clouds.']),
+    "blog": ('<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Fixing a bicycle</title><style>p{color:red}</style></head> <body class="single single-post"><div id="page" class="site"><header id="masthead" class="site-header"><div class="site-branding"><p class="site-title"><a href="/">My Blog</a></p></div> <nav id="site-navigation" class="main-navigation"><ul id="primary-menu"><li><a href="/">Home</a></li><li><a href="/about">About</a></li></ul></nav></header> <div id="content" class="site-content"><main id="main"><article id="post-12" class="post type-post"><h1 class="entry-title">Fixing a bicycle</h1> <div class="entry-content"><p>Last week the chain of my old bicycle broke on the way to work, and I had to walk for an hour.</p><p>Here is how I repaired it at home with a few simple tools &amp; some patience.</p><ul><li>A chain tool and two spare links.</li><li>Some oil, and a cloth to clean it.</li></ul></div></article> <div id="comments" class="comments-area"><h2 class="comments-title">2 comments</h2><ol class="comment-list"><li class="comment"><p>Great post, this helped me a lot with my own bike, thank you.</p></li></ol></div></main> <aside id="secondary" class="widget-area"><section class="widget"><h2>Recent posts</h2><ul><li><a href="/a">How to bake bread</a></li></ul></section></aside></div> <footer id="colophon" class="site-footer"><p>© 2021 My Blog. All rights reserved.</p></footer></div><script>var x = "<p>no</p>";</script></body></html>', ['Fixing a bicycle', 'Last week the chain of my old bicycle broke on the way to work, and I had to walk for an hour.', 'Here is how I repaired it at home with a few simple tools & some patience.', 'A chain tool and two spare links.', 'Some oil, and a cloth to clean it.']),
+}
+
+
+def test_html_pages_written_by_hand():
+    net = html_extract.trained()
+    got = {k: html_extract.main_texts([page], net)[0] for k, (page, _) in PAGES.items()}
+    assert {k: got[k] for k in ("news", "docs", "bare")} == {k: " ".join(PAGES[k][1]) for k in ("news", "docs", "bare")}
+    assert got["blog"].startswith(" ".join(PAGES["blog"][1]))
+    assert not any(x in got["blog"] for x in ("Great post", "My Blog", "Recent", "Home", "bread"))
+
+
+def test_html_deep_pages_keep_their_article():
+    body = "Some long words here, and more. " * 20
+    for n in (0, 15, 25, 60, 400):
+        page = "<body><nav><ul><li><a href=x>Home</a></li></ul></nav><article class='post'>" + "<div>" * n + f"<p>{body}</p>" + "</div>" * n + "</article><footer>© 2020</footer></body>"
+        assert html_extract.main_texts([page], html_extract.trained()) == [body.strip()]
+
+
+def test_html_parser_is_linear():
+    for junk in ("<a ", "<div>x", "</b", "<i><p>", "<!--", "<a '\">", "<select><svg><div>", "<script></script ", "<svg><div>"):
+        times = []
+        for n in (2_000, 16_000):
+            began = time.perf_counter()
+            html_extract.blocks(junk * n + "<i>" * n + "</u>" * n + "<div></div>" * n)
+            times.append(time.perf_counter() - began)
+        assert times[1] < 40 * times[0] + 0.2  # eight times the text
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_html_equals_a_plain_reading_of_the_test_pages():
+    """In these tables the main text is the article element, without nested boxes: a few substitutions read it."""
+    import duckdb
+
+    pages = [r[0] or "" for r in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()]
+    want = []
+    for page in pages:
+        inner = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)
+        x = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", inner[1] if inner else "", flags=re.S)
+        x = re.sub(r"<[^>]+>", "", re.sub(r"</?(p|h\d|div|ul|li|br)\b[^>]*>", " ", x))
+        want.append(" ".join(html.unescape(x).split()))
+    assert html_extract.main_texts(pages, html_extract.trained()) == want
+
+
 def test_html_query_defines_nulls(spark):
     rows = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, None, "<nav><a href=x>menu</a></nav><article><h1>Title</h1><p>" + "Some long words here. " * 20 + "</p></article>")], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in html_extract.op2(rows).collect()}
