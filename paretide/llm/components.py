@@ -1,11 +1,15 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps (no driver state)."""
+"""Connected components of an edge table, by alternating large-star and small-star steps (no driver state).
+
+Nodes are longs without nulls; an edge with a null end is an error of the caller and is not looked for. An edge table
+without rows has no components.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import freed, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,10 +25,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, comp): each node that has an edge, and the smallest node it reaches. ``edges``: (a, b), a <> b.
 
-    Every round writes its edges to the shared folder, so a lost executor costs one round at most.
+    Every round writes its edges to the shared folder, so a lost executor costs one round at most. Rounds grow with
+    the logarithm of the nodes squared at most; if ``rounds`` are not enough, that is an error, not a result.
     """
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(2**40 - 1))).first())
     now = written(edges.select("a", "b").distinct(), "edges")
@@ -32,6 +37,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if (seen := state(now)) == before:
             break
-        before = seen
+        before, old = seen, now
         now = written(_small_star(_large_star(now)), "edges")
+        freed(old)
+    else:
+        raise RuntimeError(f"components did not converge in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()

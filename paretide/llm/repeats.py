@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BLOCK, BYTE_VALUE, U, blocks, mix, prefix, signed, sliding_min, span, texts_of, word_hashes
-from .shared import BROADCAST_KEYS, frugal, written
+from .shared import BROADCAST_KEYS, freed, frugal, written
 
 _POS_BITS = U(22)
 _LOW = (U(1) << _POS_BITS) - U(1)
@@ -214,6 +214,7 @@ def covered(docs: DataFrame, of: Windows, search: Search, count_all: bool, hot_r
     # written, so that the join below has a plain exchange on both sides and Spark can split a hot anchor's rows
     seen = written(seen.filter("n > 1" if count_all else "d < e").select("m", "d", (F.col("s0") != F.col("s1")).alias("multi")), "anchors")
     found = written(runs.join(seen, "m"), "runs")
+    freed(seen)
 
     single = found.filter(~F.col("multi"))
     if not count_all:

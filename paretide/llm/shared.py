@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -14,15 +15,24 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own only if unset."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+
+
+#: Folders written and not yet deleted, in order.
+_made: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage and survives lost executors.
 
-    The folder goes when the application ends. Shuffle files of what came before can then be freed.
+    The folder goes with ``freed`` or ``scratch``, or when the application ends. Shuffle files of what came before can
+    then be freed.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -30,13 +40,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _made.append(path)
     gc.collect()
     jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made.remove(path)
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned. Only for those whose every reader has been written itself."""
+    for df in tables:
+        if getattr(df, "_written_at", None) in _made:
+            _delete(df.sparkSession, df._written_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what is written inside, but for the tables passed to the function it gives (they are returned)."""
+    before, kept = len(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, "_written_at", None))
+        return df
+
+    yield keep
+    for path in [p for p in _made[before:] if p not in kept]:
+        _delete(spark, path)
 
 
 #: Rows of 8-byte keys that may be broadcast; beyond it the keys are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
+BROADCAST_KEYS = 1_000_000
 
 
 def frugal(kernel: Callable) -> Callable:
