@@ -9,25 +9,27 @@ steps' gradients, so nothing that grows with the corpus reaches the driver.
 
 Defined results: null and blank texts have no tokens and the prior as their posterior; null labels take no part in
 fitting; every domain of the labelled rows is a class; without labelled rows there are no domains, every posterior is
-null and every rate 1; a target for a domain without a class is an error; repeated rows each have their rate; an empty table gives an empty table; extra columns are kept, and names that clash with the added
-ones are replaced.
+null and every rate 1; a target for a domain without a class is an error; targets that the rates miss by more than
+``MISSED`` of all tokens are warned of; repeated rows each have their rate; an empty table gives an empty table; extra
+columns of any name are kept by ``resampled`` and play no part.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_KEYS, written
 
-#: Labelled rows that the classifier is fitted on, those taken of each domain in any case, and words kept of each domain.
+#: Labelled rows that the classifier is fitted on, those taken of each domain in any case, and words of each domain that
+#: are features of the classifier (the commonest; the model is a table of at most domains * WORDS rows).
 LABELLED, EACH, WORDS = 5_000, 100, 400
 #: Default target: shares of the domains' tokens to this power.
 TEMPERATURE = 0.7
-STEPS, TOLERANCE = 25, 1e-7
-ADDED = ["n_tokens", "domain", "posteriors", "rate"]
+STEPS, TOLERANCE, MISSED = 60, 1e-7, 1e-3
 
 
 def _words(text: Column) -> Column:
@@ -134,45 +136,57 @@ def rates(soft: DataFrame, names: list[str], targets: dict[str, float] | None =
     return steps, [(y - t * whole) / whole for y, t in zip(now, want, strict=True)]
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame, list[list[float]]]:
-    """(per row: _row, n_tokens, domain, posteriors, rate), the rows with their ``_row``, and the steps.
+def mixed(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None) -> tuple[DataFrame, list[list[float]], dict[str, float]]:
+    """(per row: _row, n_tokens, domain, posteriors, rate), the steps, and by how much of all tokens each target is missed.
 
     ``_row`` names a row of ``docs`` by its content, so equal rows share one and recomputed tasks agree on it.
     """
-    kept = [c for c in docs.columns if c not in ADDED]
-    named = docs.select(*kept).withColumn("_row", F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h")))
-    names, prior, model = fit(named, labelled, domain)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(f"`{domain}`").alias("_domain"))
+    names, prior, model = fit(slim, labelled, "_domain")
     if missing := sorted(y for y, x in (targets or {}).items() if x > 0 and y not in names):
         raise ValueError(f"no labelled rows for the domains of these targets: {missing}")
-    soft = written(posteriors(named.select("_row", "text"), names, prior, model), "soft")
+    soft = written(posteriors(slim.select(_name().alias("_row"), "text"), names, prior, model), "soft")
     if not names:
-        return soft.select("_row", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("array<double>").alias("posteriors"), F.lit(1.0).alias("rate")), named, []
-    steps, _ = rates(soft, names, targets)
+        return soft.select("_row", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("array<double>").alias("posteriors"), F.lit(1.0).alias("rate")), [], {}
+    steps, left = rates(soft, names, targets)
+    missed = dict(zip(names, left, strict=True))
+    if max(map(abs, left)) > MISSED:
+        warnings.warn(f"rates miss their targets, in shares of all tokens: {missed}", stacklevel=2)
     p = [F.col(f"p{i}") for i in range(len(names))]
     best = F.greatest(*p) if len(p) > 1 else p[0]
     label = F.coalesce(*[F.when(x == best, F.lit(y)) for x, y in zip(p, names, strict=True)])
-    return soft.select("_row", "n_tokens", label.alias("domain"), F.array(*p).alias("posteriors"), _rate(steps).alias("rate")), named, steps
+    return soft.select("_row", "n_tokens", label.alias("domain"), F.array(*p).alias("posteriors"), _rate(steps).alias("rate")), steps, missed
+
+
+def _name() -> Column:
+    return F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
 
 
 def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, the likeliest domain, its posterior, and the rate of every document."""
-    out, _, _ = mixed(docs.select("doc_id", "text", "lang"), labels)
+    out, _, _ = mixed(docs, labels)
     return out.select(F.col("_row.id").alias("doc_id"), "n_tokens", "domain", F.array_max("posteriors").alias("posterior"), "rate")
 
 
-def resampled(docs: DataFrame, labelled: DataFrame, domain: str = "lang") -> DataFrame:
+def resampled(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with each row as often as its rate says, in its own columns.
 
-    Rates are scaled so that the domain in least demand is seen once: rows are repeated, none is lost. The part of
-    a rate after the point becomes a further copy for that share of the rows, chosen by a hash of the row.
+    Rates are scaled so that the domain in least demand is seen once: rows are repeated, none is lost, and the result
+    grows by the inverse of the least rate. (Domains with a target of 0 are seen once as well.) The part of a rate
+    after the point becomes a further copy for that share of the rows, chosen by a hash of the row.
     """
-    out, named, steps = mixed(docs, labelled, domain)
+    out, steps, _ = mixed(docs, labelled, domain, targets)
     least = 1.0
     if steps:
-        least = min(max(0.0, 1.0 - sum(g[i] for g in steps)) for i in range(len(steps[0])))
-    r = F.greatest(F.lit(1.0), F.round(F.col("rate") / F.lit(max(least, 0.5)), 9))
+        pure = [1.0] * len(steps[0])  # rates of rows that surely are of one domain
+        for g in steps:
+            pure = [max(0.0, r - x) for r, x in zip(pure, g, strict=True)]
+        least = min((r for r in pure if r > 0), default=1.0)
+    r = F.greatest(F.lit(1.0), F.round(F.col("rate") / F.lit(least), 9))
     chance = F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = (F.floor(r) + (chance < r - F.floor(r)).cast("int")).cast("int")
     # equal rows were counted one by one; each asks for the same copies
     times = out.select("_row", copies.alias("_copies")).distinct()
-    return named.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[c for c in docs.columns])
+    whole = docs.select(_name().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))  # no name can clash
+    each = whole.join(times, "_row").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return each.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
