@@ -67,7 +67,7 @@ def oracle_sql() -> dict[str, str]:
             WITH h AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:15] AS BIGINT) AS h FROM documents),
             each AS (SELECT *, h >> (60 - depth) AS prefix FROM h CROSS JOIN (SELECT unnest(range(0, 13)) AS depth)),
             sums AS (SELECT depth, prefix, sum(n_bytes) AS b, count(*) AS n FROM each GROUP BY depth, prefix),
-            leaf AS (SELECT doc_id, min(depth) AS depth FROM each JOIN sums USING (depth, prefix) WHERE b <= {sharding.SHARD_BYTES} GROUP BY doc_id)
+            leaf AS (SELECT doc_id, min(depth) AS depth FROM each JOIN sums USING (depth, prefix) WHERE b <= {sharding.QUERY_BYTES} GROUP BY doc_id)
             SELECT each.doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard, CAST(depth AS INTEGER) AS depth, CAST(b AS BIGINT) AS shard_bytes, CAST(n AS BIGINT) AS shard_docs, false AS oversized
             FROM each JOIN leaf USING (doc_id, depth) JOIN sums USING (depth, prefix)""",
     }

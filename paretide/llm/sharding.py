@@ -12,19 +12,26 @@ columns play no part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
 
 SHARD_BYTES = 32 << 20
+#: The limit of the registered query: small enough that tables of a few MB are split as well.
+QUERY_BYTES = 1 << 20
 BITS, STRIDE = 60, 12
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the first 60 bits of the key's MD5 hash (``h``)."""
+def _hash() -> Column:
+    """The first 60 bits of the key's MD5 hash."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text")), F.lit("text "))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("h"))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and the hash (``h``) of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), _hash().alias("h"))
 
 
 def directory(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
@@ -53,25 +60,34 @@ def directory(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     return found
 
 
+def _placed(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``rows``, which have ``h``, with ``shard`` (its hash prefix as bits), depth, shard_bytes, shard_docs, oversized."""
+    depths = [r["depth"] for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # at most 61
+    others = [c for c in rows.columns if c != "h"]
+    # the directory is joined on each depth in use; a row has exactly one match
+    at = [F.struct(F.lit(d).alias("depth"), F.expr(f"shiftright(h, {BITS - d})").alias("prefix")) for d in depths] or [F.struct(F.lit(0).alias("depth"), F.col("h").alias("prefix"))]
+    placed = rows.withColumn("_at", F.explode(F.array(*at))).select(*others, F.col("_at.depth").alias("depth"), F.col("_at.prefix").alias("prefix")).join(leaves, ["depth", "prefix"])
+    name = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
+    return placed.select(*others, name.alias("shard"), "depth", "shard_bytes", "shard_docs", "oversized")
+
+
 def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, shard (its hash prefix as bits), depth, shard_bytes, shard_docs, oversized of every document."""
     rows = written(hashed(docs), "hashed")
-    leaves = directory(rows, limit)
-    depths = [r["depth"] for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # at most 61
-    prefix = [F.struct(F.lit(d).alias("depth"), F.expr(f"shiftright(h, {BITS - d})").alias("prefix")) for d in depths]
-    # the directory is joined on each depth in use; a document has exactly one match
-    if not prefix:
-        return rows.select("doc_id", "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_docs"), F.lit(False).alias("oversized"))
-    placed = rows.withColumn("_at", F.explode(F.array(*prefix))).select("doc_id", "n_bytes", F.col("_at.depth").alias("depth"), F.col("_at.prefix").alias("prefix")).join(leaves, ["depth", "prefix"])
-    name = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    return placed.select("doc_id", "n_bytes", name.alias("shard"), "depth", "shard_bytes", "shard_docs", "oversized")
+    return _placed(rows, directory(rows, limit))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
-    """Write ``docs`` under ``path`` with one folder for each shard; rows are matched to shards by doc_id."""
-    where = shards(docs, limit).select("doc_id", "shard").distinct()
-    docs.join(where, docs["doc_id"].eqNullSafe(where["doc_id"])).drop(where["doc_id"]).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` under ``path`` with one folder ``shard=...`` for each shard ("root" if there is but one).
+
+    Each row carries its hash to its shard, so repeated and missing doc_ids lose and gain no rows.
+    """
+    leaves = directory(written(hashed(docs), "hashed"), limit)
+    rows = docs.select(_hash().alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"]).alias("_row"))
+    placed = _placed(rows, leaves).select(F.when(F.col("shard") == "", "root").otherwise(F.concat(F.lit("b"), "shard")).alias("shard"), "_row")
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() != "shard"]
+    placed.repartition("shard").select("shard", *own).write.partitionBy("shard").parquet(path)
 
 
-def op10(docs: DataFrame) -> DataFrame:
-    return shards(docs)
+def op10(docs: DataFrame, limit: int = QUERY_BYTES) -> DataFrame:
+    return shards(docs, limit)
