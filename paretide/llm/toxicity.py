@@ -20,11 +20,12 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_KEYS, written
@@ -32,8 +33,11 @@ from .shared import BROADCAST_KEYS, written
 #: Weight of the prior in counts, the z score from which a term counts, and the fewest toxic texts with it.
 PRIOR_TOKENS, Z, LEAST_TEXTS = 10_000.0, 3.0, 3
 _BEGINNINGS = (8, 7, 6, 5, 4)
-#: Terms of the model at most (the most significant ones): it is a parameter of the model, sent to every executor.
-MAX_TERMS = 100_000
+#: Labelled training rows that the model is fitted on at most, chosen by a hash of doc_id. All significant terms of
+#: these rows are kept, so this bounds the model that every executor gets.
+LABELLED = 200_000
+#: Longest token whose score a task remembers.
+_REMEMBERED = 64
 DRIFT, CAP = 0.1, 8.0
 THRESHOLD = 0.7
 _TOKEN = re.compile(r"\w+")
@@ -93,6 +97,11 @@ class Model:
     curve: tuple[float, float] | None = None
 
 
+def _sent(spark: SparkSession, model: Model) -> dict:
+    """The arguments of the kernels: the terms once an executor, by broadcast, and the rest of the model."""
+    return {"weight": spark.sparkContext.broadcast(model.weight), "model": replace(model, weight={})}
+
+
 class _Scores(dict):
     """Score of a token, kept for the tokens seen lately."""
 
@@ -103,6 +112,8 @@ class _Scores(dict):
     def __missing__(self, token: str) -> float | None:
         known = [w for t in terms(token) if (w := self.weight.get(t)) is not None]
         out = (max(known) if max(known) > 0 else min(known)) if known else None
+        if len(token) > _REMEMBERED:
+            return out
         if len(self) > 300_000:
             self.clear()
         self[token] = out
@@ -140,8 +151,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _evidence(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    scores = _Scores(model.weight)
+def _evidence(batches: Iterator[pa.RecordBatch], weight: Broadcast, model: Model) -> Iterator[pa.RecordBatch]:
+    scores = _Scores(weight.value)
     for batch in batches:
         x = [evidence(t.as_py() or "", model, scores)[0] for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([pa.array([min(int(v / _BIN + 0.999999), _BINS) for v in x], pa.int32()), batch.column("toxic")], names=["bin", "toxic"])
@@ -184,9 +195,12 @@ def _curve(rows: list[tuple[int, int, int]]) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from all labelled rows that aren't held out."""
+    """The model from the labelled rows that aren't held out, ``LABELLED`` of them at most."""
     marks = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    hint = (lambda x: F.broadcast(x)) if marks.count() <= BROADCAST_KEYS else (lambda x: x.hint("shuffle_merge"))
+    if (n := marks.count()) > LABELLED:
+        marks = marks.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 30)) < int(LABELLED / n * (1 << 30)))
+        n = LABELLED
+    hint = (lambda x: F.broadcast(x)) if n <= BROADCAST_KEYS else (lambda x: x.hint("shuffle_merge"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = texts.join(hint(marks), "doc_id").groupBy(F.xxhash64("text"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
     rows = texts.join(hint(written(first, "train")), "doc_id").select("text", "toxic")
@@ -204,30 +218,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         odds = F.log(x / (t + PRIOR_TOKENS - x)) - F.log(y / (c + PRIOR_TOKENS - y))
         scored = counts.filter(F.col("kind") == kind).select("term", "t", odds.alias("w"), (odds / F.sqrt(1 / x + 1 / y)).alias("z"))
         scored = scored.filter((F.abs("z") >= Z) & ((F.col("w") < 0) | (F.col("t") >= LEAST_TEXTS)))
-        for r in scored.orderBy(F.desc(F.abs("z")), "term").limit(MAX_TERMS).collect():
+        for r in scored.collect():  # bounded by the labelled rows
             model.weight[r["term"]] = max(-CAP, min(CAP, r["w"]))
     if not model.weight:
         return model
-    drawn = counts.filter((F.col("kind") == 0) & (F.col("c") > 0)).select("term", "c").mapInArrow(partial(_background, model=model), "s double, c long").groupBy("s").agg(F.sum("c")).collect()  # scores are rounded: few rows
+    sent = _sent(docs.sparkSession, model)
+    drawn = counts.filter((F.col("kind") == 0) & (F.col("c") > 0)).select("term", "c").mapInArrow(partial(_background, weight=sent["weight"]), "s double, c long").groupBy("s").agg(F.sum("c")).collect()  # scores are rounded: few rows
     clean = sum(n for _, n in drawn) + 1
     model.rate = _rate([(s, n / clean) for s, n in drawn] + [(CAP, 1 / clean)])
     positive = [(s, n / clean) for s, n in drawn if s > 0] + [(CAP, 1 / clean)]
     model.k = sum(p for _, p in positive)
-    bins = rows.mapInArrow(partial(_evidence, model=model), "bin int, toxic int").groupBy("bin", "toxic").count().collect()  # at most 402 rows
+    sent = {**sent, "model": replace(model, weight={})}
+    bins = rows.mapInArrow(partial(_evidence, **sent), "bin int, toxic int").groupBy("bin", "toxic").count().collect()  # at most 402 rows
     model.curve = _curve([tuple(r) for r in bins])
     return model
 
 
-def _background(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _background(batches: Iterator[pa.RecordBatch], weight: Broadcast) -> Iterator[pa.RecordBatch]:
     """The scores that clean text draws."""
-    scores = _Scores(model.weight)
+    scores = _Scores(weight.value)
     for batch in batches:
         s = [-DRIFT if (x := scores[t]) is None else round(x, 1) for t in batch.column("term").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(s, pa.float64()), batch.column("c")], names=["s", "c"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    scores = _Scores(model.weight)
+def _score(batches: Iterator[pa.RecordBatch], weight: Broadcast, model: Model) -> Iterator[pa.RecordBatch]:
+    scores = _Scores(weight.value)
     a, b = model.curve or (-math.inf, 0.0)
     for batch in batches:
         p, n = [], []
@@ -241,7 +257,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and n_segments of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(partial(_score, model=model), "doc_id long, held_out boolean, score double, predicted int, n_segments int")
+    return rows.mapInArrow(partial(_score, **_sent(docs.sparkSession, model)), "doc_id long, held_out boolean, score double, predicted int, n_segments int")
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
