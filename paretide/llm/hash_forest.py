@@ -38,8 +38,10 @@ TREES, BITS = 24, 48
 CANDIDATES = 40_000
 #: Share of true neighbours that the sampled queries must find, how many are sampled, and the step of the search.
 RECALL, PROBED, RAISE = 0.95, 128, 1.1
+#: Levels of the trees whose sizes are broadcast.
+ROOT = 10
 #: Vectors in a bucket of a tree, as a power of two, and the rows of the sample that sets the medians.
-LEAF_BITS, SAMPLE = 14, 20_000
+LEAF_BITS, SAMPLE = 9, 20_000
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -228,7 +230,12 @@ def search(table: DataFrame, k: int = K, query_step: int = QUERY_STEP, trees: in
         sizes = each.groupBy("tree", "bucket").count()
         above = sizes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(head - 1)))).groupBy("tree", "level", F.expr(f"shiftright(bucket, {head} - level)").alias("prefix")).agg(F.sum("count").alias("n"))
         asks = visits.select("query", "tree", "bucket", F.explode(F.sequence(F.lit(0), F.lit(head - 1))).alias("level")).withColumn("prefix", F.expr(f"shiftright(bucket, {head} - level)"))
-        high = asks.join(above, ["tree", "level", "prefix"]).groupBy("query").agg(*[F.sum(F.when(F.col("level") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(head)])
+        # the few prefixes near the root, where all queries meet, are sent to all tasks: at most trees * 2 ** ROOT rows
+        asks = asks.select("query", "tree", "level", "prefix")
+        near = asks.join(F.broadcast(above.filter(F.col("level") <= ROOT)), ["tree", "level", "prefix"])
+        if head - 1 > ROOT:
+            near = near.unionByName(asks.filter(F.col("level") > ROOT).join(above.filter(F.col("level") > ROOT), ["tree", "level", "prefix"]))
+        high = near.groupBy("query").agg(*[F.sum(F.when(F.col("level") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(head)])
         total = total.join(high, "query")
     total = written(total.select("query", F.array(*[F.col(f"n{i}") for i in range(bits + 1)]).alias("n")), "counts")
     # true neighbours of some queries, to learn how many candidates are enough
