@@ -15,7 +15,7 @@ passes the filters, so no link between components is lost.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer than five
 words is one shingle; rows without doc_id take no part (component_id null); rows that repeat a doc_id are one
-document; an empty table gives an empty table; extra columns play no part.
+document; an empty table gives an empty table; extra columns play no part. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -175,8 +175,9 @@ def class_table(docs: DataFrame, percent: int = SIMILARITY) -> tuple[DataFrame,
     reps = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min("k").alias("cls"), F.max("n").alias("n"))
     single = only_keys(key, written(reps.select(F.col("cls").alias("k")), "reps"), "k").dropDuplicates(["k"])
     entry = single.mapInArrow(partial(_prefixes, counts=shared_counts, percent=percent), "h long, k long, c1 long, need int")
-    holders = Window.partitionBy("h")
-    near = entry.select("k", "need", F.min("c1").over(holders).alias("x"), F.max("c1").over(holders).alias("y")).filter("x <> y")
+    # shingles that several classes hold, by least and greatest class: pre-aggregated, so a common one is no single task's work
+    held = written(entry.groupBy("h").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).filter("x <> y").select("h"), "held")
+    near = only_keys(entry, held, "h")
     candidates = written(near.groupBy("k", "need").count().filter("count >= need").select("k").distinct(), "candidates")
 
     sets = written(only_keys(key, candidates, "k").dropDuplicates(["k"]).mapInArrow(_token_sets, "k long, n long, tokens array<long>, ranges array<int>"), "sets")

@@ -200,6 +200,8 @@ def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(30)] + [(100 + r.randrange(20), 100 + r.randrange(20)) for _ in range(15)]
     edges = [(a, b) for a, b in edges if a != b]
+    with pytest.raises(RuntimeError, match="converge"):
+        components.components(spark.createDataFrame(edges, "a long, b long"), rounds=1)
     root = {x: x for e in edges for x in e}
     for a, b in edges * 40:
         root[a] = root[b] = min(root[a], root[b])
@@ -311,6 +313,54 @@ def test_toxicity_segments_and_held_out_labels(spark):
     assert {r["score"] for r in none.collect()} == {0.0}
 
 
+def test_toxicity_segments_equal_brute_force():
+    """The segments are those that recursion on the best sub-sequence gives (the shortest, then the first of equals)."""
+    def best(x, lo, hi):
+        found = [(-sum(x[a:b]), b - a, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
+        top = min(found, default=(0, 0, 0, 0))
+        if top[0] >= 0:
+            return []
+        return [*best(x, lo, top[2]), (top[2], top[3]), *best(x, top[3], hi)]
+
+    r = random.Random(2)
+    for _ in range(60):
+        x = [r.randint(-5, 5) + r.random() for _ in range(r.randint(0, 18))]
+        got = toxicity.segments(list(enumerate(x)), len(x))
+        assert [(a, b) for a, b, _ in got] == best(x, 0, len(x))
+        assert [s for *_, s in got] == pytest.approx([sum(x[a:b]) for a, b, _ in got])
+
+
+def test_toxicity_weights_equal_brute_force(spark):
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(600):
+        words = [r.choice(["aa", "bb", "cc", "dd"]) for _ in range(6)] + (["vile"] if i % 4 == 0 and r.random() < 0.8 else [])
+        rows.append((i, f"{i}z " + " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    n = [collections.Counter(), collections.Counter()]
+    for (i, t), (_, y) in zip(rows, labels, strict=True):
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            n[y].update(set(t.split()))
+    total = [sum(c.values()) for c in n]
+    for w in ("aa", "bb", "vile"):
+        a = toxicity.PRIOR_TOKENS * (n[0][w] + n[1][w]) / sum(total)
+        x, y = n[1][w] + a, n[0][w] + a
+        odds = np.log(x / (total[1] + toxicity.PRIOR_TOKENS - x)) - np.log(y / (total[0] + toxicity.PRIOR_TOKENS - y))
+        z = odds / np.sqrt(1 / x + 1 / y)
+        assert model.weight.get(w) == (pytest.approx(odds) if abs(z) >= toxicity.Z else None)
+    assert model.weight["vile"] > 0
+
+
+def test_toxicity_long_and_odd_texts(spark):
+    docs = spark.createDataFrame([(1, "x" * 500_000), (2, "a " * 200_000), (2, None), (None, ""), (3, "bad bad"), (3, "bad bad")], "doc_id long, text string")
+    got = toxicity.score(docs.withColumn("score", F.lit("clash")), toxicity.Model({"bad": 5.0}, 1.0, 0.1, (-2.0, 3.0))).collect()
+    assert len(got) == 6
+    assert {r["predicted"] for r in got if r["doc_id"] == 3} == {1}
+    assert {r["predicted"] for r in got if r["doc_id"] != 3} == {0}
+    assert toxicity.op1(docs.limit(0), docs.select("doc_id", F.lit(1).alias("toxic"))).count() == 0
+
+
 def test_toxicity_term_counts_at_any_size_of_the_corpus(spark):
     r = random.Random(6)
     rows, labels, trained = [], [], []
@@ -437,11 +487,13 @@ def test_nearest_neighbours(spark):
     assert hash_forest.search(table.limit(0)).count() == 0
 
 
-def test_nearest_neighbours_keep_their_recall_with_many_buckets(spark):
+@pytest.mark.parametrize("leaf_bits", [6, 4])
+def test_nearest_neighbours_keep_their_recall_with_many_buckets(spark, leaf_bits):
+    """64 and 256 buckets a tree."""
     x = np.random.default_rng(3).standard_normal((4000, 64))
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = collections.defaultdict(dict)
-    for row in hash_forest.search(table, query_step=40, candidates=500, leaf_bits=6).collect():
+    for row in hash_forest.search(table, query_step=40, candidates=500, leaf_bits=leaf_bits).collect():
         got[row["query_id"]][row["vec_id"]] = row["score"]
     hits = 0
     for q in range(0, 4000, 40):
@@ -460,7 +512,8 @@ def test_mixing_meets_targets(spark):
         rows.append((i, " ".join(r.choice([f"{lang}{k}" for k in range(20)]) for _ in range(30)), lang))
     docs = spark.createDataFrame([*rows, (400, None, None), (None, " ", None)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i,) for i in range(0, 400, 3)], "doc_id long")
-    out, _, _ = mixing.mixed(docs, labels, "lang", {"a": 0.5, "b": 0.5})
+    out, _, missed = mixing.mixed(docs, labels, "lang", {"a": 0.5, "b": 0.5})
+    assert max(map(abs, missed.values())) < 1e-3
     sums = {x["domain"]: x["m"] for x in out.groupBy("domain").agg(F.sum(F.col("rate") * F.col("n_tokens")).alias("m")).collect()}
     assert sums["a"] == pytest.approx(6000, rel=1e-3)
     assert sums["b"] == pytest.approx(6000, rel=1e-3)
@@ -490,6 +543,46 @@ def test_mixing_takes_every_domain(spark):
         mixing.mixed(docs, labels, "source", {"s1": 0.5, "nowhere": 0.5})
 
 
+def test_mixing_repeats_as_often_as_targets_need_and_names_may_clash(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice([f"{'ab'[i % 20 == 0]}{k}" for k in range(20)]) for _ in range(30)), "ab"[i % 20 == 0], 1, 2, 3) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, rate int, n_tokens int, _row int")
+    again = mixing.resampled(docs, docs.select("doc_id"), targets={"a": 0.2, "b": 0.8})  # b is wanted 76 times as often as a
+    assert again.columns == docs.columns
+    n = {x["lang"]: x["count"] for x in again.groupBy("lang").count().collect()}
+    assert n["a"] == 570
+    assert n["b"] == pytest.approx(4 * 570, rel=0.02)
+    with pytest.warns(UserWarning, match="miss"):
+        steps, mixing.STEPS = mixing.STEPS, 0
+        try:
+            mixing.mixed(docs, docs.select("doc_id"), "lang", {"a": 0.2, "b": 0.8})
+        finally:
+            mixing.STEPS = steps
+
+
+def test_mixing_long_texts_and_empty_labels(spark):
+    docs = spark.createDataFrame([(1, "a " * 300_000, "x"), (2, "b", "y"), (3, None, None)], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in mixing.op9(docs, docs.select("doc_id")).collect()}
+    assert (out[1]["n_tokens"], out[1]["domain"], out[2]["domain"], out[3]["n_tokens"]) == (300_000, "x", "y", 0)
+    none = mixing.op9(docs, docs.select("doc_id").limit(0)).collect()
+    assert {(r["domain"], r["rate"]) for r in none} == {(None, 1.0)}
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i // 4, f"text {i % 7} " * (i % 50), i) for i in range(300)] + [(None, None, 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, depth int")
+    sharding.write_shards(docs, str(tmp_path / "s"), 2000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    key = lambda df: sorted(str(tuple(r)) for r in df.select("doc_id", "text", "depth").collect())
+    assert key(back) == key(docs)
+    size = {r["shard"]: r["b"] for r in back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.countDistinct("doc_id").alias("n")).filter("n > 1").collect()}
+    assert len(size) > 3
+    assert max(size.values()) <= 2000
+    sharding.write_shards(docs, str(tmp_path / "one"), 1 << 30)
+    assert os.listdir(tmp_path / "one") != []
+    assert spark.read.parquet(str(tmp_path / "one")).count() == 303
+
+
 @pytest.mark.parametrize("limit", [1 << 30, 3000, 100])
 def test_shards_fit_and_cover(docs, limit):
     got = sharding.shards(docs, limit).collect()
