@@ -596,23 +596,59 @@ def test_shards_fit_and_cover(docs, limit):
     assert sharding.shards(docs.limit(0), limit).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path, docs):
+def test_pipeline_equals_brute_force_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
 
-    base = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null")
-    base.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i * 3, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = corpus_pipeline.quality_rules(spark, now, str(tmp_path))
-    assert kept.columns == now.columns
-    want = {r["doc_id"] for r in quality.op7(now).filter("kept").collect()}
-    assert {r["doc_id"] for r in kept.collect()} == want
-    one = corpus_pipeline.ngram_jaccard_join(spark, kept, str(tmp_path))
-    classes = jaccard_join.op8(kept)
-    assert one.count() == classes.select("component_id").distinct().count()
-    assert [c for c, _ in corpus_pipeline.STAGES][-1].startswith("byte-level")
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in one.collect()}
+    r = random.Random(11)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+    passage, near = text(45), text(100)
+    rows = [(i, text(80), "en") for i in range(30)] + [(100 + i, f"{text(60)} {passage} {text(50)}", "de") for i in range(6)] + [(200 + i, f"{near} {text(1)}", "en") for i in range(5)]
+    rows += [(300, "short", "en"), (301, None, "en"), (302, "", None), (303, "x " * 90, "en"), (304, "a$ # &% *** " * 60 + text(70), "en"), (None, text(90), "en"), (None, None, None), (305, text(40_000), "de")]
+    rows += [(1, rows[1][1], "en"), (2, text(70), "de"), (3, None, "de")]
+    docs = spark.createDataFrame([(i, t, y, "s", len(t or ""), i, 1) for i, t, y in rows], "doc_id long, text string, lang string, source string, n_chars long, _k long, kept int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now, seen = docs, []
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        seen.append([x.asDict() for x in now.collect()])
+        if len(seen) < 5:
+            assert now.columns == docs.columns
+            now = spark.createDataFrame(seen[-1], docs.schema)
+    one, two, three, four, five = seen
+    key = lambda rows: sorted((str(x["doc_id"]), x["text"]) for x in rows)
+    assert key(one) == sorted((str(i), t) for i, t, _ in rows if t and i not in (300, 303, 304))
+    left = {}
+    for x in sorted(one, key=lambda x: (x["doc_id"] is None, x["doc_id"] or 0)):
+        w = x["text"].split()
+        s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        if not any(100 * len(s & o) >= 80 * len(s | o) for o in left.values()):
+            left[str(x["doc_id"]), x["text"]] = s
+    assert key(two) == sorted(left)
+    n = collections.Counter(x["text"][k : k + 200] for x in two for k in range(len(x["text"]) - 199))
+    for x, y in zip(sorted(two, key=lambda x: (str(x["doc_id"]), x["text"][:30])), sorted(three, key=lambda x: (str(x["doc_id"]), x["text"][:30])), strict=True):
+        gone = set()
+        for k in range(len(x["text"]) - 199):
+            if n[x["text"][k : k + 200]] > 1:
+                gone.update(range(k, k + 200))
+        kept = "".join(c for k, c in enumerate(x["text"]) if k not in gone)
+        assert (y["text"], y["n_chars"]) == (kept, len(kept))
+    assert all(len(x["text"]) < 800 for x in three if x["doc_id"] in range(100, 106))
+    assert set(key(four)) == set(key(three))
+    assert len(four) > len(three)
+    enc = bpe.encoding(*tokenizer())
+    assert sorted((str(x["doc_id"]), x["n_tokens"], x["decoded_sha256"]) for x in five) == sorted((str(x["doc_id"]), len(enc.encode_ordinary(x["text"])), hashlib.sha256(x["text"].encode()).hexdigest()) for x in four)
+
+
+def test_pipeline_of_an_empty_table_and_its_folders(spark, tmp_path):
+    import corpus_pipeline
+    from paretide.llm import shared
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = len(shared._made)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert len(shared._made) <= before + 1  # only the last stage's input is left
 
 
 def test_pipeline_keeps_one_of_equal_rows_and_of_rows_without_id(spark, tmp_path):
