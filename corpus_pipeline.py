@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written and read again as the next
 stage's ``docs``. All but the last return the columns of ``documents``.
+
+Defined results: null, empty and blank texts have no words and go in the first stage; of rows equal in doc_id and text
+one stays; texts that share a doc_id and rows without doc_id are told apart by their texts; extra columns, of any name,
+are carried along; an empty table gives an empty table; texts of any length are worked on whole. A passage of 200
+bytes or more that two kept documents share is cut out of both, as the third operator defines it.
 """
 
 from __future__ import annotations
@@ -11,13 +16,14 @@ from pyspark.sql import functions as F
 
 from paretide.llm import bpe, jaccard_join, mixing, quality, suffix_dedup
 from paretide.llm.queries import tokenizer
-from paretide.llm.shared import BROADCAST_KEYS, only_keys, table, written
+from paretide.llm.shared import BROADCAST_KEYS, freed, only_keys, scratch, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    judged = quality.judged(written(quality.features(docs), "quality"))
-    return judged.filter("kept").select(*docs.columns)
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))  # no name can clash
+    judged = quality.judged(written(quality.features(packed).drop("text"), "quality"))
+    return judged.filter("kept").select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -45,7 +51,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows without doc_id join their group by their text, and stay only in groups that have no doc_id. Rows equal in
     doc_id and text are one. Texts that share a doc_id but are not near duplicates all stay.
     """
-    named = _named(docs)
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # no name can clash
+    named = _named(packed)
     found = written(jaccard_join.op8(named.select(F.col("_k").alias("doc_id"), "text")), "classes")
     hint = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("shuffle_merge")
     gone = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_k")).distinct(), "gone")
@@ -53,7 +60,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     again = written(found.groupBy(F.col("doc_id").alias("_k")).count().filter("count > 1").select("_k"), "again")
     if again.limit(1).count():
         left = left.join(hint(again), "_k", "left_anti").unionByName(left.join(hint(again), "_k", "left_semi").dropDuplicates(["_k"]))
-    return left.select(*docs.columns)
+    return left.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,8 +93,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as keep:  # what a stage wrote on its way goes once its result is written
+            after = keep(written(stage(spark, docs, sf_dir), "stage"))
+        freed(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
