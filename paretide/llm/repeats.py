@@ -8,7 +8,7 @@ windows of a document with one anchor form a run. The steps:
 2. anchors under which all runs are identical are decided by that count alone;
 3. the other anchors are the groups to search: one copy of each distinct run is cut from its text, and a kernel
    orders the suffixes of each group (given by the caller: radix passes for op3, suffix subtrees for op5);
-4. groups of more than ``hot_runs`` distinct runs are dealt again by whole windows, pre-aggregated.
+4. groups of more than ``hot`` windows in distinct runs are dealt again by whole windows, pre-aggregated.
 
 Hot passages cost little: copies are pre-aggregated in 1, join sides split on skew in 1 and 3.
 
@@ -38,8 +38,8 @@ _POS_BITS = U(22)
 _LOW = (U(1) << _POS_BITS) - U(1)
 #: Symbols of runs that a kernel holds at once.
 CHUNK = 1 << 20
-#: Distinct runs of a group that is searched in one task; its windows take a few hundred MB at most.
-HOT_RUNS = 20_000
+#: Windows in the distinct runs of a group that is searched in one task: a few hundred MB.
+HOT_WINDOWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -203,7 +203,7 @@ def _whole_windows(batches: Iterator[pa.RecordBatch], of: Windows) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(signed(span(y, g.pos, g.pos + of.width))) for y in (sums, other)] + [pa.array(g.m[g.run]), pa.array(g.s[g.run]), pa.array(g.j), pa.array(g.c[g.run]), pa.array(g.d[g.run])], names=["h", "h2", "m", "s", "lo", "c", "d"])
 
 
-def covered(docs: DataFrame, of: Windows, search: Search, count_all: bool, hot_runs: int = HOT_RUNS) -> DataFrame:
+def covered(docs: DataFrame, of: Windows, search: Search, count_all: bool, hot: int = HOT_WINDOWS) -> DataFrame:
     """Rows (k, t, a, b): windows a <= i < b of the rows named (k, t) are repeats.
 
     ``docs`` is ``keyed``. ``count_all``: a window is a repeat if its symbols stand anywhere else; otherwise, if they
@@ -224,17 +224,17 @@ def covered(docs: DataFrame, of: Windows, search: Search, count_all: bool, hot_r
 
     many = found.filter("multi").select("m", "s", "k", "t", "at")
     distinct = written(many.groupBy("m", "s").agg(F.count("*").alias("c"), F.min("k").alias("d"), F.min(F.struct("k", "t", "at")).alias("rep")), "distinct")
-    hot = distinct.groupBy("m").count().filter(F.col("count") > hot_runs).select("m")
+    large = distinct.groupBy("m").agg(F.sum(F.shiftright("rep.at", 10).bitwiseAND(1023)).alias("n")).filter(F.col("n") > hot).select("m")
     wanted = distinct.groupBy(F.col("rep.k").alias("k"), F.col("rep.t").alias("t")).agg(F.collect_list(F.struct("m", "s", F.col("rep.at").alias("at"), "c", "d")).alias("wanted"))
     # the kernel takes all columns of docs, so that this join and with_spans share one exchange of the texts
     cut = docs.join(wanted, ["k", "t"]).mapInArrow(partial(_cut_runs, of=of), "m long, s long, shape long, c long, d long, blob binary")
-    some_hot = hot.limit(1).count() > 0
+    some_hot = large.limit(1).count() > 0
     if some_hot:
         cut = written(cut, "cut")
-    rest = cut.join(hot, "m", "left_anti") if some_hot else cut
+    rest = cut.join(large, "m", "left_anti") if some_hot else cut
     values = rest.repartition("m").sortWithinPartitions("m").mapInArrow(partial(_search, of=of, values=search), "m long, s long, lo long, hi long, v long")
     if some_hot:
-        each = cut.join(hot, "m", "left_semi").mapInArrow(partial(_whole_windows, of=of), "h long, h2 long, m long, s long, lo long, c long, d long")
+        each = cut.join(large, "m", "left_semi").mapInArrow(partial(_whole_windows, of=of), "h long, h2 long, m long, s long, lo long, c long, d long")
         total = each.groupBy("h", "h2").agg(F.sum("c").alias("n"), F.min("d").alias("v"))
         each = each.join(total.filter("n > 1"), ["h", "h2"]).select("m", "s", "lo", (F.col("lo") + 1).alias("hi"), F.lit(0).cast("long").alias("v") if count_all else "v")
         values = values.union(each)
@@ -275,4 +275,4 @@ def mask_of(spans: pa.Array, row: int, n: int, width: int) -> np.ndarray:
     return np.cumsum(depth[:n]) > 0
 
 
-__all__ = ["HOT_RUNS", "Group", "Windows", "covered", "keyed", "mask_of", "with_spans"]
+__all__ = ["HOT_WINDOWS", "Group", "Windows", "covered", "keyed", "mask_of", "with_spans"]

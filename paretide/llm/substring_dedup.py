@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import texts_of
-from .repeats import HOT_RUNS, Group, Windows, covered, keyed, mask_of, with_spans
+from .repeats import HOT_WINDOWS, Group, Windows, covered, keyed, mask_of, with_spans
 from .shared import frugal
 
 WIDTH = 13
@@ -90,10 +90,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_words", "n_removed")] + [pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT_RUNS) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space (``kept``, binary) of every document."""
     base = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    spans = covered(base, _windows(width), subtrees, False, hot_runs)
+    spans = covered(base, _windows(width), subtrees, False, hot)
     return with_spans(base, spans).mapInArrow(partial(_cleaned, width=width), "doc_id long, n_words long, n_removed long, kept binary")
 
 

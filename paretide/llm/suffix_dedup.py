@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import BYTE_VALUE, U, mix, prefix, span, texts_of
-from .repeats import HOT_RUNS, Group, Windows, covered, keyed, mask_of, with_spans
+from .repeats import HOT_WINDOWS, Group, Windows, covered, keyed, mask_of, with_spans
 from .shared import frugal
 
 WIDTH = 200
@@ -106,18 +106,18 @@ def _cleaned(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 COUNTS = ("n_bytes", "n_removed", "n_spans")
 
 
-def _deduped(docs: DataFrame, width: int, hot_runs: int = HOT_RUNS) -> DataFrame:
+def _deduped(docs: DataFrame, width: int, hot: int = HOT_WINDOWS) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept): all columns but the text in one struct, so that no name can clash."""
     base = keyed(docs)
-    spans = covered(base, _windows(width), radix_passes, True, hot_runs)
+    spans = covered(base, _windows(width), radix_passes, True, hot)
     schema = T.StructType([base.schema["row"], *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("kept", T.BinaryType())])
     return with_spans(base, spans).mapInArrow(partial(_cleaned, width=width), schema)
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT_RUNS) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT_WINDOWS) -> DataFrame:
     """Every document without its text, with n_bytes, n_removed, n_spans and the kept bytes (``kept``, binary)."""
     others = [c for c in docs.columns if c.lower() not in ("text", *COUNTS, "kept")]
-    return _deduped(docs, width, hot_runs).select(*[F.col("row").getField(c).alias(c) for c in others], *COUNTS, "kept")
+    return _deduped(docs, width, hot).select(*[F.col("row").getField(c).alias(c) for c in others], *COUNTS, "kept")
 
 
 @frugal
