@@ -14,8 +14,8 @@ group, the one whose shingles are most shared. A second round takes every pair b
 passes the filters, so no link between components is lost.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer than five
-words is one shingle; rows without doc_id take no part (component_id null); rows that repeat a doc_id are one
-document; an empty table gives an empty table; extra columns play no part. Shingles are compared by 64-bit hashes.
+words is one shingle; rows without doc_id take no part (component_id null); rows that share a doc_id are judged each by
+its own text, and each has its row in the result; an empty table gives an empty table; extra columns play no part. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, mix, signed, texts_of, window_hash, word_hashes
-from .shared import frugal, only_keys, written
+from .shared import BROADCAST_KEYS, frugal, only_keys, written
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -161,10 +161,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(partial(_linked, percent=percent), "a long, b long")
 
 
-def class_table(docs: DataFrame, percent: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(per document: k, doc_id, n, cls), (per class with a partner: cls, comp)."""
-    spark = docs.sparkSession
-    key = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("k"), "text")
+def class_table(key: DataFrame, percent: int = SIMILARITY, unique: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(per row: k, n, cls), (per class with a partner: cls, comp). ``key``: (k, text), equal k only for equal texts.
+
+    ``unique``: no two rows share a k, so no shuffle is needed to take one of them.
+    """
+    spark = key.sparkSession
+    once = (lambda df: df) if unique else (lambda df: df.dropDuplicates(["k"]))
     both = written(key.mapInArrow(_classes, "k long, n long, c1 long, c2 long, slice int, counts binary"), "classes")
     rows = both.filter("slice is null").select("k", "n", "c1", "c2")
     counts = np.zeros((SLICES, BUCKETS // SLICES), dtype=np.int64)
@@ -173,14 +176,14 @@ def class_table(docs: DataFrame, percent: int = SIMILARITY) -> tuple[DataFrame,
     shared_counts = spark.sparkContext.broadcast(counts.ravel())
 
     reps = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min("k").alias("cls"), F.max("n").alias("n"))
-    single = only_keys(key, written(reps.select(F.col("cls").alias("k")), "reps"), "k").dropDuplicates(["k"])
+    single = once(only_keys(key, written(reps.select(F.col("cls").alias("k")), "reps"), "k"))
     entry = single.mapInArrow(partial(_prefixes, counts=shared_counts, percent=percent), "h long, k long, c1 long, need int")
     # shingles that several classes hold, by least and greatest class: pre-aggregated, so a common one is no single task's work
     held = written(entry.groupBy("h").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).filter("x <> y").select("h"), "held")
     near = only_keys(entry, held, "h")
     candidates = written(near.groupBy("k", "need").count().filter("count >= need").select("k").distinct(), "candidates")
 
-    sets = written(only_keys(key, candidates, "k").dropDuplicates(["k"]).mapInArrow(_token_sets, "k long, n long, tokens array<long>, ranges array<int>"), "sets")
+    sets = written(once(only_keys(key, candidates, "k")).mapInArrow(_token_sets, "k long, n long, tokens array<long>, ranges array<int>"), "sets")
     token = sets.select("k", "n", F.explode("tokens").alias("h"))
     own = Window.partitionBy("k")
     often = token.join(token.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "h")
@@ -219,10 +222,21 @@ def class_table(docs: DataFrame, percent: int = SIMILARITY) -> tuple[DataFrame,
 
 def op8(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    rows, comps = class_table(docs, percent)
-    linked = rows.join(comps, "cls", "left").select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "cls")).otherwise(F.col("k")).alias("component_id"))
+    key = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("k"), "text")
+    shared = written(key.groupBy("k").count().filter("count > 1").select("k", F.lit(True).alias("shared")), "shared")
+    if n_shared := shared.count():  # rows that share a doc_id get keys of 62 bits from doc_id and text
+        key = key.join(F.broadcast(shared) if n_shared <= BROADCAST_KEYS else shared.hint("shuffle_merge"), "k", "left")
+        own = F.lit(2**62) + F.xxhash64("k", "text").bitwiseAND(2**62 - 1)
+        key = written(key.select(F.when(F.col("shared"), own).otherwise(F.col("k")).alias("k"), F.col("k").alias("id"), "text"), "keys")
+    rows, comps = class_table(key.select("k", "text"), percent, not n_shared)
+    linked = rows.join(comps, "cls", "left").select("k", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "cls")).otherwise(F.col("k")).alias("component_id"))
+    if n_shared:
+        ids = key.select("k", "id").distinct()
+        linked = linked.join(ids, "k")
+        least = linked.groupBy("component_id").agg(F.min("id").alias("least"))
+        linked = linked.join(least, "component_id").select(F.col("id").alias("k"), "n_shingles", F.col("least").alias("component_id"))
     without = docs.filter("doc_id is null").select("text").mapInArrow(_sizes, "n long")
-    return linked.union(without.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
+    return linked.select(F.col("k").alias("doc_id"), "n_shingles", "component_id").union(without.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
 
 
 @frugal

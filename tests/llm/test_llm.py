@@ -48,7 +48,7 @@ def texts(docs):
     return [(r["doc_id"], r["text"] or "") for r in docs.filter("doc_id is not null").collect()]
 
 
-@pytest.mark.parametrize("hot", [200_000, 2])
+@pytest.mark.parametrize("hot", [2_000_000, 2])
 def test_suffix_dedup_equals_brute_force(docs, hot):
     width = 60
     got = {r["doc_id"]: r for r in suffix_dedup.dedup(docs, width, hot).collect()}
@@ -90,7 +90,7 @@ def test_long_documents_are_cut_into_overlapping_pieces(spark, monkeypatch):
         assert seen[0] == seen[1]
 
 
-@pytest.mark.parametrize("hot", [200_000, 2])
+@pytest.mark.parametrize("hot", [2_000_000, 2])
 def test_substring_dedup_equals_brute_force(docs, hot):
     got = {r["doc_id"]: r for r in substring_dedup.dedup(docs, 13, hot).collect()}
     first = {}
@@ -119,7 +119,7 @@ def repeated(spark):
     return spark.createDataFrame([(i, t, 1, "s", "r", 2, 3) for i, t in rows], "doc_id long, text string, k int, spans string, `row` string, t int, N_BYTES int")
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [2_000_000, 2])
 def test_suffix_dedup_with_repeated_and_missing_ids(repeated, hot):
     width, rows = 60, [(r["doc_id"], (r["text"] or "").encode()) for r in repeated.collect()]
     n = collections.Counter(b[i : i + width] for _, b in rows for i in range(len(b) - width + 1))
@@ -138,7 +138,7 @@ def test_suffix_dedup_with_repeated_and_missing_ids(repeated, hot):
     assert sorted(r["text"].encode() for r in again.collect()) == sorted(x[-1] for x in want)
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [2_000_000, 2])
 def test_substring_dedup_with_repeated_and_missing_ids(repeated, hot):
     rows = [(-(2**63) if r["doc_id"] is None else r["doc_id"], (r["text"] or "").encode().split()) for r in repeated.collect()]
     first = {}
@@ -196,6 +196,26 @@ def test_jaccard_join_equals_brute_force(docs):
     assert jaccard_join.op8(docs.limit(0)).count() == 0
 
 
+def test_jaccard_join_with_repeated_and_missing_ids(spark):
+    r = random.Random(4)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c = text(60), text(60), text(400)
+    rows = [(5, a), (5, b), (1, f"{a} end"), (2, f"{b} end"), (7, c), (7, c), (7, None), (6, f"{c} x"), (None, a), (None, None), (8, ""), (8, ""), (9, "one two"), (3, "one two"), (9, "ONE two"), (4, text(50_000))]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, k int, component_id string")
+    sets = []
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(len(rows)):
+            if sets[x] and sets[y] and None not in (rows[x][0], rows[y][0]) and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                root = [root[x] if v == root[y] else v for v in root]
+    least = {v: min((rows[j][0] for j in range(len(rows)) if root[j] == v and rows[j][0] is not None), default=None) for v in root}
+    want = sorted(str((i, len(s), least[v])) for (i, _), s, v in zip(rows, sets, root, strict=True))
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in jaccard_join.op8(docs).collect()) == want
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(30)] + [(100 + r.randrange(20), 100 + r.randrange(20)) for _ in range(15)]
