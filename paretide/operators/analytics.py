@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +14,46 @@ def five_numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.coalesce(F.percentile(value, F.lit(p)), F.lit(0.0)).alias(n) for n, p in q.items()])
 
 
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, by the modified Lentz method."""
+    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 500):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + top * d, 1 + top / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return out
+
+
+def pearson_p(r: float | None, n: int) -> float | None:
+    """Two-sided chance of a correlation as strong as ``r`` among ``n`` unrelated rows (Student's t with n - 2 degrees)."""
+    if r is None or n < 3:
+        return None
+    a, b, x = n / 2 - 1, 0.5, max(0.0, 1 - r * r)
+    if x in (0.0, 1.0):
+        return x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
+    if x < (a + 1) / (a + b + 2):
+        return front * _beta_fraction(a, b, x) / a
+    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of the rows with both values, and their number."""
     return df.dropna(subset=[x, y]).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
 
 
+def correlations(df: DataFrame, x: str, ys: list[str]) -> list[tuple[str, int, float | None, float | None]]:
+    """(column, rows with both values, r, p) of each column in one pass."""
+    both = lambda y: F.col(x).isNotNull() & F.col(y).isNotNull()
+    row = df.agg(*[F.corr(F.when(both(y), F.col(x)), F.when(both(y), F.col(y))).alias(f"r{i}") for i, y in enumerate(ys)], *[F.count_if(both(y)).alias(f"n{i}") for i, y in enumerate(ys)]).first()
+    return [(y, row[f"n{i}"], row[f"r{i}"], pearson_p(row[f"r{i}"], row[f"n{i}"])) for i, y in enumerate(ys)]
+
+
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """(bin, n) of equal widths between the extremes; the last bin has its upper bound."""
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -134,10 +171,12 @@ def region_chunks(chromosomes: DataFrame, step: int = 1_000_000) -> DataFrame:
 
 
 def genes_in_chunks(chunks: DataFrame, genes: DataFrame, step: int = 1_000_000) -> DataFrame:
-    """Genes that overlap a chunk, each once: an equi-join on the chunks a gene touches, then distinct."""
-    touched = genes.withColumn("_c", F.explode(F.sequence(F.floor((F.col("start") - 1) / step), F.floor((F.col("end") - 1) / step))))
-    own = chunks.select("chrom", F.floor((F.col("chunk_start") - 1) / step).alias("_c"))
-    return touched.join(own, ["chrom", "_c"], "left_semi").drop("_c").dropDuplicates(["gene_id"])
+    """Genes that overlap a chunk, each once: an equi-join on the cells of ``step`` that both touch, then their bounds."""
+    cells = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - 1) / step), F.floor((F.col(b) - 1) / step)))
+    touched = genes.withColumn("_c", cells("start", "end")).alias("g")
+    own = chunks.select("chrom", "chunk_start", "chunk_end").withColumn("_c", cells("chunk_start", "chunk_end")).alias("k")
+    same = (F.col("g.chrom") == F.col("k.chrom")) & (F.col("g._c") == F.col("k._c")) & (F.col("g.start") <= F.col("k.chunk_end")) & (F.col("g.end") >= F.col("k.chunk_start"))
+    return touched.join(own, same, "left_semi").select(*genes.columns).dropDuplicates(["gene_id"])
 
 
 def extended(regions: DataFrame, before: int, after: int, by_strand: bool = True) -> DataFrame:
@@ -157,9 +196,9 @@ def substitutions(results: DataFrame, costs: str) -> DataFrame:
 
 
 def numbered(results: DataFrame, keys: list[str], f: str) -> DataFrame:
-    """Results with ids 000, 001, ... from the best functional score on, and the cost, at least 0."""
+    """Results with ids 001, 002, ... from the best functional score on, and the cost, at least 0."""
     own = Window.partitionBy(*keys).orderBy(F.desc(f), "b", "seq")
-    return results.withColumn("id", F.format_string("%03d", F.row_number().over(own) - 1)).withColumn("cost", F.greatest(F.lit(0.0), -F.col(f)))
+    return results.withColumn("id", F.format_string("%03d", F.row_number().over(own))).withColumn("cost", F.greatest(F.lit(0.0), -F.col(f)))
 
 
 def fewest_hits(results: DataFrame, keys: list[str], hits: str, order: str) -> DataFrame:
@@ -168,14 +207,87 @@ def fewest_hits(results: DataFrame, keys: list[str], hits: str, order: str) -> D
 
 
 def run_spans(df: DataFrame, order: str, value: str) -> DataFrame:
-    """(value, first, rows): runs of equal neighbours in order, as merged table cells need them."""
-    own = Window.partitionBy(F.lit(0)).orderBy(order)
-    marked = df.select(order, value, F.coalesce((F.lag(value).over(own) != F.col(value)).cast("int"), F.lit(1)).alias("_new"))
-    return marked.withColumn("_run", F.sum("_new").over(own)).groupBy("_run", value).agg(F.min(order).alias("first"), F.count("*").alias("rows")).drop("_run")
+    """(value, first, rows): runs of equal neighbours in order, as merged table cells need them.
+
+    Rows are dealt by ranges of ``order`` (which names a row), so no window spans the table: runs are found in each
+    range, and the ranges' first and last runs, two rows a range, decide which runs go on in the next range.
+    """
+    parts = df.select(order, value).repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    own = Window.partitionBy("_part").orderBy(order)
+    marked = parts.withColumn("_new", F.coalesce((~F.lag(value).over(own).eqNullSafe(F.col(value))).cast("int"), F.lit(1)))
+    runs = marked.withColumn("_run", F.sum("_new").over(own)).groupBy("_part", "_run", value).agg(F.min(order).alias("first"), F.count("*").alias("rows"))
+    last = runs.groupBy("_part").agg(F.max("_run").alias("_last"))
+    runs = runs.join(F.broadcast(last), "_part").withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == F.col("_last")))  # a row for each range
+    edges = runs.filter("_edge")  # two rows a range at most, so one window over them is small at any size
+    whole = Window.orderBy("first")
+    joined = edges.withColumn("_n", F.coalesce((~(F.lag(value).over(whole).eqNullSafe(F.col(value)) & (F.lag("_part").over(whole) < F.col("_part")))).cast("int"), F.lit(1)))
+    joined = joined.withColumn("_g", F.sum("_n").over(whole)).groupBy("_g", value).agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).drop("_g")
+    return runs.filter(~F.col("_edge")).select(value, "first", "rows").unionByName(joined)
+
+
+def hits_in_regions(hits: DataFrame, regions: DataFrame, key: str) -> DataFrame:
+    """``hits`` (key, start, stop) with the ``region`` of the same key that holds them whole; a row for each such pair."""
+    inside = (F.col("h.start") >= F.col("r.first")) & (F.col("h.stop") <= F.col("r.last"))
+    return hits.alias("h").join(regions.alias("r"), (F.col(f"h.{key}") == F.col(f"r.{key}")) & inside).select("h.*", "r.region", "r.first", "r.last")
+
+
+def positions_in_regions(rows: DataFrame, regions: list[tuple[int, int]], pos: str) -> DataFrame:
+    """``rows`` with is_coding and codon_start: the 0-based start of the codon around a position from 1, null outside.
+
+    ``regions`` (first, last) are the few coding regions of one sequence; the first that holds a position counts.
+    """
+    p = F.col(pos)
+    start, coding = F.lit(None).cast("long"), F.lit(False)
+    for first, last in reversed(regions):
+        start = F.when(p.between(first, last), first + F.floor((p - first) / 3) * 3 - 1).otherwise(start)
+        coding = coding | p.between(first, last)
+    return rows.withColumn("is_coding", coding).withColumn("codon_start", start)
+
+
+def substitution_count(costs: Column) -> Column:
+    """Number of positions with a cost."""
+    return F.size(F.filter(costs, lambda c: c > 0))
+
+
+def delta_mse(colored: DataFrame, colorless: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """Each coloured result with the MSE of the colourless machine of the same size (exactly one must exist), their
+    difference ``delta_mse``, and ``outlier`` where the coloured one is better. ``within``: matrix ids to keep."""
+    rows = colored if within is None else colored.filter(F.col("matrix_id").isin(within))
+    other = colorless.select("matrix_id", F.col("n_states").alias("n_states_irreducible_fsm"), F.col("binding_mse").alias("colorless_mse"))
+    out = matched_exactly(rows, other, ["matrix_id", "n_states_irreducible_fsm"])
+    delta = F.col("binding_mse") - F.col("colorless_mse")
+    return out.withColumn("delta_mse", delta).withColumn("outlier", delta < 0)
+
+
+def mse_by_colors(deltas: DataFrame) -> DataFrame:
+    """Mean and population deviation of the MSE and of delta-MSE, by number of colours."""
+    stat = lambda c, n: [F.avg(c).alias(f"{n}_mean"), F.stddev_pop(c).alias(f"{n}_std")]
+    return deltas.groupBy("number_of_colors").agg(*stat("binding_mse", "mse"), *stat("delta_mse", "delta"), F.count("*").alias("n"))
+
+
+def state_errors(approx: DataFrame) -> DataFrame:
+    """(rep, size, sse, mse): spread of the original scores within each state of a reduced machine."""
+    return approx.groupBy("rep").agg(F.count("*").alias("size"), (F.var_pop("score") * F.count("*")).alias("sse"), F.var_pop("score").alias("mse"))
+
+
+def state_ranks(approx: DataFrame) -> DataFrame:
+    """(rep, approx, rank from 0) of the states of a reduced machine by score: one row a state, ties by state."""
+    states = approx.groupBy("rep").agg(F.first("approx").alias("approx"))
+    return states.withColumn("rank", F.row_number().over(Window.orderBy("approx", "rep")) - 1)
+
+
+def strand_efficiencies(efficiencies: DataFrame) -> DataFrame:
+    """(motif, double, avg, max) from (motif, strand, efficiency): both single strands against the double strand."""
+    one = lambda s: F.max(F.when(F.col("strand") == s, F.col("efficiency")))
+    rows = efficiencies.groupBy("motif").agg(one("forward").alias("f"), one("backward").alias("b"), one("double").alias("double"))
+    return rows.select("motif", "double", ((F.col("f") + F.col("b")) / 2).alias("avg"), F.greatest("f", "b").alias("max"))
 
 
 def plot_bounds(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Upper bound of x with 5 % room, y's range with 5 % margins, to tens (half to even); defaults for no rows."""
+    """Upper bound of x with 5 % room, y's range with 5 % margins, to tens (half to even).
+
+    Fixed values: without rows the bounds are 500, -23500 and -16000.
+    """
     span = F.max(y) - F.min(y)
     return df.agg(F.coalesce(F.bround(F.max(x) * 1.05, -1), F.lit(500.0)).alias("x_max"), F.coalesce(F.bround(F.min(y) - 0.05 * span, -1), F.lit(-23500.0)).alias("y_min"), F.coalesce(F.bround(F.max(y) + 0.05 * span, -1), F.lit(-16000.0)).alias("y_max"))
 

@@ -21,12 +21,19 @@ def optimal_1d(values: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     best = np.append(0.0, np.array([sse(0, j) for j in range(1, n + 1)]))
     cuts = []
     for c in range(2, k + 1):
+        # the best cut moves right with the end, so halves of the ends search only their part of the cuts
         new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-        for j in range(c, n + 1):
-            i = np.arange(c - 1, j)
+        work = [(c, n, c - 1, n - 1)]
+        while work:
+            lo, hi, first, last = work.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
             total = best[i] + sse(i, j)
             at = int(np.argmin(total))
             new[j], cut[j] = total[at], i[at]
+            work += [(lo, j - 1, first, int(i[at])), (j + 1, hi, int(i[at]), last)]
         best = new
         cuts.append(cut)
     label = np.zeros(n, dtype=int)
@@ -53,9 +60,12 @@ def kmeans_1d(scores: DataFrame, key: str, value: str, k: int) -> DataFrame:
 
 
 def kmeans_polar(scores: DataFrame, key: str, value: str, k: int) -> DataFrame:
-    """Negative values in k // 3 colours, the others in the rest; k must leave a colour for either side."""
+    """Negative values in k // 3 colours, the others in the rest, each side by the optimal split. With fewer than three
+    colours there is none for the negative side: that is an error if it has values."""
     if k < 3:
-        raise ValueError("three colours at least")
+        if scores.filter(F.col(value) < 0).limit(1).count():
+            raise ValueError("three colours at least for values on both sides of 0")
+        return kmeans_1d(scores, key, value, k)
     low = kmeans_1d(scores.filter(F.col(value) < 0), key, value, k // 3)
     high = kmeans_1d(scores.filter(F.col(value) >= 0), key, value, k - k // 3)
     return low.unionByName(high.withColumn("color", F.col("color") + k // 3))
@@ -127,14 +137,50 @@ def mismatches(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def compare_reductions(a: DataFrame, b: DataFrame) -> DataFrame:
-    """For each state of two maps (v, rep): members of its class in both, only in the first, only in the second."""
-    def members(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn(name, F.sort_array(F.collect_set("v").over(Window.partitionBy("rep")))).select("v", name)
-
-    both = members(a, "x").join(members(b, "y"), "v", "full_outer")
-    none = F.array().cast("array<bigint>")
-    x, y = F.coalesce("x", none), F.coalesce("y", none)
-    return both.select("v", F.array_intersect(x, y).alias("shared"), F.array_except(x, y).alias("only_first"), F.array_except(y, x).alias("only_second"))
+    """(first, second, n, members): the states (v, rep) that a class of one map and a class of the other share.
+
+    A row for each pair of classes that meet, so the result is no larger than the maps. States of one map only have
+    null on the other side.
+    """
+    both = a.select("v", F.col("rep").alias("first")).join(b.select("v", F.col("rep").alias("second")), "v", "full_outer")
+    return both.groupBy("first", "second").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("v")).alias("members"))
+
+
+def reduction_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """For each state of two maps: its class in both, the members shared, and the members in one class only, by their
+    class in the other map (arrays of (other class, members), in order). Built from ``compare_reductions`` by joins."""
+    pairs = compare_reductions(a, b)
+    states = a.select("v", F.col("rep").alias("first")).join(b.select("v", F.col("rep").alias("second")), "v")
+    rows = lambda own, other: pairs.filter(f"{own} is not null").groupBy(own).agg(F.sort_array(F.collect_list(F.struct(F.col(other).alias("other"), "members"))).alias(f"by_{other}"))
+    out = states.join(rows("first", "second"), "first").join(rows("second", "first"), "second")
+    rest = lambda c, own: F.filter(c, lambda x: ~x["other"].eqNullSafe(F.col(own)))
+    shared = F.filter("by_second", lambda x: x["other"].eqNullSafe(F.col("second")))[0]["members"]
+    return out.select("v", "first", "second", shared.alias("shared"), rest("by_second", "second").alias("only_first"), rest("by_first", "first").alias("only_second"))
+
+
+def patterns_per_bin(scores: DataFrame, pattern: str, color: str, k: int) -> DataFrame:
+    """(color, n, patterns) of each of ``k`` colours; an empty one has 0 and an empty list."""
+    bins = scores.sparkSession.range(k).select(F.col("id").cast("int").alias("_c"))
+    found = scores.groupBy(F.col(color).cast("int").alias("_c")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(pattern)).alias("patterns"))
+    none = F.array().cast(found.schema["patterns"].dataType)
+    return bins.join(found, "_c", "left").select(F.col("_c").alias(color), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("patterns", none).alias("patterns"))
+
+
+def full_bin_report(scores: DataFrame, value: str, color: str, k: int) -> DataFrame:
+    """``bin_report`` with a row for each of ``k`` colours: 0 and nulls where a colour has no values."""
+    bins = scores.sparkSession.range(k).select(F.col("id").cast("int").alias(color))
+    report = bin_report(scores, value, color).withColumn(color, F.col(color).cast("int"))
+    return bins.join(report, color, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def partition_to_colors(scores: DataFrame, key: str, value: str, k: int, method: str = "kmeans1d", origin: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with ``color`` in ``k`` colours: directly, or from ``origin`` colours by splitting or joining; and then
+    also the direct partition as a baseline. ``key`` has one value."""
+    start = partition(scores, key, value, origin or k, method)
+    if origin is None or origin == k:
+        return start, None
+    changed = split_partitions(start, value, "color", k) if origin < k else join_partitions(start, value, "color", k)
+    return changed, partition(scores, key, value, k, method)
 
 
 def prefix_clusters(items: DataFrame, key: str, seq: str, share: float) -> DataFrame:

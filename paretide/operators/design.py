@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
 from .sampling import offset, universal
 
 #: Layers between two checkpoints of ``design_frames``.
@@ -50,10 +51,10 @@ def design_frames(jobs: DataFrame, transitions: DataFrame, scores: DataFrame, co
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage at the shared checkpoint folder; a folder of our own only where none is set."""
+    """Cut the lineage at the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{context.applicationId}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -72,15 +73,17 @@ def _front(f: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sampled(f: np.ndarray, k: int, alpha: float, position: int, u0: float) -> np.ndarray:
+    """Universal sampling as in ``sampling.universal``: rows whose running weight passes a pointer, at most ``k``."""
     if k == 0 or len(f) <= k:
         return np.arange(len(f))
-    cum = np.cumsum(np.power(-f / position + 1, -alpha))
-    step = cum[-1] / k
-    return np.unique(np.minimum(np.searchsorted(cum, (u0 + np.arange(k)) * step), len(f) - 1))
+    run = np.cumsum((1 - f / position) ** -alpha)
+    passed = np.floor(run * (k / run[-1]) - u0)
+    return np.flatnonzero(np.diff(passed, prepend=-1.0) > 0)
 
 
-def design_job(edges: np.ndarray, score: np.ndarray, cost: np.ndarray, m: int, n: int, k: int, alpha: float, seed: int, start: int, max_ties: int) -> tuple[list[tuple[float, float, str]], list[tuple[int, int, int]]]:
-    """One job: ``edges`` rows (u, sigma, v), ``cost[i, ctx, sigma]``. Returns the solutions and (layer, state, size) rows."""
+def design_job(edges: np.ndarray, score: np.ndarray, cost: np.ndarray, m: int, n: int, k: int, alpha: float, seed: int, start: int, max_ties: int) -> tuple[list[tuple[float, float, str]], list[tuple[int, int, int, int]]]:
+    """One job: ``edges`` rows (u, sigma, v), ``cost[i, ctx, sigma]``. Returns the solutions and (layer, state, size, pruned)
+    rows: the points kept, and the points of predecessors that an infinite cost stopped, counted from layer m on."""
     rng = np.random.default_rng(seed)
     layer = {start: (np.zeros(1), np.zeros(1))}
     back: list[dict[int, list[list[tuple[int, int, int]]]]] = []
@@ -91,8 +94,11 @@ def design_job(edges: np.ndarray, score: np.ndarray, cost: np.ndarray, m: int, n
     for i in range(1, n + 1):
         new, links = {}, {}
         for v, sources in into.items():
-            parts = [(u, s, layer[u]) for u, s in sources if u in layer and np.isfinite(cost[i - 1, u % 16, s])]
+            reached = [(u, s, layer[u]) for u, s in sources if u in layer]
+            parts = [x for x in reached if np.isfinite(cost[i - 1, x[0] % 16, x[1]])]
+            pruned = sum(len(x[2][0]) for x in reached) - sum(len(x[2][0]) for x in parts) if i >= m else 0
             if not parts:
+                sizes.append((i, v, 0, pruned))
                 continue
             f = np.concatenate([x[0] - cost[i - 1, u % 16, s] for u, s, x in parts])
             b = np.concatenate([x[1] + (score[v] if i >= m else 0.0) for u, s, x in parts])
@@ -103,7 +109,7 @@ def design_job(edges: np.ndarray, score: np.ndarray, cost: np.ndarray, m: int, n
             chosen = np.unique(group)[pick]
             new[v] = (f[kept[heads]][pick], b[kept[heads]][pick])
             links[v] = [[origin[c] for c in kept[group == g].tolist()] for g in chosen]
-            sizes.append((i, v, len(pick)))
+            sizes.append((i, v, len(pick), pruned))
         layer = new
         back.append(links)
     ends = [(v, j) for v in layer for j in range(len(layer[v][0]))]
@@ -127,38 +133,58 @@ def design_job(edges: np.ndarray, score: np.ndarray, cost: np.ndarray, m: int, n
     return sorted(out), sizes
 
 
-def design_kernel(jobs: DataFrame, transitions: DataFrame, scores: DataFrame, costs: DataFrame, m: int, n: int, k: int = 0, alpha: float = 1.0, seed: int = 0, start: int = 0, max_ties: int = 0) -> DataFrame:
-    """``design_frames`` with one task a job. ``max_ties`` bounds the tied sequences of one solution (0: all)."""
-    edges = transitions.select("u", "sigma", "v").toPandas().to_numpy()
+def _machine(transitions: DataFrame, scores: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A machine's edges and scores on the driver: 4 ** m states, sent to every job."""
     rows = scores.select("v", "score").toPandas()
     score = np.zeros(int(rows["v"].max()) + 1)
     score[rows["v"]] = rows["score"]
+    return transitions.select("u", "sigma", "v").toPandas().to_numpy(), score
+
+
+def _cost_array(pdf: pd.DataFrame, n: int) -> np.ndarray:
+    cost = np.full((n, 16, 4), np.inf)
+    code = {a + b: 4 * i + j for i, a in enumerate("ACGT") for j, b in enumerate("ACGT")}
+    cost[pdf["i"] - 1, pdf["ctx"].map(code), pdf["sigma"].map("ACGT".index)] = pdf["cost"]
+    return cost
+
+
+def design_kernel(jobs: DataFrame, transitions: DataFrame, scores: DataFrame, costs: DataFrame, m: int, n: int, k: int = 0, alpha: float = 1.0, seed: int = 0, start: int = 0, max_ties: int = 0) -> DataFrame:
+    """``design_frames`` with one task a job. ``max_ties`` bounds the tied sequences of one solution (0: all)."""
+    whole = jobs.select("job", F.lit(k).alias("k"), F.lit(float(alpha)).alias("alpha"))
+    return design_jobs(whole, transitions, scores, costs.filter(F.col("i") <= n), m, seed, start, max_ties).select("job", "f", "b", "seq")
+
+
+def design_jobs(jobs: DataFrame, transitions: DataFrame, scores: DataFrame, costs: DataFrame, m: int, seed: int = 0, start: int = 0, max_ties: int = 0) -> DataFrame:
+    """(job, k, alpha, f, b, seq) for jobs (job, k, alpha), each as long as its costs, in tasks of their own."""
+    edges, score = _machine(transitions, scores)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cost = np.full((n, 16, 4), np.inf)
-        code = {a + b: 4 * i + j for i, a in enumerate("ACGT") for j, b in enumerate("ACGT")}
-        cost[pdf["i"] - 1, pdf["ctx"].map(code), pdf["sigma"].map("ACGT".index)] = pdf["cost"]
-        found, _ = design_job(edges, score, cost, m, n, k, alpha, seed, start, max_ties)
-        return pd.DataFrame({"job": pdf["job"].iloc[0], "f": [x[0] for x in found], "b": [x[1] for x in found], "seq": [x[2] for x in found]})
+        n, k, alpha = int(pdf["i"].max()), int(pdf["k"].iloc[0]), float(pdf["alpha"].iloc[0])
+        found, _ = design_job(edges, score, _cost_array(pdf, n), m, n, k, alpha, seed, start, max_ties)
+        return pd.DataFrame({"job": pdf["job"].iloc[0], "k": k, "alpha": alpha, "f": [x[0] for x in found], "b": [x[1] for x in found], "seq": [x[2] for x in found]})
 
-    return costs.join(jobs, "job", "left_semi").filter(F.col("i") <= n).groupBy("job").applyInPandas(run, "job string, f double, b double, seq string")
+    return costs.join(jobs, "job").groupBy("job", "k", "alpha").applyInPandas(run, "job string, k int, alpha double, f double, b double, seq string")
 
 
-def layer_sizes(transitions: DataFrame, scores: DataFrame, costs: DataFrame, m: int, n: int) -> DataFrame:
-    """(job, i, v, size): the size of each state's front in each layer, without sampling."""
-    edges = transitions.select("u", "sigma", "v").toPandas().to_numpy()
-    rows = scores.select("v", "score").toPandas()
-    score = np.zeros(int(rows["v"].max()) + 1)
-    score[rows["v"]] = rows["score"]
+def layer_sizes(transitions: DataFrame, scores: DataFrame, costs: DataFrame, m: int, n: int, start: int = 0) -> DataFrame:
+    """(job, i, v, size, pruned) of every state and layer, without sampling; 0 for states that nothing reaches."""
+    edges, score = _machine(transitions, scores)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cost = np.full((n, 16, 4), np.inf)
-        code = {a + b: 4 * i + j for i, a in enumerate("ACGT") for j, b in enumerate("ACGT")}
-        cost[pdf["i"] - 1, pdf["ctx"].map(code), pdf["sigma"].map("ACGT".index)] = pdf["cost"]
-        _, sizes = design_job(edges, score, cost, m, n, 0, 1.0, 0, 0, 1)
-        return pd.DataFrame({"job": pdf["job"].iloc[0], "i": [x[0] for x in sizes], "v": [x[1] for x in sizes], "size": [x[2] for x in sizes]})
+        _, sizes = design_job(edges, score, _cost_array(pdf, n), m, n, 0, 1.0, 0, start, 1)
+        return pd.DataFrame({"job": pdf["job"].iloc[0], "i": [x[0] for x in sizes], "v": [x[1] for x in sizes], "size": [x[2] for x in sizes], "pruned": [x[3] for x in sizes]})
+
+    return costs.groupBy("job").applyInPandas(run, "job string, i int, v long, size int, pruned int")
+
+
+def write_layers(layers: DataFrame, path: str) -> None:
+    """Rows of (i, ...) by layer, so that one layer can be read without the others."""
+    layers.repartition("i").write.partitionBy("i").parquet(path)
+
 
-    return costs.groupBy("job").applyInPandas(run, "job string, i int, v long, size int")
+def read_layer(spark: SparkSession, path: str, i: int) -> DataFrame:
+    """The rows of layer ``i``: its folder only, by partition pruning."""
+    return spark.read.parquet(path).filter(F.col("i") == i)
 
 
 def reconstruct(pointers: DataFrame, ends: DataFrame, n: int) -> DataFrame:
@@ -171,7 +197,8 @@ def reconstruct(pointers: DataFrame, ends: DataFrame, n: int) -> DataFrame:
 
 
 def cost_vectors(sequences: DataFrame, costs: DataFrame) -> DataFrame:
-    """(id, i, cost) of every position of (id, job, seq); the context of the first positions is filled up with A."""
+    """(id, i, cost) of every position of (id, job, seq). The context of the first two positions is filled up with A: no
+    cost there depends on it, as a codon's third position is the third of the sequence at the earliest."""
     each = sequences.select("id", "job", F.concat(F.lit("AA"), "seq").alias("s"), F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("i"))
     each = each.select("id", "job", "i", F.substring("s", F.col("i"), F.lit(2)).alias("ctx"), F.substring("s", F.col("i") + 2, F.lit(1)).alias("sigma"))
     return each.join(costs, ["job", "i", "ctx", "sigma"]).select("id", "i", "cost")

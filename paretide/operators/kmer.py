@@ -38,12 +38,42 @@ def transitions(spark: SparkSession, m: int) -> DataFrame:
     return spark.range(4**m).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("sigma")).withColumn("v", F.pmod(F.col("u") * 4 + F.col("sigma"), F.lit(4**m)))
 
 
+#: Letters that a row carries while its windows are taken.
+PIECE = 64
+
+
 def windows(df: DataFrame, seq: str, m: int) -> DataFrame:
-    """One row for each window of m letters: the other columns, ``pos`` (from 1) and ``kmer``."""
+    """One row for each window of m letters: the other columns, ``pos`` (from 1) and ``kmer``. Linear in a text's length.
+
+    One pass cuts a text into pieces that overlap by m - 1 letters, so no window walks through the whole text.
+    """
+    others = [c for c in df.columns if c != seq]
+    cut = f"(?s)(?=(.{{1,{PIECE + m - 1}}})).{{1,{PIECE}}}"
+    pieces = df.select(*others, F.posexplode(F.regexp_extract_all(F.col(seq), F.lit(cut), F.lit(1))).alias("_i", "_piece"))
+    n = F.length("_piece")
+    inside = F.when(n >= m, F.transform(F.sequence(F.lit(1), F.greatest(n - m + 1, F.lit(1))), lambda p: F.substring(F.col("_piece"), p, F.lit(m))))
+    each = pieces.select(*others, "_i", F.posexplode(inside).alias("_p", "kmer"))
+    return each.select(*others, (F.col("_i") * PIECE + F.col("_p") + 1).alias("pos"), "kmer")
+
+
+def pattern_hits(df: DataFrame, seq: str, patterns: list[str]) -> DataFrame:
+    """(other columns, pattern, start, stop from 1) of every occurrence of patterns of any lengths, overlaps included.
+
+    Patterns are grouped by length: the windows of a length are joined with its patterns, so none is tried at every place.
+    """
     others = [c for c in df.columns if c != seq]
-    n = F.length(seq)
-    starts = F.when(n >= m, F.sequence(F.lit(1), n - m + 1))
-    return df.select(*others, seq, F.explode(starts).alias("pos")).select(*others, "pos", F.substring(F.col(seq), F.col("pos"), F.lit(m)).alias("kmer"))
+    out = None
+    for m in sorted({len(p) for p in patterns if p}):
+        rows = df.sparkSession.createDataFrame([(p,) for p in sorted(set(patterns)) if len(p) == m], "kmer string")
+        found = windows(df, seq, m).join(F.broadcast(rows), "kmer").select(*others, F.col("kmer").alias("pattern"), F.col("pos").alias("start"), (F.col("pos") + m - 1).alias("stop"))
+        out = found if out is None else out.union(found)
+    return out if out is not None else df.limit(0).select(*others, F.col(seq).alias("pattern"), F.lit(1).alias("start"), F.lit(1).alias("stop"))
+
+
+def strand_of(name: Column) -> Column:
+    """+ or - from the number between underscores in a file's name (1: +), Unknown without one."""
+    found = F.regexp_extract(name, "_(-?\\d)_", 1)
+    return F.when(found == "", "Unknown").when(found == "1", "+").otherwise("-")
 
 
 def base_frequencies(df: DataFrame, seq: str) -> DataFrame:

@@ -8,6 +8,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kmer, motif
+
+
+def motif_machine(counts: DataFrame, matrix_id: str, strands: tuple[str, ...] = ("forward",)) -> tuple[int, DataFrame, DataFrame]:
+    """A motif's length, the De Bruijn machine of that length and its states' scores (v, kmer, one column a strand)."""
+    w = motif.weights(motif.pssm(counts), matrix_id)
+    spark, m = counts.sparkSession, len(w)
+    states = kmer.lattice(spark, m)
+    return m, kmer.transitions(spark, m), states.select("v", "kmer", *[motif.score(F.col("kmer"), w, s).alias(s) for s in strands])
+
+
+def from_coloring(states: DataFrame, bins: DataFrame, color: str = "color") -> DataFrame:
+    """(v, color) of (v, kmer) by bins (color, patterns); states in no bin have no colour (null)."""
+    each = bins.select(F.col(color).alias("color"), F.explode("patterns").alias("kmer"))
+    return states.select("v", "kmer").join(each, "kmer", "left").select("v", "color")
+
+
+def recolor(states: DataFrame, coloring: DataFrame) -> DataFrame:
+    """``states`` (v, color, ...) with the colours of another colouring (v, color); null where it has none."""
+    return states.drop("color").join(coloring.select("v", "color"), "v", "left")
+
+
+def reduced_machine(transitions: DataFrame, classes: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Transitions between representatives, and their mean scores (v, score)."""
+    approx = approximate_scores(classes, scores).select(F.col("rep").alias("v"), F.col("approx").alias("score")).distinct()
+    return reduced_transitions(transitions, classes), approx
+
 
 def colored_classes(states: DataFrame, m: int, suffix: int = 2) -> DataFrame:
     """(v, rep): the smallest state of each state's class in the irreducible coloured machine.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kmer import ALPHABET, lattice, reverse_complement, windows
@@ -78,17 +78,82 @@ def score(kmer: Column, w: list[dict[str, float]], strand: str = "forward") -> C
     return F.greatest(forward_score(kmer, w), back)
 
 
+def _scored_windows(each: DataFrame, w: list[dict[str, float]], threshold: float, strand: str) -> DataFrame:
+    """``each`` with ``score``, where it is above ``threshold``."""
+    m = len(w)
+    if m > LATTICE:
+        return each.withColumn("score", score(F.col("kmer"), w, strand)).filter(F.col("score") > threshold)
+    # at most 4 ** LATTICE k-mers are scored once and come back as plain rows: as an expression the optimiser would
+    # repeat their scores on the side of the windows
+    good = lattice(each.sparkSession, m).select("kmer", score(F.col("kmer"), w, strand).alias("score")).filter(F.col("score") > threshold).collect()
+    rows = each.sparkSession.createDataFrame([tuple(r) for r in good], "kmer string, score double")
+    return each.join(F.broadcast(rows), "kmer").select(*each.columns, "score")
+
+
 def hits(sequences: DataFrame, seq: str, w: list[dict[str, float]], threshold: float, strand: str = "double") -> DataFrame:
     """Windows that score above ``threshold``: the other columns, start, stop (from 1, inclusive), score, matched_sequence."""
-    m, each = len(w), windows(sequences, seq, len(w))
-    if m <= LATTICE:  # at most 4 ** LATTICE k-mers: score each once and join
-        good = lattice(sequences.sparkSession, m).select("kmer", score(F.col("kmer"), w, strand).alias("score")).filter(F.col("score") > threshold)
-        scored = each.join(F.broadcast(good), "kmer").select(*each.columns, "score")
-    else:
-        scored = each.withColumn("score", score(F.col("kmer"), w, strand)).filter(F.col("score") > threshold)
+    scored = _scored_windows(windows(sequences, seq, len(w)), w, threshold, strand)
     return scored.withColumnRenamed("pos", "start").withColumn("stop", F.col("start") + len(w) - 1).withColumnRenamed("kmer", "matched_sequence")
 
 
+#: Scores are compared with their distribution as whole numbers of this size.
+UNIT = 1e-6
+
+
+def p_values(w: list[dict[str, float]]) -> list[tuple[int, float]]:
+    """(score in units, chance of that score or more) of a k-mer under equal letter chances, best first.
+
+    The exact distribution, by adding one position after another on the driver (one row for each possible score).
+    """
+    chances = {0: 1.0}
+    for letters in w:
+        new: dict[int, float] = {}
+        for s, c in chances.items():
+            for x in letters.values():
+                at = s + round(x / UNIT)
+                new[at] = new.get(at, 0.0) + c * BACKGROUND
+        chances = new
+    out, held = [], 0.0
+    for s, c in sorted(chances.items(), reverse=True):
+        held += c
+        out.append((s, held))
+    return out
+
+
+def scan_hits(sequences: DataFrame, seq: str, w: list[dict[str, float]], p_value: float = 2e-3) -> DataFrame:
+    """Hits on either strand with a chance of at most ``p_value``: the other columns, start, stop, strand, score, p_value,
+    matched_sequence (read on its own strand). A window may be a hit on both strands.
+    """
+    table = [(s, p) for s, p in p_values(w) if p <= p_value * (1 + 1e-12)]
+    units = [{b: float(round(x / UNIT)) for b, x in letters.items()} for letters in w]
+    least = table[-1][0] if table else 1 << 60
+    both = windows(sequences, seq, len(w)).withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
+    both = both.withColumn("kmer", F.when(F.col("strand") == "+", F.col("kmer")).otherwise(reverse_complement(F.col("kmer"))))
+    found = _scored_windows(both, units, least - 0.5, "forward").withColumn("_s", F.col("score").cast("long"))
+    tail = sequences.sparkSession.createDataFrame(table, "_s long, p_value double")
+    found = found.join(F.broadcast(tail), "_s")  # a row for each possible score of a hit
+    others = [c for c in sequences.columns if c != seq]
+    return found.select(*others, F.col("pos").alias("start"), (F.col("pos") + len(w) - 1).alias("stop"), "strand", (F.col("_s") * UNIT).alias("score"), "p_value", F.col("kmer").alias("matched_sequence"))
+
+
+def mean_and_std(w: list[dict[str, float]]) -> tuple[float, float]:
+    """Mean and standard deviation of a k-mer's score under the motif's own letter chances (background times 2 ** score)."""
+    mean = var = 0.0
+    for letters in w:
+        p = {b: BACKGROUND * 2**x for b, x in letters.items()}
+        own = sum(p[b] * x for b, x in letters.items())
+        mean += own
+        var += sum(p[b] * (x - own) ** 2 for b, x in letters.items())
+    return mean, math.sqrt(var)
+
+
+def suffix_maxima(matrix: DataFrame) -> DataFrame:
+    """(matrix_id, pos, best): the most that the letters from ``pos`` on can add, the bound of a branch-and-bound search."""
+    best = matrix.groupBy("matrix_id", "pos").agg(F.max("score").alias("_m"))
+    after = Window.partitionBy("matrix_id").orderBy(F.desc("pos"))
+    return best.select("matrix_id", "pos", F.sum("_m").over(after).alias("best"))
+
+
 def threshold_for(spark, w: list[dict[str, float]], p_value: float, strand: str = "forward") -> float:
     """The smallest score of a k-mer whose upper tail holds at most ``p_value`` of all k-mers; inf if none does."""
     m = len(w)

@@ -47,10 +47,46 @@ def ranked(front: DataFrame, keys: list[str], order: list[Column], k: int, alpha
     return df.filter((F.col("_n") <= k) | (F.col("_k") <= k)).drop("_r", "_n", "_hit", "_k")
 
 
-PHASES = {"start": ((1.0, 2.0), (0.5, 0.5)), "coding": ((1.0,), (1.0,)), "other": ((2.0,), (1.0,))}
+#: Exponents and shares of the budget of each phase of a sequence.
+PHASES = {
+    "none": ((1.5, 1.0), (0.5, 0.5)),
+    "upstream": ((1.8, 1.1), (0.5, 0.5)),
+    "codon 1 or 2": ((1.05, 1.0), (0.5, 0.5)),
+    "codon 3": ((4.5, 1.2), (0.7, 0.3)),
+    "downstream": ((2.5, 1.5), (0.8, 0.2)),
+}
+
+
+def phase(position: Column, first: Column, last: Column) -> Column:
+    """The phase of a position with respect to a coding region (null: none)."""
+    third = F.pmod(position - first, F.lit(3)) == 2
+    return F.when(first.isNull() | last.isNull(), "none").when(position < first, "upstream").when(position > last, "downstream").when(third, "codon 3").otherwise("codon 1 or 2")
 
 
 def phase_sampler(front: DataFrame, keys: list[str], order: list[Column], k: int, phase: str) -> DataFrame:
     """The ranked sampler with the exponents and shares of a phase."""
     alphas, ratios = PHASES[phase]
     return ranked(front, keys, order, k, list(alphas), list(ratios))
+
+
+def params_id(k: int, alpha: float | None = None, alphas: tuple[float, ...] | None = None, ratios: tuple[float, ...] | None = None) -> str:
+    """The name of a sampler's parameters, as used in paths of results."""
+    if alphas is not None:
+        return f"k_{k}__alphas_{tuple(alphas)}__ratios_{tuple(ratios or ())}"
+    return f"k_{k}" if alpha is None or k == 0 else f"k_{k}__alpha_{alpha}"
+
+
+#: Strategies by name: each takes (front, keys, f, order, k, position, parameters).
+STRATEGIES = {
+    "none": lambda front, keys, f, order, k, position, **p: front,
+    "universal": lambda front, keys, f, order, k, position, **p: universal(front, keys, f, order, k, p.get("alpha", 1.0), position, p.get("u0", 0.5)),
+    "ranked": lambda front, keys, f, order, k, position, **p: ranked(front, keys, order, k, list(p["alphas"]), list(p["ratios"])),
+    "phase": lambda front, keys, f, order, k, position, **p: phase_sampler(front, keys, order, k, p["phase"]),
+}
+
+
+def sample(front: DataFrame, keys: list[str], f: str, order: list[Column], k: int, position: int = 1, method: str = "universal", **parameters) -> DataFrame:
+    """Bound each key's rows by the strategy named ``method``; more can be added to ``STRATEGIES``."""
+    if method not in STRATEGIES:
+        raise ValueError(f"unknown method {method}")
+    return STRATEGIES[method](front, keys, f, order, k, position, **parameters)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics, clustering, cost, design, kmer, machines, motif, sampling
@@ -246,11 +246,57 @@ def dp_design_bio(spark: SparkSession, d: str) -> DataFrame:
     return design.design_kernel(*_job(spark, _BIO, 3), 3, 8).select("f", "b", "seq")
 
 
-@query("dp_layer_sizes")
-def dp_layer_sizes(spark: SparkSession, d: str) -> DataFrame:
+def _cost_values(rows: list[tuple[int, str, str, float]]) -> str:
+    return ", ".join(f"({i}, '{c}', '{s}', CAST('{'Infinity' if math.isinf(x) else x}' AS DOUBLE))" for i, c, s, x in rows)
+
+
+#: Fronts of all prefixes by layer and state: a prefix's state is its last three letters, after AAA.
+_LAYERS_SQL = f"""WITH RECURSIVE cost AS (SELECT * FROM (VALUES {_cost_values(_BIO)}) t(i, ctx, sigma, c)),
+    grow AS (SELECT 0 AS i, 'AAA' AS seq, CAST(0 AS DOUBLE) AS f, CAST(0 AS DOUBLE) AS b
+        UNION ALL SELECT g.i + 1, g.seq || c.sigma, g.f - c.c, g.b + CASE WHEN g.i + 1 >= 3 THEN CAST((((position(substr(g.seq || c.sigma, -3, 1) IN 'ACGT') - 1) * 16 + (position(substr(g.seq, -1, 1) IN 'ACGT') - 1) * 4 + position(c.sigma IN 'ACGT') - 1) * 7) % 11 - 5 AS DOUBLE) ELSE 0 END
+        FROM grow g JOIN cost c ON c.i = g.i + 1 AND c.ctx = right(g.seq, 2) WHERE c.c < CAST('Infinity' AS DOUBLE)),
+    pts AS (SELECT DISTINCT i, (position(substr(seq, -3, 1) IN 'ACGT') - 1) * 16 + (position(substr(seq, -2, 1) IN 'ACGT') - 1) * 4 + position(substr(seq, -1, 1) IN 'ACGT') - 1 AS v, f, b FROM grow),
+    front AS (SELECT i, v, count(*) AS size FROM pts p WHERE NOT EXISTS (SELECT 1 FROM pts o WHERE o.i = p.i AND o.v = p.v AND o.f >= p.f AND o.b <= p.b AND (o.f > p.f OR o.b < p.b)) GROUP BY i, v),
+    cells AS (SELECT i, v FROM (SELECT unnest(range(1, 9)) AS i) CROSS JOIN (SELECT unnest(range(0, 64)) AS v)),
+    stopped AS (SELECT c.i, (f.v * 4 + position(c.sigma IN 'ACGT') - 1) % 64 AS v, sum(f.size) AS pruned FROM front f JOIN cost c ON c.i = f.i + 1 AND c.ctx = substr('ACGT', CAST(f.v % 16 // 4 + 1 AS BIGINT), 1) || substr('ACGT', CAST(f.v % 4 + 1 AS BIGINT), 1)
+        WHERE c.c = CAST('Infinity' AS DOUBLE) AND c.i >= 3 GROUP BY 1, 2),
+    each AS (SELECT cells.i, cells.v, CAST(coalesce(size, 0) AS DOUBLE) AS size, CAST(coalesce(pruned, 0) AS DOUBLE) AS pruned FROM cells LEFT JOIN front USING (i, v) LEFT JOIN stopped USING (i, v))"""
+
+
+def _five_sql(value: str, prefix: str) -> str:
+    return ", ".join(f"quantile_cont({value}, {q}) AS {prefix}{n}" for n, q in (("least", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("most", 1)))
+
+
+def _layer_report(spark: SparkSession) -> DataFrame:
     _, t, s, c = _job(spark, _BIO, 3)
     sizes = design.layer_sizes(t, s, c, 3, 8)
-    return analytics.five_numbers(sizes, ["job", "i"], "size")
+    kept = analytics.five_numbers(sizes, ["i"], "size")
+    stopped = analytics.five_numbers(sizes, ["i"], "pruned")
+    return kept.join(stopped.select("i", *[F.col(x).alias(f"pruned_{x}") for x in stopped.columns[1:]]), "i")
+
+
+@query("dp_layer_sizes", f"{_LAYERS_SQL} SELECT CAST(i AS INT) AS i, {_five_sql('size', '')}, {_five_sql('pruned', 'pruned_')} FROM each GROUP BY i")
+def dp_layer_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return _layer_report(spark)
+
+
+@query("dp_cells", f"{_LAYERS_SQL} SELECT CAST(i AS INT) AS i, v, CAST(size AS INT) AS size, CAST(pruned AS INT) AS pruned FROM each")
+def dp_cells(spark: SparkSession, d: str) -> DataFrame:
+    _, t, s, c = _job(spark, _BIO, 3)
+    return design.layer_sizes(t, s, c, 3, 8).select("i", "v", "size", "pruned")
+
+
+#: Back-pointers (layer, state, rank, state before, letter, rank before) with ties, and final cells.
+_POINTERS = [(i, v, 0, 0 if i == 1 else v, s, 0) for i in range(1, 6) for v, s in ((1, "A"), (2, "G"))] + [(3, 1, 0, 2, "C", 0), (5, 2, 0, 1, "T", 0)]
+
+
+@query("reconstruction", f"""WITH RECURSIVE p AS (SELECT * FROM (VALUES {', '.join(f"({i}, {v}, {j}, {u}, '{s}', {uj})" for i, v, j, u, s, uj in _POINTERS)}) t(i, v, j, u, sigma, uj)),
+    walk AS (SELECT 5 AS i, v, 0 AS j, '' AS seq, CASE v WHEN 1 THEN 'x' ELSE 'y' END AS end FROM (VALUES (1), (2)) e(v)
+        UNION ALL SELECT w.i - 1, p.u, p.uj, p.sigma || w.seq, w.end FROM walk w JOIN p ON p.i = w.i AND p.v = w.v AND p.j = w.j)
+    SELECT DISTINCT "end", seq FROM walk WHERE i = 0""")
+def reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    pointers = spark.createDataFrame(_POINTERS, "i int, v long, j int, u long, sigma string, uj int")
+    return design.reconstruct(pointers, spark.createDataFrame([("x", 1, 0), ("y", 2, 0)], "end string, v long, j int"), 5)
 
 
 @query("cost_vectors", f"WITH cost AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}', '{s}', {x})" for i, c, s, x in _EXACT)}) t(i, ctx, sigma, c)), s AS (SELECT * FROM (VALUES ('s1', 'GAAAAG'), ('s2', 'ACGTAG')) t(id, seq)), e AS (SELECT id, seq, unnest(range(1, 7)) AS i FROM s) SELECT id, CAST(e.i AS INT) AS i, CAST(c AS DOUBLE) AS cost FROM e JOIN cost ON cost.i = e.i AND cost.ctx = substr('AA' || seq, e.i, 2) AND cost.sigma = substr(seq, e.i, 1)")
@@ -325,6 +371,13 @@ def ward_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
     return machines.ward_distances(_toy_scores(spark, 3), 3)
 
 
+@query("colored_violations_found", "WITH s AS (SELECT unnest(range(0, 64)) AS v), k AS (SELECT v, v // 2 * 2 AS rep, ((v * 7) % 11) // 4 AS color FROM s), t AS (SELECT DISTINCT k.rep AS u, x AS sigma, ((k.v * 4 + x) % 64) // 2 * 2 AS v FROM k CROSS JOIN (SELECT unnest(range(0, 4)) AS x)), c AS (SELECT rep, min(color) AS color, count(DISTINCT color) AS n FROM k GROUP BY rep), o AS (SELECT u, string_agg(sigma || '>' || v, ' ' ORDER BY sigma, v) AS moves FROM t GROUP BY u), g AS (SELECT min(u) AS rep, count(*) AS n FROM o JOIN c ON c.rep = o.u GROUP BY moves, u % 4, color) SELECT rep, 'color' AS fault FROM c WHERE n > 1 UNION ALL SELECT u, 'successor' FROM (SELECT u, sigma FROM t GROUP BY u, sigma HAVING count(*) > 1) UNION ALL SELECT rep, 'mergeable' FROM g WHERE n > 1")
+def colored_violations_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of states that differ in the last letter are no valid classes."""
+    pairs = spark.range(64).select(F.col("id").alias("v"), (F.col("id") - F.col("id") % 2).alias("rep"))
+    return machines.violations(kmer.transitions(spark, 3), pairs, _colored(spark, 3), 1)
+
+
 def _traces(spark: SparkSession) -> DataFrame:
     one = _toy_scores(spark, 4)
     return machines.reduction_traces(one.select(F.lit("a").alias("fsm_id"), "v", "score").union(one.select(F.lit("b"), "v", F.col("score") * F.col("score") / 4)), 4)
@@ -335,39 +388,122 @@ def reduction_trace(spark: SparkSession, d: str) -> DataFrame:
     return _traces(spark)
 
 
-@query("reduction_efficiency")
+#: Traces from a table: for each brand the error grows as states go.
+_STEPS_SQL = "SELECT p_brand AS fsm_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS step, CAST(101 - row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS n_states, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) / 100.0 AS mse FROM part"
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    own = Window.partitionBy("p_brand").orderBy("p_partkey")
+    at = F.row_number().over(own)
+    return table(spark, d, "part").select(F.col("p_brand").alias("fsm_id"), at.alias("step"), (101 - at).alias("n_states"), (F.sum("p_size").over(own) / 100.0).alias("mse"))
+
+
+@query("reduction_efficiency", f"SELECT fsm_id, round(1 - max(CASE WHEN n_states = 80 THEN mse END) / arg_min(mse, n_states), 9) AS efficiency FROM ({_STEPS_SQL}) GROUP BY fsm_id")
 def reduction_efficiency(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.reduction_efficiency(_traces(spark), "fsm_id", 256)
+    out = analytics.reduction_efficiency(_steps(spark, d), "fsm_id", 6400)
+    return out.select("fsm_id", F.round("efficiency", 9).alias("efficiency"))
 
 
-@query("picked_reductions")
+@query("picked_reductions", f"""WITH RECURSIVE t AS ({_STEPS_SQL}),
+    scan AS (SELECT fsm_id, step, n_states, mse, 100 AS last_n, CAST(0 AS DOUBLE) AS last_mse, CAST(NULL AS INT) AS pick FROM t WHERE step = 1
+        UNION ALL SELECT t.fsm_id, t.step, t.n_states, t.mse, CASE WHEN t.mse - s.last_mse >= 2.0 AND 1 - t.n_states / s.last_n >= 0.1 THEN s.n_states ELSE s.last_n END,
+            CASE WHEN t.mse - s.last_mse >= 2.0 AND 1 - t.n_states / s.last_n >= 0.1 THEN s.mse ELSE s.last_mse END, CASE WHEN t.mse - s.last_mse >= 2.0 AND 1 - t.n_states / s.last_n >= 0.1 THEN s.step END
+        FROM scan s JOIN t ON t.fsm_id = s.fsm_id AND t.step = s.step + 1)
+    SELECT t.fsm_id, t.step, t.n_states, round(t.mse, 6) AS mse FROM scan s JOIN t ON t.fsm_id = s.fsm_id AND t.step = s.pick""")
 def picked_reductions(spark: SparkSession, d: str) -> DataFrame:
-    return machines.pick_reductions(_traces(spark), 256, 0.05, 0.2)
+    return machines.pick_reductions(_steps(spark, d), 100, 2.0, 0.1).withColumn("mse", F.round("mse", 6))
 
 
-@query("reduction_comparison")
-def reduction_comparison(spark: SparkSession, d: str) -> DataFrame:
-    maps = machines.state_map_at(_traces(spark), 4, 40)
-    pick = lambda x: maps.filter(F.col("fsm_id") == x).select("v", "rep")
-    return clustering.compare_reductions(pick("a"), pick("b"))
+_MAPS_SQL = "SELECT CAST(p_partkey AS BIGINT) AS v, CAST(min(p_partkey) OVER (PARTITION BY p_brand) AS BIGINT) AS x, CAST(min(p_partkey) OVER (PARTITION BY p_size) AS BIGINT) AS y FROM part"
+
+
+def _maps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, d, "part")
+    rep = lambda c: part.select(F.col("p_partkey").cast("long").alias("v"), F.min("p_partkey").over(Window.partitionBy(c)).cast("long").alias("rep"))
+    return rep("p_brand"), rep("p_size")
 
 
-@query("kmeans_1d")
+@query("reduction_comparison", f"SELECT x AS first, y AS second, count(*) AS n, array_to_string(list_sort(list(v)), ',') AS members FROM ({_MAPS_SQL}) GROUP BY x, y")
+def reduction_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.compare_reductions(*_maps(spark, d)).withColumn("members", F.array_join("members", ","))
+
+
+@query("reduction_diff", f"""WITH m AS ({_MAPS_SQL}), p AS (SELECT x, y, count(*) AS n, list_sort(list(v)) AS vs FROM m GROUP BY x, y),
+    a AS (SELECT m.v, string_agg(p.y || ':' || array_to_string(p.vs, ','), ';' ORDER BY p.y) AS t FROM m JOIN p ON p.x = m.x AND p.y <> m.y GROUP BY m.v),
+    b AS (SELECT m.v, string_agg(p.x || ':' || array_to_string(p.vs, ','), ';' ORDER BY p.x) AS t FROM m JOIN p ON p.y = m.y AND p.x <> m.x GROUP BY m.v)
+    SELECT m.v, m.x AS first, m.y AS second, array_to_string(p.vs, ',') AS shared, coalesce(a.t, '') AS only_first, coalesce(b.t, '') AS only_second FROM m JOIN p ON p.x = m.x AND p.y = m.y LEFT JOIN a ON a.v = m.v LEFT JOIN b ON b.v = m.v""")
+def reduction_diff(spark: SparkSession, d: str) -> DataFrame:
+    line = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["other"].cast("string"), F.lit(":"), F.array_join(x["members"], ","))), ";")
+    out = clustering.reduction_diff(*_maps(spark, d))
+    return out.select("v", "first", "second", F.array_join("shared", ",").alias("shared"), line("only_first").alias("only_first"), line("only_second").alias("only_second"))
+
+
+def _optimal_sql(points: str, k: int) -> str:
+    """CTEs that end in cut(key, bin, first, last): ranks of the best split of points(key, x, w) into k runs."""
+    parts = [f"pts AS ({points})", "num AS (SELECT key, x, w, row_number() OVER (PARTITION BY key ORDER BY x) AS r, count(*) OVER (PARTITION BY key) AS n FROM pts)",
+        "cum AS (SELECT key, r, n, sum(w) OVER q AS w, sum(w * x) OVER q AS wx, sum(w * x * x) OVER q AS wxx FROM num WINDOW q AS (PARTITION BY key ORDER BY r) UNION ALL SELECT DISTINCT key, 0, n, 0, 0, 0 FROM num)",
+        "run AS (SELECT a.key, a.r AS i, b.r AS j, a.n, greatest(b.wxx - a.wxx - (b.wx - a.wx) * (b.wx - a.wx) / (b.w - a.w), 0) AS sse FROM cum a JOIN cum b ON a.key = b.key AND b.r > a.r)",
+        "d1 AS (SELECT key, j, n, sse AS cost, 0 AS cut FROM run WHERE i = 0)"]
+    for c in range(2, k + 1):
+        parts.append(f"d{c} AS (SELECT r.key, r.j, r.n, min(p.cost + r.sse) AS cost, arg_min(r.i, (p.cost + r.sse, r.i)) AS cut FROM d{c - 1} p JOIN run r ON r.key = p.key AND r.i = p.j GROUP BY r.key, r.j, r.n)")
+    parts.append(f"e{k} AS (SELECT key, cut AS first, j AS last FROM d{k} WHERE j = n)")
+    parts += [f"e{c} AS (SELECT d.key, d.cut AS first, d.j AS last FROM d{c} d JOIN e{c + 1} e ON d.key = e.key AND d.j = e.first)" for c in range(k - 1, 0, -1)]
+    parts.append("cut AS (" + " UNION ALL ".join(f"SELECT key, {c - 1} AS bin, first, last FROM e{c}" for c in range(1, k + 1)) + ")")
+    return ", ".join(parts)
+
+
+@query("kmeans_1d", f"WITH {_optimal_sql('SELECT p_brand AS key, round(p_retailprice / 10) AS x, count(*) AS w FROM part GROUP BY 1, 2', 4)} SELECT p.key AS p_brand, CAST(bin AS INT) AS color, CAST(sum(w) AS BIGINT) AS n, min(x) AS least, max(x) AS most FROM num p JOIN cut c ON p.key = c.key AND p.r > c.first AND p.r <= c.last GROUP BY 1, 2")
 def kmeans_1d(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_brand", F.round(F.col("p_retailprice") / 10).alias("x"))
-    return clustering.bin_report(clustering.kmeans_1d(rows, "p_brand", "x", 4), "x", "color")
+    return clustering.kmeans_1d(rows, "p_brand", "x", 4).groupBy("p_brand", "color").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+
+
+_SIGNED_SQL = "SELECT {key} AS key, CAST(p_size - 20 AS DOUBLE) AS x, count(*) AS w FROM part WHERE p_size - 20 {sign} 0 GROUP BY 1, 2"
+
+
+def _polar_sql(k: int) -> str:
+    report = "SELECT CAST(bin + {add} AS INT) AS color, CAST(sum(w) AS BIGINT) AS n, min(x) AS least, max(x) AS most FROM num p JOIN cut c ON p.key = c.key AND p.r > c.first AND p.r <= c.last GROUP BY 1"
+    low, high = (f"(WITH {_optimal_sql(_SIGNED_SQL.format(key=0, sign=sign), n)} {report.format(add=add)})" for sign, n, add in (("<", k // 3, 0), (">=", k - k // 3, k // 3)))
+    return f"SELECT * FROM {low} UNION ALL SELECT * FROM {high}"
 
 
-@query("kmeans_polar")
+@query("kmeans_polar", _polar_sql(6))
 def kmeans_polar(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.bin_report(clustering.kmeans_polar(_toy_scores(spark, 4).withColumn("k", F.lit(0)), "k", "score", 6), "score", "color")
+    rows = table(spark, d, "part").select(F.lit(0).alias("k"), (F.col("p_size") - 20).cast("double").alias("x"))
+    return clustering.bin_report(clustering.kmeans_polar(rows, "k", "x", 6), "x", "color")
+
+
+@query("kmeans_lloyd")
+def kmeans_lloyd(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(F.lit(0).alias("k"), F.col("p_size").cast("double").alias("x"))
+    return clustering.bin_report(clustering.partition(rows, "k", "x", 3, "kmeans"), "x", "color")
 
 
 @query("split_and_join_partitions")
 def split_and_join_partitions(spark: SparkSession, d: str) -> DataFrame:
-    start = clustering.kmeans_1d(_toy_scores(spark, 4).withColumn("k", F.lit(0)), "k", "score", 3)
-    out = clustering.join_partitions(clustering.split_partitions(start, "score", "color", 5), "score", "color", 2)
-    return clustering.bin_report(out, "score", "color")
+    rows = table(spark, d, "part").select(F.lit(0).alias("k"), F.col("p_size").cast("double").alias("x"))
+    split, _ = clustering.partition_to_colors(rows, "k", "x", 5, origin=3)
+    return clustering.bin_report(clustering.join_partitions(split, "x", "color", 2), "x", "color")
+
+
+@query("partition_baseline", f"WITH {_optimal_sql('SELECT 0 AS key, CAST(p_size AS DOUBLE) AS x, count(*) AS w FROM part GROUP BY 1, 2', 4)} SELECT CAST(bin AS INT) AS color, CAST(sum(w) AS BIGINT) AS n, min(x) AS least, max(x) AS most FROM num p JOIN cut c ON p.r > c.first AND p.r <= c.last GROUP BY 1 UNION ALL SELECT 4, 0, NULL, NULL")
+def partition_baseline(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(F.lit(0).alias("k"), F.col("p_size").cast("double").alias("x"))
+    _, baseline = clustering.partition_to_colors(rows, "k", "x", 4, origin=6)
+    return clustering.full_bin_report(baseline, "x", "color", 5)
+
+
+@query("patterns_per_bin", f"WITH {_lattice_sql(3)}, b AS (SELECT ((v * 7) % 11) // 4 AS color, kmer FROM lattice) SELECT CAST(c AS INT) AS color, CAST(count(kmer) AS BIGINT) AS n, coalesce(string_agg(kmer, ',' ORDER BY kmer), '') AS patterns FROM (SELECT unnest(range(0, 4)) AS c) LEFT JOIN b ON color = c GROUP BY 1")
+def patterns_per_bin(spark: SparkSession, d: str) -> DataFrame:
+    states = kmer.lattice(spark, 3).withColumn("color", F.expr("((v * 7) % 11) div 4"))
+    return clustering.patterns_per_bin(states, "kmer", "color", 4).withColumn("patterns", F.array_join("patterns", ","))
+
+
+@query("recolored_states", f"WITH {_lattice_sql(3)} SELECT v, CASE WHEN kmer < 'T' THEN CAST(((v * 7) % 11) // 4 AS BIGINT) END AS color FROM lattice")
+def recolored_states(spark: SparkSession, d: str) -> DataFrame:
+    states = kmer.lattice(spark, 3)
+    bins = clustering.patterns_per_bin(states.filter("kmer < 'T'").withColumn("color", F.expr("((v * 7) % 11) div 4")), "kmer", "color", 4)
+    return machines.recolor(states.withColumn("color", F.lit(9)), machines.from_coloring(states, bins)).select("v", F.col("color").cast("long").alias("color"))
 
 
 _COLORS_SQL = "SELECT l_linenumber AS k, floor(l_quantity / 10) AS color, floor(l_quantity / 7) AS other, l_quantity AS x FROM lineitem"
@@ -403,9 +539,13 @@ def adjacent_eps_pairs(spark: SparkSession, d: str) -> DataFrame:
     return analytics.close_pairs(rows, "p_brand", "x", "c", 2.0)
 
 
-@query("eps_runs")
+@query("eps_runs", """WITH RECURSIVE s AS (SELECT CAST(p_partkey AS BIGINT) AS v, p_brand, p_retailprice AS x, CAST(p_size % 10 AS INT) AS rep, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS r FROM part),
+    scan AS (SELECT p_brand, r, v, rep, x, 0 AS run, [rep] AS reps FROM s WHERE r = 1
+        UNION ALL SELECT s.p_brand, s.r, s.v, s.rep, s.x, c.run + CASE WHEN s.x - c.x > 2.0 OR list_contains(c.reps, s.rep) THEN 1 ELSE 0 END, CASE WHEN s.x - c.x > 2.0 OR list_contains(c.reps, s.rep) THEN [s.rep] ELSE list_append(c.reps, s.rep) END
+        FROM scan c JOIN s ON s.p_brand = c.p_brand AND s.r = c.r + 1)
+    SELECT p_brand, CAST(run AS INT) AS run, v, rep FROM (SELECT *, count(*) OVER (PARTITION BY p_brand, run) AS n FROM scan) WHERE n > 1""")
 def eps_runs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("v"), "p_brand", F.col("p_retailprice").alias("x"), (F.col("p_size") % 10).alias("rep"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("v"), "p_brand", F.col("p_retailprice").alias("x"), (F.col("p_size") % 10).cast("int").alias("rep"))
     return analytics.close_runs(rows, "p_brand", "x", "rep", 2.0)
 
 
@@ -497,12 +637,20 @@ def rank_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return clustering.rank_cooccurrence(table(spark, d, "part").select("p_brand", (F.col("p_size") % 7).alias("r")), "p_brand", "r")
 
 
-@query("prefix_cluster")
+@query("prefix_cluster", """WITH RECURSIVE s AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY encode(p_name), p_partkey) AS r FROM part),
+    l AS (SELECT *, lead(p_name) OVER (PARTITION BY p_brand ORDER BY r) AS nxt FROM s),
+    c AS (SELECT p_brand, p_name, r, CASE WHEN size > 0 AND size >= 0.6 * least(length(p_name), length(nxt)) THEN left(p_name, size) ELSE '' END AS own FROM
+        (SELECT *, coalesce(list_max(list_filter(range(0, least(length(p_name), length(nxt)) + 1), lambda k: left(p_name, k) = left(nxt, k))), 0) AS size FROM l)),
+    scan AS (SELECT p_brand, r, p_name, own AS common, CASE WHEN own = '' THEN -1 ELSE 0 END AS cluster, CASE WHEN own = '' THEN 0 ELSE 1 END AS used FROM c WHERE r = 1
+        UNION ALL SELECT c.p_brand, c.r, c.p_name, CASE WHEN w.common <> '' AND starts_with(c.p_name, w.common) THEN w.common ELSE c.own END,
+            CASE WHEN w.common <> '' AND starts_with(c.p_name, w.common) THEN w.cluster WHEN c.own = '' THEN -1 ELSE w.used END, CASE WHEN (w.common <> '' AND starts_with(c.p_name, w.common)) OR c.own = '' THEN w.used ELSE w.used + 1 END
+        FROM scan w JOIN c ON c.p_brand = w.p_brand AND c.r = w.r + 1)
+    SELECT p_brand, p_name, CAST(cluster AS INT) AS cluster FROM scan""")
 def prefix_cluster(spark: SparkSession, d: str) -> DataFrame:
     return clustering.prefix_clusters(table(spark, d, "part"), "p_brand", "p_name", 0.6)
 
 
-_NUMBERED_SQL = f"WITH c AS ({_FRONT_SQL}), r AS (SELECT key, CAST(id AS VARCHAR) AS seq, f, b, CAST(abs(b) AS BIGINT) % 9 AS hits FROM c), n AS (SELECT *, printf('%03d', row_number() OVER (PARTITION BY key ORDER BY f DESC, b, seq) - 1) AS id FROM r)"
+_NUMBERED_SQL = f"WITH c AS ({_FRONT_SQL}), r AS (SELECT key, CAST(id AS VARCHAR) AS seq, f, b, CAST(abs(b) AS BIGINT) % 9 AS hits FROM c), n AS (SELECT *, printf('%03d', row_number() OVER (PARTITION BY key ORDER BY f DESC, b, seq)) AS id FROM r)"
 
 
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
@@ -543,5 +691,3 @@ def plot_bounds(spark: SparkSession, d: str) -> DataFrame:
 @query("run_spans", "WITH s AS (SELECT p_partkey, p_size % 2 AS x FROM part), l AS (SELECT *, CASE WHEN x = lag(x) OVER (ORDER BY p_partkey) THEN 0 ELSE 1 END AS n FROM s), g AS (SELECT *, sum(n) OVER (ORDER BY p_partkey) AS g FROM l) SELECT x, min(p_partkey) AS first, count(*) AS rows FROM g GROUP BY g, x")
 def run_spans(spark: SparkSession, d: str) -> DataFrame:
     return analytics.run_spans(table(spark, d, "part").select("p_partkey", (F.col("p_size") % 2).alias("x")), "p_partkey", "x")
-
-
