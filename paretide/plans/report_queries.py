@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import designer
 from ..operators import analytics, cost, kmer, machines, motif, regions, sampling, shaping
 from ..sources import files
-from .queries import _COUNTS, _DNA_SQL, _FRONT_SQL, _MOTIF_SQL, MOTIF, _candidates, _dna, _lattice_sql, _score_sql, _toy_scores, _weights, _windows_sql
+from .queries import _COUNTS, _DNA_SQL, _FRONT_SQL, _MOTIF_SQL, _VALUES, _candidates, _dna, _lattice_sql, _score_sql, _weights, _windows_sql
 from .registry import query, table
 
 # --- hits with p-values
@@ -39,7 +38,7 @@ def gene_hit_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("hits_in_orfs", f"{_SCAN_SQL}, orf AS (SELECT doc_id, 'first' AS region, 10 AS first, 60 AS last FROM dna UNION ALL SELECT doc_id, 'second', 50, 120 FROM dna) SELECT doc_id, region, count(*) AS n FROM scan JOIN orf USING (doc_id) WHERE start >= first AND stop <= last GROUP BY 1, 2")
 def hits_in_orfs(spark: SparkSession, d: str) -> DataFrame:
     rows = _dna(spark, d)
-    orfs = rows.select("doc_id", F.explode(F.array(F.struct(F.lit("first").alias("region"), F.lit(10).alias("first"), F.lit(60).alias("last")), F.struct(F.lit("second"), F.lit(50), F.lit(120)))).alias("o")).select("doc_id", "o.*")
+    orfs = rows.select("doc_id", F.explode(F.array(F.struct(F.lit("first").alias("region"), F.lit(10).alias("first"), F.lit(60).alias("last")), F.struct(F.lit("second").alias("region"), F.lit(50).alias("first"), F.lit(120).alias("last")))).alias("o")).select("doc_id", "o.*")
     return analytics.hits_in_regions(motif.scan_hits(rows, "seq", _weights(spark), _P), orfs, "doc_id").groupBy("doc_id", "region").agg(F.count("*").alias("n"))
 
 
@@ -100,7 +99,7 @@ def coding_sequences(spark: SparkSession, d: str) -> DataFrame:
     return regions.coding_sequences(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("gene_id"), "l_linenumber"), genes)
 
 
-@query("region_names", "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN n_name ELSE 'G' || n_nationkey END AS id, 'chr' || n_regionkey || ':' || (n_nationkey + 10) || '..' || (n_nationkey + 20) || ':-1' AS name, 'base/fly/chr' || n_regionkey || '/' || CASE WHEN n_regionkey = 0 THEN n_name ELSE 'G' || n_nationkey END || '_-1_' || (n_nationkey + 10) || '_' || (n_nationkey + 20) || '.fa' AS path FROM nation")
+@query("region_names", "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN split_part(n_name, '_', 1) ELSE 'G' || n_nationkey END AS id, 'chr' || n_regionkey || ':' || (n_nationkey + 10) || '..' || (n_nationkey + 20) || ':-1' AS name, 'base/fly/chr' || n_regionkey || '/' || CASE WHEN n_regionkey = 0 THEN split_part(n_name, '_', 1) ELSE 'G' || n_nationkey END || '_-1_' || (n_nationkey + 10) || '_' || (n_nationkey + 20) || '.fa' AS path FROM nation")
 def region_names(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
     key = F.col("n_nationkey").cast("string")
@@ -125,7 +124,7 @@ def printed_motifs(spark: SparkSession, d: str) -> DataFrame:
     return shaping.printed_motifs(table(spark, d, "part").select(name.alias("matrix_id"), "p_size"))
 
 
-@query("report_headings", """SELECT p_partkey AS "Matrix ID", p_size AS "\\# Of States in DB FSM", p_retailprice AS "Binding Score MSE" FROM part""".replace("\\# Of States in DB FSM", "\\# States in DB FSM").replace('"\\# States in DB FSM"', '"\\# Of States in DB FSM"'))
+@query("report_headings", """SELECT p_partkey AS "Matrix ID", p_size AS "\\# States in DB FSM", p_retailprice AS "Binding Score MSE" FROM part""")
 def report_headings(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("matrix_id"), F.col("p_size").alias("n_states_db_fsm"), F.col("p_retailprice").alias("binding_mse"), F.lit(1).alias("other"))
     return shaping.with_headings(shaping.selected(rows, ["matrix_id", "n_states_db_fsm", "binding_mse"]))
@@ -224,6 +223,8 @@ def sampler_names(spark: SparkSession, d: str) -> DataFrame:
 # --- a whole design run
 
 _DESIGN_TARGET = "ACGTA"
+#: Counts whose scores are whole numbers, so that sums and ties are exact in any order of addition.
+_EXACT = [("toy", i, b, n) for i, row in enumerate(((7, 3, 1, 1), (1, 1, 7, 3), (3, 1, 1, 7))) for b, n in zip("ACGT", row, strict=True)]
 
 
 def _design_run_sql() -> str:
@@ -232,13 +233,14 @@ def _design_run_sql() -> str:
     word = " || ".join(f"b{i}" for i in range(len(_DESIGN_TARGET)))
     mismatch = " + ".join(f"CASE WHEN substr(seq, {i + 1}, 1) = '{x}' THEN 0 ELSE 1 END" for i, x in enumerate(_DESIGN_TARGET))
     wins = " + ".join(f"(SELECT greatest(f, r) FROM sc WHERE kmer = substr(seq, {i}, 3))" for i in range(1, len(_DESIGN_TARGET) - 1))
-    return f"""WITH {_MOTIF_SQL}, {_lattice_sql(3)}, sc AS (SELECT kmer, {_score_sql('kmer')} AS f, {_score_sql("reverse(translate(kmer, 'ACGT', 'TGCA'))")} AS r FROM lattice),
+    motif_sql = _MOTIF_SQL.replace(_VALUES, ", ".join(str(x) for x in _EXACT))
+    return f"""WITH {motif_sql}, {_lattice_sql(3)}, sc AS (SELECT kmer, {_score_sql('kmer')} AS f, {_score_sql("reverse(translate(kmer, 'ACGT', 'TGCA'))")} AS r FROM lattice),
         tail AS (SELECT a.kmer, count(*) / 64.0 AS p FROM sc a JOIN sc b ON round(b.f, 6) >= round(a.f, 6) GROUP BY a.kmer),
         s AS (SELECT seq, CAST(-({mismatch}) AS DOUBLE) AS f, {wins} AS b FROM (SELECT {word} AS seq FROM {letters})),
-        front AS (SELECT * FROM s p WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.f >= p.f AND o.b <= p.b + 1e-9 AND (o.f > p.f OR o.b < p.b - 1e-9))),
+        front AS (SELECT * FROM s p WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.f >= p.f AND o.b <= p.b AND (o.f > p.f OR o.b < p.b))),
         win AS (SELECT seq, unnest(range(1, {len(_DESIGN_TARGET) - 1})) AS pos FROM front),
         hit AS (SELECT seq, pos FROM win JOIN tail ON kmer = substr(seq, pos, 3) WHERE p <= {_P} UNION ALL SELECT seq, pos FROM win JOIN tail ON kmer = reverse(translate(substr(seq, pos, 3), 'ACGT', 'TGCA')) WHERE p <= {_P})
-        SELECT 't' AS target, printf('%03d', row_number() OVER (ORDER BY f DESC, round(b, 6), seq)) AS id, -f AS cost, round(b, 6) AS binding_score, seq AS sequence, CAST(-f AS INT) AS n_substitutions, CAST((SELECT count(*) FROM hit WHERE hit.seq = front.seq) AS INT) AS n_hits FROM front"""
+        SELECT 't' AS target, printf('%03d', row_number() OVER (ORDER BY f DESC, b, seq)) AS id, -f AS cost, round(b, 6) AS binding_score, seq AS sequence, CAST(-f AS INT) AS n_substitutions, CAST((SELECT count(*) FROM hit WHERE hit.seq = front.seq) AS INT) AS n_hits FROM front"""
 
 
 @query("design_run", _design_run_sql())
@@ -248,7 +250,7 @@ def design_run(spark: SparkSession, d: str) -> DataFrame:
     files.write_fasta(spark.createDataFrame([("t", _DESIGN_TARGET)], "header string, seq string").coalesce(1), f"{path}/in/raw")
     seq = files.fasta_records(spark, f"{path}/in/raw").first()
     targets = {seq["header"]: seq["seq"]}
-    counts = spark.createDataFrame(_COUNTS, "matrix_id string, pos int, base string, count long")
+    counts = spark.createDataFrame(_EXACT, "matrix_id string, pos int, base string, count long")
     rows = designer.run(spark, targets, counts, "toy", budgets=(0,), alphas=(1.0,), reduce_by=None, p_value=_P)
     meta = F.struct(F.lit("00:00:00").alias("runtime"), F.lit(0).cast("long").alias("n_solutions"), F.col("target").alias("target_id"))
     files.write_results(rows.withColumn("metadata", meta), f"{path}/out")

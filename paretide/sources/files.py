@@ -116,8 +116,8 @@ def meme(matrix: DataFrame, n_sequences: DataFrame) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """One JSON document a target: its metadata and its results, in order of their ids."""
-    df.groupBy("metadata").agg(F.sort_array(F.collect_list(F.struct("id", "cost", "binding_score", "sequence", "costs", "n_substitutions", "motif_hits"))).alias("results")).write.json(path)
+    """A file with one JSON document for each target: its metadata and its results, in order of their ids."""
+    df.groupBy("metadata").agg(F.sort_array(F.collect_list(F.struct("id", "cost", "binding_score", "sequence", "costs", "n_substitutions", "motif_hits"))).alias("results")).write.option("maxRecordsPerFile", 1).json(path)
 
 
 def write_solutions(df: DataFrame, path: str) -> None:

@@ -90,7 +90,7 @@ def test_sampling_equals_pointers(spark):
     got = sampling.universal(df, ["k"], "f", [F.desc("f"), F.asc("b")], 9, 0.7, 10, 0.4)
     assert sorted(int(x["b"]) for x in got.collect()) == want
     assert sampling.universal(df, ["k"], "f", [F.desc("f")], 0, 0.7, 10, 0.4).count() == 60
-    assert sampling.phase_sampler(df, ["k"], [F.desc("f")], 5, "start").count() <= 5
+    assert sampling.phase_sampler(df, ["k"], [F.desc("f")], 5, "upstream").count() <= 5
 
 
 @pytest.mark.parametrize("suffix", [0, 1, 2])
