@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, mix, signed, texts_of, window_hash, word_hashes
-from .shared import BROADCAST_KEYS, frugal, only_keys, written
+from .shared import BROADCAST_KEYS, freed, frugal, only_keys, written
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -184,6 +184,7 @@ def class_table(key: DataFrame, percent: int = SIMILARITY, unique: bool = False)
     candidates = written(near.groupBy("k", "need").count().filter("count >= need").select("k").distinct(), "candidates")
 
     sets = written(once(only_keys(key, candidates, "k")).mapInArrow(_token_sets, "k long, n long, tokens array<long>, ranges array<int>"), "sets")
+    freed(held, candidates)
     token = sets.select("k", "n", F.explode("tokens").alias("h"))
     own = Window.partitionBy("k")
     often = token.join(token.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "h")
@@ -211,12 +212,15 @@ def class_table(key: DataFrame, percent: int = SIMILARITY, unique: bool = False)
     entry = prefixes.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     sizes = entry.groupBy("h", "comp").agg(F.count("*").alias("size")).groupBy("h").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("size", "comp")).alias("main")).filter("parts > 1")
     entry = written(entry.join(sizes.select("h", "main"), "h").join(sets.select("k", "ranges"), "k"), "entries")
+    freed(prefixes)
     one = entry.filter("comp <> main").select("h", F.col("k").alias("ka"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("comp").alias("ca"), F.col("ranges").alias("ra"))
     other = entry.select("h", F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("comp").alias("cb"), F.col("ranges").alias("rb"))
     enough = _overlap_bound() * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
     pairs = one.join(other, "h").filter("ca <> cb").filter(_may_link(percent)).filter(enough).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
     more = written(_verified(pairs, sets, percent), "links")
+    freed(entry, sets)
     final = components(links.union(more)) if more.limit(1).count() else comps
+    freed(links, more)
     return rows.join(reps.select("c1", "c2", "cls"), ["c1", "c2"], "left").select("k", "n", "cls"), final.select(F.col("node").alias("cls"), "comp")
 
 
