@@ -55,9 +55,10 @@ def fit(docs: DataFrame, labelled: DataFrame, domain: str) -> tuple[list[str], d
     order = F.xxhash64("doc_id")
     chosen = ids.orderBy(order, "doc_id").limit(LABELLED)
     trusted = known.select("doc_id", "y").join(hint(ids), "doc_id", "left_semi")
-    few = trusted.withColumn("part", F.pmod(order, F.lit(256)))  # parts first: a domain's rows are no single task's work
-    for keys in (["y", "part"], ["y"]):
-        few = few.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "doc_id"))).filter(F.col("r") <= EACH)
+    few = trusted
+    for parts in (256, 16, 1):  # parts first: a domain's rows are no single task's work, whose last takes 16 * EACH of them
+        dealt = Window.partitionBy("y", F.pmod(order, F.lit(parts))).orderBy(order, "doc_id")
+        few = few.withColumn("r", F.row_number().over(dealt)).filter(F.col("r") <= EACH)
     chosen = written(chosen.union(few.select("doc_id")).distinct(), "chosen")
     rows = written(known.join(F.broadcast(chosen), "doc_id", "left_semi").select("y", "text"), "labelled")
     counts = rows.groupBy("y").count().collect()  # a row for each domain
