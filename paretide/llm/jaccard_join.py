@@ -107,16 +107,15 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterat
     table = counts.value
     for batch in batches:
         ids = batch.column("k").to_numpy()
-        h, rows, c1, need = [], [], [], []
+        h, rows, need = [], [], []
         for r, s in _sets(batch):
             m, least = first_look(len(s), percent)
             rare = s[np.lexsort((s, table[(s >> U(46)).astype(np.int64)]))[:m]]
             need.append(np.full(m, least, dtype=np.int32))
             h.append(rare)
             rows.append(np.full(m, ids[r]))
-            c1.append(np.full(m, np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)[0]))
         if h:
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(h))), pa.array(np.concatenate(rows)), pa.array(np.concatenate(c1)), pa.array(np.concatenate(need))], names=["h", "k", "c1", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(h))), pa.array(np.concatenate(rows)), pa.array(np.concatenate(need))], names=["h", "k", "need"])
 
 
 @frugal
@@ -177,9 +176,9 @@ def class_table(key: DataFrame, percent: int = SIMILARITY, unique: bool = False)
 
     reps = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min("k").alias("cls"), F.max("n").alias("n"))
     single = once(only_keys(key, written(reps.select(F.col("cls").alias("k")), "reps"), "k"))
-    entry = single.mapInArrow(partial(_prefixes, counts=shared_counts, percent=percent), "h long, k long, c1 long, need int")
-    # shingles that several classes hold, by least and greatest class: pre-aggregated, so a common one is no single task's work
-    held = written(entry.groupBy("h").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).filter("x <> y").select("h"), "held")
+    entry = single.mapInArrow(partial(_prefixes, counts=shared_counts, percent=percent), "h long, k long, need int")
+    # shingles that several classes hold (a class has one entry of each): pre-aggregated, so a common one is no single task's work
+    held = written(entry.groupBy("h").count().filter("count > 1").select("h"), "held")
     near = only_keys(entry, held, "h")
     candidates = written(near.groupBy("k", "need").count().filter("count >= need").select("k").distinct(), "candidates")
 
