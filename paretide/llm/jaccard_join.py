@@ -179,7 +179,7 @@ def class_table(key: DataFrame, percent: int = SIMILARITY, unique: bool = False)
     entry = single.mapInArrow(partial(_prefixes, counts=shared_counts, percent=percent), "h long, k long, need int")
     # shingles that several classes hold (a class has one entry of each): pre-aggregated, so a common one is no single task's work
     held = written(entry.groupBy("h").count().filter("count > 1").select("h"), "held")
-    near = only_keys(entry, held, "h")
+    near = entry.join(held.hint("shuffle_merge"), "h", "left_semi")  # one way at every size: these keys grow with the corpus
     candidates = written(near.groupBy("k", "need").count().filter("count >= need").select("k").distinct(), "candidates")
 
     sets = written(once(only_keys(key, candidates, "k")).mapInArrow(_token_sets, "k long, n long, tokens array<long>, ranges array<int>"), "sets")
