@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hash_forest, html_extract, jaccard_join, mixing, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from . import bpe, hash_forest, html_extract, jaccard_join, merkle, mixing, quality, sharding, substring_dedup, suffix_dedup, toxicity
 from .shared import table
 
 
@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": lambda s, d: jaccard_join.op8(table(s, d, "documents")),
         "op9_mixing": lambda s, d: mixing.op9(table(s, d, "documents"), table(s, d, "labels")),
         "op10_sharding": lambda s, d: sharding.op10(table(s, d, "documents")),
+        "op11_merkle_manifest": lambda s, d: merkle.op11(table(s, d, "documents")),
         "pipeline": pipeline,
     }
 
@@ -42,8 +43,57 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 
+def _field_sql(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_field_sql(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _climb_sql(name: str, rows: str, levels: int) -> str:
+    """CTEs {name}0, ... of nodes (g, pos, h, n) from ``rows``, and {name}r0, ... of runs; a tree that is done stays."""
+    parts = [f"{name}0 AS MATERIALIZED (SELECT g, pos, h, n FROM {rows})"]
+    for i in range(levels):
+        parts.append(f"{name}r{i} AS MATERIALIZED (SELECT g, pos // 3 AS run, list(h ORDER BY pos) AS hs, any_value(n) AS n FROM {name}{i} GROUP BY g, pos // 3)")
+        parts.append(f"{name}{i + 1} AS MATERIALIZED (SELECT g, run AS pos, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, CASE WHEN n = 1 THEN 1 ELSE (n + 2) // 3 END AS n FROM {name}r{i})")
+    return ", ".join(parts)
+
+
+def _walk_sql(name: str, tree: str, rows: str, levels: int) -> str:
+    """CTEs {name}0, ...: rows (doc_id, g, pos, fold, proof) carried up the tree level by level."""
+    parts = [f"{name}0 AS MATERIALIZED (SELECT doc_id, g, pos, fold, proof FROM {rows})"]
+    for i in range(levels):
+        before, after = "hs[1:w.pos % 3]", "hs[w.pos % 3 + 2:]"
+        parts.append(f"""{name}{i + 1} AS MATERIALIZED (SELECT doc_id, w.g, w.pos // 3 AS pos, CASE WHEN n = 1 THEN fold ELSE sha256(array_to_string({before} || [fold] || {after}, '')) END AS fold,
+                CASE WHEN n = 1 THEN proof ELSE proof || array_to_string({before} || {after}, '') END AS proof FROM {name}{i} w JOIN {tree}r{i} r ON r.g = w.g AND r.run = w.pos // 3)""")
+    return ", ".join(parts)
+
+
+#: The CRC-32 of the decimal doc_id is even: its bits one by one, before the last complement.
+_EVEN_SQL = """(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                lambda x, e: xor(xor(x, e) >> 1, (xor(x, e) & 1) * CAST(3988292384 AS BIGINT))) & 1) = 1"""
+
+
+def _manifest_sql(levels: int = 12, tops: int = 7) -> str:
+    """The manifest of up to 3 ** ``levels`` documents a source and 3 ** ``tops`` sources."""
+    cut = "replace(text, chr(10), '')"
+    return f"""
+            WITH l AS MATERIALIZED (SELECT doc_id, coalesce('1' || source, '0') AS g, {_leaf_sql('text')} AS h, CASE WHEN {_EVEN_SQL} THEN {_leaf_sql(cut)} END AS other FROM documents),
+            p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, h) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l),
+            {_climb_sql('t', 'p', levels)},
+            {_walk_sql('w', 't', "(SELECT doc_id, g, pos, coalesce(other, h) AS fold, '' AS proof FROM p)", levels)},
+            s AS MATERIALIZED (SELECT g AS source, 0 AS g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM t{levels}),
+            {_climb_sql('u', 's', tops)},
+            {_walk_sql('v', 'u', f"(SELECT doc_id, 0 AS g, s.pos, fold, proof FROM w{levels} w JOIN s ON s.source = w.g)", tops)}
+            SELECT l.doc_id, l.h AS leaf, s.h AS subroot, u.h AS root, sha256(v.proof) AS proof_sha256, v.fold AS folded_root, v.fold = u.h AS verified
+            FROM l JOIN s ON s.source = l.g JOIN v{tops} v ON v.doc_id = l.doc_id CROSS JOIN u{tops} u"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_merkle_manifest": _manifest_sql(),
         "op5_substring_dedup": f"""
             WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
             win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
