@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hash_forest, html_extract, jaccard_join, merkle, mixing, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from . import bpe, hard_negatives, hash_forest, html_extract, jaccard_join, merkle, mixing, quality, sharding, substring_dedup, suffix_dedup, toxicity
 from .shared import table
 
 
@@ -36,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": lambda s, d: mixing.op9(table(s, d, "documents"), table(s, d, "labels")),
         "op10_sharding": lambda s, d: sharding.op10(table(s, d, "documents")),
         "op11_merkle_manifest": lambda s, d: merkle.op11(table(s, d, "documents")),
+        "op12_hard_negatives": lambda s, d: hard_negatives.op12(table(s, d, "embeddings")),
         "pipeline": pipeline,
     }
 
@@ -94,6 +95,14 @@ def _manifest_sql(levels: int = 12, tops: int = 7) -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_merkle_manifest": _manifest_sql(),
+        "op12_hard_negatives": """
+            WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+                WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+            p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+            SELECT p.anchor_id, positive_id, CAST(row_number() OVER near AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+            WINDOW near AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5""",
         "op5_substring_dedup": f"""
             WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
             win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
