@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hard_negatives, hash_forest, html_extract, jaccard_join, merkle, mixing, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from . import bpe, hard_negatives, hash_forest, html_extract, jaccard_join, merkle, mixing, quality, secrets, sharding, substring_dedup, suffix_dedup, toxicity
 from .shared import table
 
 
@@ -37,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": lambda s, d: sharding.op10(table(s, d, "documents")),
         "op11_merkle_manifest": lambda s, d: merkle.op11(table(s, d, "documents")),
         "op12_hard_negatives": lambda s, d: hard_negatives.op12(table(s, d, "embeddings")),
+        "op13_secret_scan": lambda s, d: secrets.op13(table(s, d, "documents")),
         "pipeline": pipeline,
     }
 
