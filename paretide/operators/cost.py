@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +117,76 @@ def cost_table(marked: str, usage: dict[str, float] | None, alpha: float = 0.5,
     return out
 
 
+@dataclass
+class Place:
+    """What a cost may depend on at a position: the target's letter, its place in a codon (as ``codon_position``), the
+    target's codon that ends there, the two letters before the proposed one, and this."""
+
+    target: Column
+    position: Column
+    codon: Column
+    context: Column
+    sigma: Column
+
+
+#: Cost functions by name: expressions of a place and of the function's own parameters.
+COSTS: dict[str, Callable[..., Column]] = {}
+
+
+def cost_function(name: str) -> Callable[[Callable[..., Column]], Callable[..., Column]]:
+    """Registers a cost function; costs of a table of targets and designs find it by its name."""
+
+    def add(f: Callable[..., Column]) -> Callable[..., Column]:
+        COSTS[name] = f
+        return f
+
+    return add
+
+
+@cost_function("exact")
+def exact_costs(at: Place) -> Column:
+    return exact_match_cost(at.target, at.sigma)
+
+
+@cost_function("codons")
+def codon_costs(at: Place, usage: Column, alpha: float = 0.5, beta: float = 1.0, w: float = 500.0) -> Column:
+    """Transitions and transversions outside the coding region; inside, a codon is judged at its third letter."""
+    new = F.concat(at.context, at.sigma)
+    third = coding_cost(new, at.codon, at.position == -3, F.element_at(usage, new), w)
+    return F.when(at.position == 0, noncoding_cost(at.target, at.sigma, alpha, beta)).when(at.position.isin(1, 2), 0.0).otherwise(third)
+
+
+def usage_map(usage: DataFrame) -> Column:
+    """(codon, cost) as one map: at most 64 entries."""
+    rows = usage.select("codon", "cost").limit(64).collect()
+    return F.create_map(*[F.lit(x) for r in rows for x in (r["codon"], float(r["cost"]))])
+
+
+def targets(marked: DataFrame, seq: str = "seq") -> DataFrame:
+    """``marked`` with a sequence whose coding region follows a ``*`` in place of ``seq``, and its ``first`` and ``last``
+    position (null without a mark). A bad coding region is an error."""
+    found = coding_positions(F.col(seq))
+    fault = F.when(found["error"].isNotNull(), F.raise_error(found["error"]).cast("string"))
+    return marked.withColumn("_found", found).withColumn(seq, F.coalesce(fault, F.col("_found.sequence"))).withColumn("first", F.col("_found.first").cast("int")).withColumn("last", F.col("_found.last").cast("int")).drop("_found")
+
+
+def place(padded: Column, at: Column, position: Column, context: Column, sigma: Column) -> Place:
+    """The place at letter ``at`` (from 1) of a target that has two letters put before it."""
+    return Place(F.substring(padded, at + 2, F.lit(1)), position, F.substring(padded, at, F.lit(3)), context, sigma)
+
+
+def target_costs(rows: DataFrame, name: str, seq: str = "seq", **params: object) -> DataFrame:
+    """The other columns, i, ctx, sigma, cost of every position of every target (seq, first, last), for every context and
+    letter: the whole finite domain of a cost function, 64 rows a position."""
+    others = [c for c in rows.columns if c not in (seq, "first", "last")]
+    pairs = [a + b for a in "ACGT" for b in "ACGT"]
+    each = rows.filter(F.length(seq) > 0).withColumn("_padded", F.concat(F.lit("AA"), seq)).withColumn("i", F.explode(F.sequence(F.lit(1), F.length(seq))))
+    each = each.select(*others, "i", codon_position(F.col("i"), F.col("first"), F.col("last")).alias("_p"), F.substring("_padded", F.col("i"), F.lit(3)).alias("_near"))
+    each = each.withColumn("ctx", F.explode(F.array(*map(F.lit, pairs)))).withColumn("sigma", F.explode(F.array(*map(F.lit, "ACGT"))))
+    here = Place(F.substring("_near", 3, 1), F.col("_p"), F.col("_near"), F.col("ctx"), F.col("sigma"))
+    return each.select(*others, "i", "ctx", "sigma", COSTS[name](here, **params).cast("double").alias("cost"))
+
+
 def max_cost(alpha: float, beta: float, w: float) -> float:
     """A bound of all finite costs."""
     return max(alpha, beta, w + 3)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kmer, motif
+from .staging import staged
 
 
 def motif_machine(counts: DataFrame, matrix_id: str, strands: tuple[str, ...] = ("forward",)) -> tuple[int, DataFrame, DataFrame]:
@@ -39,17 +40,26 @@ def reduced_machine(transitions: DataFrame, classes: DataFrame, scores: DataFram
 def colored_classes(states: DataFrame, m: int, suffix: int = 2) -> DataFrame:
     """(v, rep): the smallest state of each state's class in the irreducible coloured machine.
 
-    ``states`` has (v, color), codes of k-mers of length m. Classes start as (colour, last ``suffix`` letters) and are
-    refined by the classes of the four successors; m rounds suffice, since any two k-mers meet after m letters.
+    ``states`` has (v, color) for all k-mers of length m, by code. Classes start as (colour, last ``suffix`` letters) and
+    are refined by the classes of the four successors, until their number stands still: at most m rounds, as any two
+    k-mers meet after m letters. The successors of a state are the four k-mers that begin with its last m - 1 letters, so
+    one row for each such beginning holds the four classes, and a round is one join with it. Each round is written; the
+    plan of a round is always the same.
     """
-    now = states.select("v", F.min("v").over(Window.partitionBy("color", F.pmod("v", F.lit(4**suffix)))).alias("rep"))
+    tails = F.lit(4 ** (m - 1))
+    key = F.concat(F.coalesce(F.concat(F.lit("c"), F.col("color").cast("string")), F.lit("none")), F.lit("/"), F.pmod("v", F.lit(4**suffix)).cast("string"))
+    keyed = states.select(F.col("v").cast("long").alias("v"), key.alias("_key"))
+    now = staged(keyed.join(keyed.groupBy("_key").agg(F.min("v").alias("rep")), "_key").select("v", "rep"), "classes")
+    known = now.select("rep").distinct().count()
     for _ in range(m):
-        out = now
-        for s in range(4):
-            target = now.select(F.col("v").alias(f"t{s}"), F.col("rep").alias(f"r{s}"))
-            out = out.withColumn(f"t{s}", F.pmod(F.col("v") * 4 + s, F.lit(4**m))).join(target, f"t{s}").drop(f"t{s}")
-        finer = F.min("v").over(Window.partitionBy("rep", "r0", "r1", "r2", "r3"))
-        now = out.withColumn("_finer", finer).select("v", F.col("_finer").alias("rep"))
+        after = [f"r{s}" for s in range(4)]
+        moves = now.groupBy(F.expr("v div 4").alias("_tail")).agg(*[F.max(F.when(F.pmod("v", F.lit(4)) == s, F.col("rep"))).alias(r) for s, r in enumerate(after)])
+        each = now.withColumn("_tail", F.pmod("v", tails)).join(moves, "_tail")
+        finer = each.groupBy("rep", *after).agg(F.min("v").alias("_finer"))
+        now = staged(each.join(finer, ["rep", *after]).select("v", F.col("_finer").alias("rep")), "classes", now)
+        before, known = known, now.select("rep").distinct().count()
+        if known == before:
+            break
     return now
 
 
