@@ -84,6 +84,17 @@ def base_frequencies(df: DataFrame, seq: str) -> DataFrame:
     return n.join(total, "pos").select("pos", "base", "n", (F.col("n") / F.col("total")).alias("freq"))
 
 
+def consensus(df: DataFrame, key: str, seq: str, reached: tuple[int, int] = (1, 2)) -> DataFrame:
+    """(key, seq): the most frequent letter at each position of a key's sequences (ties: the first letter in order), over
+    the positions that at least ``reached[0]`` in ``reached[1]`` of them reach."""
+    n = df.filter(F.col(seq) != "").groupBy(key).agg(F.count("*").alias("_all"))
+    each = df.select(key, F.posexplode(F.filter(F.split(seq, ""), lambda c: c != "")).alias("pos", "base")).groupBy(key, "pos", "base").agg(F.count("*").alias("_n"))
+    best = each.groupBy(key, "pos").agg(F.min_by("base", F.struct(-F.col("_n"), "base")).alias("base"), F.sum("_n").alias("_reach"))
+    kept = best.join(n, key).filter(F.col("_reach") * reached[1] >= F.col("_all") * reached[0])
+    letters = F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"])
+    return kept.groupBy(key).agg(F.array_join(letters, "").alias(seq))
+
+
 def sequence_diff(df: DataFrame, a: str, b: str) -> DataFrame:
     """Positions (from 1) where two columns of equal length differ; a length mismatch is one row with pos null."""
     others = [c for c in df.columns if c not in (a, b)]

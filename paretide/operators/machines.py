@@ -183,6 +183,26 @@ def state_map_at(traces: DataFrame, m: int, n_states: int) -> DataFrame:
     return traces.groupBy("fsm_id").applyInPandas(run, "fsm_id string, v long, rep long")
 
 
+def trace_invariants(traces: DataFrame, scores: DataFrame, m: int) -> DataFrame:
+    """(fsm_id, n_steps, n_states, mse, sums_agree, n_faults): what must hold of each trace of ``reduction_traces``.
+
+    ``sums_agree``: the distances add up to the squared error of the last classes, as computed from ``scores`` again.
+    ``n_faults``: steps that don't leave one state less than the step before, classes of the last step whose states move
+    to two classes by one letter, and last errors that aren't the distances' sum over the states.
+    """
+    last = traces.groupBy("fsm_id").agg(F.count("*").alias("n_steps"), F.min("n_states").alias("n_states"), F.max("mse").alias("mse"), F.sum("distance").alias("_d"))
+    gaps = traces.filter(F.col("n_states") != 4**m - F.col("step")).groupBy("fsm_id").agg(F.count("*").alias("_g"))
+    classes = state_map_at(traces, m, 0)
+    sse = classes.join(scores, ["fsm_id", "v"]).groupBy("fsm_id", "rep").agg((F.var_pop("score") * F.count("*")).alias("_e")).groupBy("fsm_id").agg(F.sum("_e").alias("_sse"))
+    moves = classes.withColumn("sigma", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("_t", F.pmod(F.col("v") * 4 + F.col("sigma"), F.lit(4**m)))
+    after = classes.select("fsm_id", F.col("v").alias("_t"), F.col("rep").alias("_after"))
+    split = moves.join(after, ["fsm_id", "_t"]).groupBy("fsm_id", "rep", "sigma").agg(F.countDistinct("_after").alias("n")).filter("n > 1").groupBy("fsm_id").agg(F.count("*").alias("_s"))
+    near = lambda a, b: F.abs(a - b) <= 1e-9 * (1 + F.abs(a) + F.abs(b))
+    out = last.join(sse, "fsm_id").join(gaps, "fsm_id", "left").join(split, "fsm_id", "left")
+    wrong = (~near(F.col("mse"), F.col("_d") / 4**m)).cast("long")
+    return out.select("fsm_id", "n_steps", "n_states", "mse", near(F.col("_d"), F.col("_sse")).alias("sums_agree"), (F.coalesce("_g", F.lit(0)) + F.coalesce("_s", F.lit(0)) + wrong).alias("n_faults"))
+
+
 def pick_reductions(traces: DataFrame, origin_size: int, least_delta: float, least_ratio: float) -> DataFrame:
     """The steps just before both the error and the reduction, against the last picked step, pass their thresholds."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

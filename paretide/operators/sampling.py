@@ -76,6 +76,12 @@ def params_id(k: int, alpha: float | None = None, alphas: tuple[float, ...] | No
     return f"k_{k}" if alpha is None or k == 0 else f"k_{k}__alpha_{alpha}"
 
 
+def sampler_name(k: Column, alpha: Column) -> Column:
+    """``params_id`` of rows with their own budget and exponent."""
+    name = F.concat(F.lit("k_"), k.cast("string"))
+    return F.when(k > 0, F.concat(name, F.lit("__alpha_"), alpha.cast("string"))).otherwise(name)
+
+
 #: Strategies by name: each takes (front, keys, f, order, k, position, parameters).
 STRATEGIES = {
     "none": lambda front, keys, f, order, k, position, **p: front,

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, clustering, kmer, machines, motif
+from ..operators import analytics, clustering, kmer, machines
 from ..sources import files
-from .queries import _BIO, _COUNTS, _LAYERS_SQL, _MAPS_SQL, _MOTIF_SQL, _colors, _five_sql, _job, _layer_report, _maps
+from .queries import _MAPS_SQL, _colors, _maps
 from .registry import query, table
 
 
@@ -45,15 +45,6 @@ def sequence_scan(spark: SparkSession, d: str) -> DataFrame:
     return files.sequences(spark, f"{path}/*", "*.txt").agg(F.count("*").alias("n_files"), F.sum(F.length("seq")).alias("n_letters"))
 
 
-@query("codon_usage_scan", "SELECT 'ATG' AS codon, CAST(0.5 AS DOUBLE) AS freq UNION ALL SELECT 'CCC', 0.25 UNION ALL SELECT 'TTT', 0.125")
-def codon_usage_scan(spark: SparkSession, d: str) -> DataFrame:
-    """U is read as T, blank lines go, the last line of a codon counts."""
-    path = _folder(spark, "usage")
-    lines = ["AUG 0.75", "", "ccc 0.25", "UUU\t0.125", "  ATG  0.5 "]
-    files.write_lines(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), "value", path)
-    return files.codon_usage(spark, path)
-
-
 @query("trace_scan", "SELECT CAST(p_partkey AS INT) AS step, CAST(p_size AS INT) AS n_states, CAST(p_retailprice AS DOUBLE) AS sse FROM part")
 def trace_scan(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "trace")
@@ -61,11 +52,11 @@ def trace_scan(spark: SparkSession, d: str) -> DataFrame:
     return files.trace(spark, path)
 
 
-@query("hits_scan", "SELECT 'M' || l_suppkey AS motif_id, CAST(l_orderkey AS VARCHAR) AS sequence_name, CAST(l_linenumber AS BIGINT) AS start, CAST(l_linenumber + 7 AS BIGINT) AS stop, l_linestatus AS strand, CAST(l_quantity AS DOUBLE) AS score, CAST(l_discount AS DOUBLE) AS p_value, l_returnflag AS matched_sequence FROM lineitem WHERE l_linenumber = 1")
+@query("hits_scan", "SELECT 'M' || l_suppkey AS motif_id, CAST(l_orderkey AS VARCHAR) AS sequence_name, CAST(l_linenumber AS BIGINT) AS start, CAST(l_linenumber + 7 AS BIGINT) AS stop, l_linestatus AS strand, CAST(l_quantity AS DOUBLE) AS score, CAST(l_discount AS DOUBLE) AS p_value, l_returnflag AS matched_sequence FROM lineitem")
 def hits_scan(spark: SparkSession, d: str) -> DataFrame:
     """Tab-separated hits with comment lines at the end of each file."""
     path = _folder(spark, "hits")
-    rows = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.concat(F.lit("M"), F.col("l_suppkey").cast("string")).alias("motif_id"), F.col("l_orderkey").alias("sequence_name"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 7).alias("stop"), F.col("l_linestatus").alias("strand"), F.col("l_quantity").alias("score"), F.col("l_discount").alias("p_value"), F.col("l_returnflag").alias("matched_sequence"))
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("M"), F.col("l_suppkey").cast("string")).alias("motif_id"), F.col("l_orderkey").alias("sequence_name"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 7).alias("stop"), F.col("l_linestatus").alias("strand"), F.col("l_quantity").alias("score"), F.col("l_discount").alias("p_value"), F.col("l_returnflag").alias("matched_sequence"))
     rows.write.csv(path, sep="\t", header=True)
     files.write_lines(spark.createDataFrame([("# written by a query",), ("# end",)], "value string"), "value", f"{path}/more")
     return files.hits(spark, [path, f"{path}/more"])
@@ -79,11 +70,11 @@ def patterns_scan(spark: SparkSession, d: str) -> DataFrame:
     return files.patterns(spark, path)
 
 
-_RESULTS_SQL = "SELECT CAST(o_custkey % 3 AS VARCHAR) AS target, printf('%05d', o_orderkey) AS id, CAST(o_totalprice AS DOUBLE) AS cost, CAST(-o_custkey AS DOUBLE) AS binding_score, o_orderpriority AS sequence, CAST(o_custkey % 5 AS INT) AS n_substitutions FROM orders WHERE o_orderkey % 10 = 1"
+_RESULTS_SQL = "SELECT CAST(o_custkey % 3 AS VARCHAR) AS target, printf('%05d', o_orderkey) AS id, CAST(o_totalprice AS DOUBLE) AS cost, CAST(-o_custkey AS DOUBLE) AS binding_score, o_orderpriority AS sequence, CAST(o_custkey % 5 AS INT) AS n_substitutions FROM orders"
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").filter("o_orderkey % 10 = 1")
+    o = table(spark, d, "orders")
     return o.select((F.col("o_custkey") % 3).cast("string").alias("target"), F.format_string("%05d", F.col("o_orderkey").cast("long")).alias("id"), F.col("o_totalprice").cast("double").alias("cost"), (-F.col("o_custkey")).cast("double").alias("binding_score"), F.col("o_orderpriority").alias("sequence"), F.array(F.lit(0.0), F.lit(0.5)).alias("costs"), (F.col("o_custkey") % 5).cast("int").alias("n_substitutions"), F.array(F.array(F.lit(1), F.lit(3)).cast("array<bigint>")).alias("motif_hits"))
 
 
@@ -137,18 +128,6 @@ def codon_cost_sink(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="Codon string, Cost double")
 
 
-@query("meme_sink", f"WITH {_MOTIF_SQL}, l AS (SELECT matrix_id, pos, string_agg(printf('%.6f', p), '  ' ORDER BY base) AS line FROM pssm GROUP BY 1, 2) SELECT CAST(pos AS INT) AS pos, ' ' || line AS line FROM l")
-def meme_sink(spark: SparkSession, d: str) -> DataFrame:
-    """The matrix lines of the written file, by position."""
-    path = _folder(spark, "meme")
-    counts = spark.createDataFrame(_COUNTS, "matrix_id string, pos int, base string, count long")
-    text = files.meme(motif.pssm(counts), counts.filter("pos = 0").groupBy("matrix_id").agg(F.sum("count").alias("n")))
-    files.write_lines(text, "text", path)
-    back = spark.read.text(path, wholetext=True).filter("value <> ''")
-    lines = F.split(F.regexp_extract("value", "E= 0\\n((?: .*\\n)+)", 1), "\n")
-    return back.select(F.posexplode(F.filter(lines, lambda x: x != "")).alias("pos", "line"))
-
-
 @query("state_map_sink", f"SELECT x AS rep, array_to_string(list_sort(list(v)), ',') AS members FROM ({_MAPS_SQL}) GROUP BY x")
 def state_map_sink(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "state-map")
@@ -173,34 +152,6 @@ def partition_report_sink(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(path)
 
 
-@query("layer_sizes_sink", f"{_LAYERS_SQL} SELECT CAST(i AS INT) AS position, {_five_sql('size', '')}, {_five_sql('pruned', 'pruned_')} FROM each GROUP BY i")
-def layer_sizes_sink(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "layer-sizes")
-    report = _layer_report(spark).withColumnRenamed("i", "position")
-    files.write_layer_sizes(report, path)
-    return spark.read.csv(path, header=True, schema=", ".join(f"`{c}` {'int' if c == 'position' else 'double'}" for c in report.columns))
-
-
-@query("checkpoint_scan", f"{_LAYERS_SQL} SELECT v, CAST(size AS INT) AS size FROM each WHERE i = 5")
-def checkpoint_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Layers written by layer, and one of them read back: the others' folders aren't touched."""
-    from ..operators import design
-
-    path = _folder(spark, "layers")
-    _, t, s, c = _job(spark, _BIO, 3)
-    design.write_layers(design.layer_sizes(t, s, c, 3, 8).select("i", "v", "size"), path)
-    return design.read_layer(spark, path, 5).select("v", "size")
-
-
-@query("machine_from_files", f"WITH {_MOTIF_SQL} SELECT matrix_id, CAST(pos AS INT) AS pos, round(sum(s) OVER (PARTITION BY matrix_id ORDER BY pos DESC), 6) AS best FROM (SELECT matrix_id, pos, max(score) AS s FROM pssm GROUP BY 1, 2)")
-def machine_from_files(spark: SparkSession, d: str) -> DataFrame:
-    """Counts written as CSV and read again; the bound of what the letters from each position on can add."""
-    path = _folder(spark, "counts")
-    files.write_csv(spark.createDataFrame(_COUNTS, "matrix_id string, pos int, base string, count long"), path)
-    counts = spark.read.csv(path, header=True, schema="matrix_id string, pos int, base string, count long")
-    return motif.suffix_maxima(motif.pssm(counts)).withColumn("best", F.round("best", 6))
-
-
 @query("state_errors", f"WITH m AS ({_MAPS_SQL}), s AS (SELECT x, CAST(p_retailprice AS DOUBLE) AS r FROM m JOIN part ON p_partkey = v) SELECT x AS rep, count(*) AS size, round(var_pop(r) * count(*), 1) AS sse, round(var_pop(r), 2) AS mse, CAST(row_number() OVER (ORDER BY round(avg(r), 9), x) - 1 AS INT) AS rank FROM s GROUP BY x")
 def state_errors(spark: SparkSession, d: str) -> DataFrame:
     """Spread within each class of a map, and the rank of its mean."""

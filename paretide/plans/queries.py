@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import analytics, clustering, cost, design, kmer, machines, motif, sampling
+from ..operators import analytics, clustering, cost, kmer, machines, motif, sampling
 from ..operators.skyline import skyline
 from .registry import query, table
 
@@ -91,30 +89,6 @@ def base_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return kmer.base_frequencies(_dna(spark, d), "seq").withColumn("freq", F.round("freq", 6))
 
 
-@query("pssm_matrix", f"WITH {_MOTIF_SQL} SELECT matrix_id, pos, base, round(p, 6) AS p, round(score, 6) AS score FROM pssm")
-def pssm_matrix(spark: SparkSession, d: str) -> DataFrame:
-    counts = spark.createDataFrame(_COUNTS, "matrix_id string, pos int, base string, count long")
-    return motif.pssm(counts).select("matrix_id", "pos", "base", F.round("p", 6).alias("p"), F.round("score", 6).alias("score"))
-
-
-@query("motif_information", f"WITH {_MOTIF_SQL} SELECT matrix_id, pos, round(sum(p * score), 3) AS ic, round(var_pop(score), 3) AS var FROM pssm GROUP BY matrix_id, pos")
-def motif_information(spark: SparkSession, d: str) -> DataFrame:
-    counts = spark.createDataFrame(_COUNTS, "matrix_id string, pos int, base string, count long")
-    return motif.information(motif.pssm(counts))
-
-
-@query("motif_overrides", f"WITH counts AS (SELECT * FROM (VALUES {_VALUES}) t(matrix_id, pos, base, n)) SELECT 'toy_consensus__1G.rc' AS matrix_id, 2 - pos AS pos, translate(base, 'ACGT', 'TGCA') AS base, CAST(CASE WHEN pos <> 1 THEN n WHEN base = 'G' THEN 12 ELSE 0 END AS BIGINT) AS count FROM counts")
-def motif_overrides(spark: SparkSession, d: str) -> DataFrame:
-    counts = spark.createDataFrame(_COUNTS, "matrix_id string, pos int, base string, count long")
-    return motif.reverse_complement_counts(motif.override_counts(counts, 1, "G"))
-
-
-@query("pssm_scores", f"WITH {_MOTIF_SQL}, {_lattice_sql(3)}, s AS (SELECT v, kmer, {_score_sql('kmer')} AS f, {_score_sql("reverse(translate(kmer, 'ACGT', 'TGCA'))")} AS b FROM lattice) SELECT v, kmer, round(f, 6) AS forward, round(b, 6) AS backward, round(greatest(f, b), 6) AS double_strand FROM s")
-def pssm_scores(spark: SparkSession, d: str) -> DataFrame:
-    w = _weights(spark)
-    return kmer.lattice(spark, 3).select("v", "kmer", *[F.round(motif.score(F.col("kmer"), w, s), 6).alias(n) for s, n in (("forward", "forward"), ("backward", "backward"), ("double", "double_strand"))])
-
-
 _HITS_SQL = f"WITH {_MOTIF_SQL}, {_lattice_sql(3)}, s AS (SELECT kmer, greatest({_score_sql('kmer')}, {_score_sql("reverse(translate(kmer, 'ACGT', 'TGCA'))")}) AS score FROM lattice), {_DNA_SQL}, {_windows_sql(3)}, hits AS (SELECT doc_id, pos AS start, pos + 2 AS stop, kmer, score FROM win JOIN s USING (kmer) WHERE score > 2.5)"
 
 
@@ -144,16 +118,6 @@ def overlapping_hits(spark: SparkSession, d: str) -> DataFrame:
     return analytics.overlapping_neighbours(_hits(spark, d), "doc_id")
 
 
-@query("significant_patterns", f"WITH {_MOTIF_SQL}, {_lattice_sql(3)} SELECT kmer, round(s, 6) AS score FROM (SELECT kmer, {_score_sql('kmer')} AS s FROM lattice) WHERE s >= 2.0")
-def significant_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return motif.significant_patterns(spark, _weights(spark), 2.0).withColumn("score", F.round("score", 6))
-
-
-@query("debruijn_transitions", f"WITH {_lattice_sql(4)} SELECT u.v AS u, CAST(s AS INT) AS sigma, (u.v * 4 + s) % 256 AS v FROM lattice u CROSS JOIN (SELECT unnest(range(0, 4)) AS s)")
-def debruijn_transitions(spark: SparkSession, d: str) -> DataFrame:
-    return kmer.transitions(spark, 4).withColumn("sigma", F.col("sigma").cast("int"))
-
-
 @query("pattern_occurrences", f"WITH {_DNA_SQL}, {_windows_sql(4)} SELECT kmer AS pattern, doc_id, CAST(pos AS INT) AS pos FROM win WHERE kmer IN ('ACGT', 'AAAA', 'TATA')")
 def pattern_occurrences(spark: SparkSession, d: str) -> DataFrame:
     patterns = spark.createDataFrame([("ACGT",), ("AAAA",), ("TATA",)], "kmer string")
@@ -182,13 +146,6 @@ def codon_usage_cost(spark: SparkSession, d: str) -> DataFrame:
     return _usage(spark, d).select("codon", F.round("cost", 6).alias("cost"))
 
 
-@query("noncoding_cost", "SELECT a, b, CASE WHEN a = b THEN 0.0 WHEN a || b IN ('AG', 'GA', 'CT', 'TC') THEN 0.5 ELSE 1.0 END::DOUBLE AS cost, CASE WHEN a = b THEN 0.0 ELSE 1.0 END::DOUBLE AS exact FROM (VALUES ('A'), ('C'), ('G'), ('T')) x(a) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) y(b)")
-def noncoding_cost(spark: SparkSession, d: str) -> DataFrame:
-    pairs = kmer.lattice(spark, 2).select(F.substring("kmer", 1, 1).alias("a"), F.substring("kmer", 2, 1).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    return pairs.select("a", "b", cost.noncoding_cost(a, b, 0.5, 1.0).alias("cost"), cost.exact_match_cost(a, b).alias("exact"))
-
-
 @query("coding_cost", f"{_USAGE_SQL}, aa AS (SELECT * FROM (VALUES {_AMINO}) t(codon, amino)) SELECT a.codon AS target, b.codon AS proposed, s AS is_start, round(CASE WHEN a.codon = b.codon THEN 0.0 WHEN a.amino = b.amino THEN u.cost WHEN s OR a.amino = '*' OR b.amino = '*' THEN 999999 ELSE 500.0 + hamming(a.codon, b.codon) END, 6)::DOUBLE AS cost FROM aa a CROSS JOIN aa b CROSS JOIN (VALUES (true), (false)) t(s) LEFT JOIN usage u ON u.codon = b.codon")
 def coding_cost(spark: SparkSession, d: str) -> DataFrame:
     pairs = kmer.lattice(spark, 6).select(F.substring("kmer", 1, 3).alias("target"), F.substring("kmer", 4, 3).alias("proposed"))
@@ -206,104 +163,7 @@ def coding_positions(spark: SparkSession, d: str) -> DataFrame:
     return marked.select("doc_id", cost.coding_positions(F.col("seq")).alias("c")).select("doc_id", F.col("c.first").cast("int").alias("first"), F.col("c.last").cast("int").alias("last"), F.col("c.error").alias("error"))
 
 
-# --- design
-
-TARGET, BIO_TARGET = "ACGTAG", "C*ATGTAAG"
-_USAGE = {c: 0.25 + (i % 7) * 0.25 for i, c in enumerate(sorted(cost.AMINO_ACIDS))}
-
-
-def _toy_scores(spark: SparkSession, m: int) -> DataFrame:
-    return spark.range(4**m).select(F.col("id").alias("v"), ((F.col("id") * 7) % 11 - 5).cast("double").alias("score"))
-
-
-def _design_sql(rows: list[tuple[int, str, str, float]], n: int, m: int) -> str:
-    """All strings, their two objectives, and those that none dominates."""
-    values = ", ".join(f"({i}, '{c}', '{s}', CAST('{'Infinity' if math.isinf(x) else x}' AS DOUBLE))" for i, c, s, x in rows)
-    number = " + ".join(f"(position(substr(seq, i - {m - 1 - j}, 1) IN 'ACGT') - 1) * {4 ** (m - 1 - j)}" for j in range(m))
-    return f"""WITH RECURSIVE cost AS (SELECT * FROM (VALUES {values}) t(i, ctx, sigma, c)),
-        grow AS (SELECT 0 AS i, '' AS seq, CAST(0 AS DOUBLE) AS f, CAST(0 AS DOUBLE) AS b0
-            UNION ALL SELECT grow.i + 1, seq || sigma, f - c, b0 FROM grow JOIN cost ON cost.i = grow.i + 1 AND cost.ctx = right('AA' || seq, 2) WHERE c < CAST('Infinity' AS DOUBLE)),
-        whole AS (SELECT seq, f FROM grow WHERE i = {n}),
-        scored AS (SELECT seq, any_value(f) AS f, sum(CAST((({number}) * 7) % 11 - 5 AS DOUBLE)) AS b FROM (SELECT seq, f, unnest(range({m}, {n + 1})) AS i FROM whole) GROUP BY seq),
-        points AS (SELECT DISTINCT f, b FROM scored)
-        SELECT f, b, seq FROM scored p WHERE NOT EXISTS (SELECT 1 FROM points o WHERE o.f >= p.f AND o.b <= p.b AND (o.f > p.f OR o.b < p.b))"""
-
-
-_EXACT, _BIO = cost.cost_table(TARGET, None), cost.cost_table(BIO_TARGET, _USAGE)
-
-
-def _job(spark: SparkSession, rows: list, m: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    return spark.createDataFrame([("job",)], "job string"), kmer.transitions(spark, m), _toy_scores(spark, m), cost.costs_frame(spark, {"job": rows})
-
-
-@query("dp_design_exact", _design_sql(_EXACT, 6, 3))
-def dp_design_exact(spark: SparkSession, d: str) -> DataFrame:
-    return design.design_frames(*_job(spark, _EXACT, 3), 3, 6).select("f", "b", "seq")
-
-
-@query("dp_design_bio", _design_sql(_BIO, 8, 3))
-def dp_design_bio(spark: SparkSession, d: str) -> DataFrame:
-    return design.design_kernel(*_job(spark, _BIO, 3), 3, 8).select("f", "b", "seq")
-
-
-def _cost_values(rows: list[tuple[int, str, str, float]]) -> str:
-    return ", ".join(f"({i}, '{c}', '{s}', CAST('{'Infinity' if math.isinf(x) else x}' AS DOUBLE))" for i, c, s, x in rows)
-
-
-#: Fronts of all prefixes by layer and state: a prefix's state is its last three letters, after AAA.
-_LAYERS_SQL = f"""WITH RECURSIVE cost AS (SELECT * FROM (VALUES {_cost_values(_BIO)}) t(i, ctx, sigma, c)),
-    grow AS (SELECT 0 AS i, 'AAA' AS seq, CAST(0 AS DOUBLE) AS f, CAST(0 AS DOUBLE) AS b
-        UNION ALL SELECT g.i + 1, g.seq || c.sigma, g.f - c.c, g.b + CASE WHEN g.i + 1 >= 3 THEN CAST((((position(substr(g.seq || c.sigma, -3, 1) IN 'ACGT') - 1) * 16 + (position(substr(g.seq, -1, 1) IN 'ACGT') - 1) * 4 + position(c.sigma IN 'ACGT') - 1) * 7) % 11 - 5 AS DOUBLE) ELSE 0 END
-        FROM grow g JOIN cost c ON c.i = g.i + 1 AND c.ctx = right(g.seq, 2) WHERE c.c < CAST('Infinity' AS DOUBLE)),
-    pts AS (SELECT DISTINCT i, (position(substr(seq, -3, 1) IN 'ACGT') - 1) * 16 + (position(substr(seq, -2, 1) IN 'ACGT') - 1) * 4 + position(substr(seq, -1, 1) IN 'ACGT') - 1 AS v, f, b FROM grow),
-    front AS (SELECT i, v, count(*) AS size FROM pts p WHERE NOT EXISTS (SELECT 1 FROM pts o WHERE o.i = p.i AND o.v = p.v AND o.f >= p.f AND o.b <= p.b AND (o.f > p.f OR o.b < p.b)) GROUP BY i, v),
-    cells AS (SELECT i, v FROM (SELECT unnest(range(1, 9)) AS i) CROSS JOIN (SELECT unnest(range(0, 64)) AS v)),
-    stopped AS (SELECT c.i, (f.v * 4 + position(c.sigma IN 'ACGT') - 1) % 64 AS v, sum(f.size) AS pruned FROM front f JOIN cost c ON c.i = f.i + 1 AND c.ctx = substr('ACGT', CAST(f.v % 16 // 4 + 1 AS BIGINT), 1) || substr('ACGT', CAST(f.v % 4 + 1 AS BIGINT), 1)
-        WHERE c.c = CAST('Infinity' AS DOUBLE) AND c.i >= 3 GROUP BY 1, 2),
-    each AS (SELECT cells.i, cells.v, CAST(coalesce(size, 0) AS DOUBLE) AS size, CAST(coalesce(pruned, 0) AS DOUBLE) AS pruned FROM cells LEFT JOIN front USING (i, v) LEFT JOIN stopped USING (i, v))"""
-
-
-def _five_sql(value: str, prefix: str) -> str:
-    return ", ".join(f"quantile_cont({value}, {q}) AS {prefix}{n}" for n, q in (("least", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("most", 1)))
-
-
-def _layer_report(spark: SparkSession) -> DataFrame:
-    _, t, s, c = _job(spark, _BIO, 3)
-    sizes = design.layer_sizes(t, s, c, 3, 8)
-    kept = analytics.five_numbers(sizes, ["i"], "size")
-    stopped = analytics.five_numbers(sizes, ["i"], "pruned")
-    return kept.join(stopped.select("i", *[F.col(x).alias(f"pruned_{x}") for x in stopped.columns[1:]]), "i")
-
-
-@query("dp_layer_sizes", f"{_LAYERS_SQL} SELECT CAST(i AS INT) AS i, {_five_sql('size', '')}, {_five_sql('pruned', 'pruned_')} FROM each GROUP BY i")
-def dp_layer_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return _layer_report(spark)
-
-
-@query("dp_cells", f"{_LAYERS_SQL} SELECT CAST(i AS INT) AS i, v, CAST(size AS INT) AS size, CAST(pruned AS INT) AS pruned FROM each")
-def dp_cells(spark: SparkSession, d: str) -> DataFrame:
-    _, t, s, c = _job(spark, _BIO, 3)
-    return design.layer_sizes(t, s, c, 3, 8).select("i", "v", "size", "pruned")
-
-
-#: Back-pointers (layer, state, rank, state before, letter, rank before) with ties, and final cells.
-_POINTERS = [(i, v, 0, 0 if i == 1 else v, s, 0) for i in range(1, 6) for v, s in ((1, "A"), (2, "G"))] + [(3, 1, 0, 2, "C", 0), (5, 2, 0, 1, "T", 0)]
-
-
-@query("reconstruction", f"""WITH RECURSIVE p AS (SELECT * FROM (VALUES {', '.join(f"({i}, {v}, {j}, {u}, '{s}', {uj})" for i, v, j, u, s, uj in _POINTERS)}) t(i, v, j, u, sigma, uj)),
-    walk AS (SELECT 5 AS i, v, 0 AS j, '' AS seq, CASE v WHEN 1 THEN 'x' ELSE 'y' END AS end FROM (VALUES (1), (2)) e(v)
-        UNION ALL SELECT w.i - 1, p.u, p.uj, p.sigma || w.seq, w.end FROM walk w JOIN p ON p.i = w.i AND p.v = w.v AND p.j = w.j)
-    SELECT DISTINCT "end", seq FROM walk WHERE i = 0""")
-def reconstruction(spark: SparkSession, d: str) -> DataFrame:
-    pointers = spark.createDataFrame(_POINTERS, "i int, v long, j int, u long, sigma string, uj int")
-    return design.reconstruct(pointers, spark.createDataFrame([("x", 1, 0), ("y", 2, 0)], "end string, v long, j int"), 5)
-
-
-@query("cost_vectors", f"WITH cost AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}', '{s}', {x})" for i, c, s, x in _EXACT)}) t(i, ctx, sigma, c)), s AS (SELECT * FROM (VALUES ('s1', 'GAAAAG'), ('s2', 'ACGTAG')) t(id, seq)), e AS (SELECT id, seq, unnest(range(1, 7)) AS i FROM s) SELECT id, CAST(e.i AS INT) AS i, CAST(c AS DOUBLE) AS cost FROM e JOIN cost ON cost.i = e.i AND cost.ctx = substr('AA' || seq, e.i, 2) AND cost.sigma = substr(seq, e.i, 1)")
-def cost_vectors(spark: SparkSession, d: str) -> DataFrame:
-    s = spark.createDataFrame([("s1", "job", "GAAAAG"), ("s2", "job", "ACGTAG")], "id string, job string, seq string")
-    return design.cost_vectors(s, cost.costs_frame(spark, {"job": _EXACT}))
-
+# --- samplers
 
 _FRONT_SQL = "SELECT l_returnflag AS key, CAST(l_partkey AS BIGINT) AS id, -CAST(sum(l_quantity) AS DOUBLE) AS f, CAST(min(l_suppkey) AS DOUBLE) AS b FROM lineitem GROUP BY 1, 2"
 
@@ -330,64 +190,6 @@ def ranked_sample(spark: SparkSession, d: str) -> DataFrame:
 # --- machines and colours
 
 
-def _refine_sql(m: int, suffix: int, colour: str) -> str:
-    n = 4**m
-    parts = [f"s AS (SELECT unnest(range(0, {n})) AS v)", f"c0 AS (SELECT v, min(v) OVER (PARTITION BY {colour}, v % {4**suffix}) AS rep FROM s)"]
-    for r in range(m):
-        joins = " ".join(f"JOIN c{r} t{x} ON t{x}.v = (c.v * 4 + {x}) % {n}" for x in range(4))
-        parts.append(f"c{r + 1} AS (SELECT c.v, min(c.v) OVER (PARTITION BY c.rep, t0.rep, t1.rep, t2.rep, t3.rep) AS rep FROM c{r} c {joins})")
-    return f"WITH {', '.join(parts)}"
-
-
-_COLOUR = "((v * 7) % 11) // 4"
-
-
-def _colored(spark: SparkSession, m: int) -> DataFrame:
-    return spark.range(4**m).select(F.col("id").alias("v"), F.expr("((id * 7) % 11) div 4").alias("color"))
-
-
-@query("colored_reduction_classes", f"{_refine_sql(3, 1, _COLOUR)} SELECT v, rep FROM c3")
-def colored_reduction_classes(spark: SparkSession, d: str) -> DataFrame:
-    return machines.colored_classes(_colored(spark, 3), 3, 1)
-
-
-@query("reduced_transitions", f"{_refine_sql(3, 1, _COLOUR)} SELECT DISTINCT a.rep AS u, CAST(x AS INT) AS sigma, b.rep AS v FROM c3 a CROSS JOIN (SELECT unnest(range(0, 4)) AS x) JOIN c3 b ON b.v = (a.v * 4 + x) % 64")
-def reduced_transitions(spark: SparkSession, d: str) -> DataFrame:
-    return machines.reduced_transitions(kmer.transitions(spark, 3), colored_reduction_classes(spark, d)).withColumn("sigma", F.col("sigma").cast("int"))
-
-
-@query("colored_violations", "SELECT CAST(0 AS BIGINT) AS rep, '' AS fault WHERE false")
-def colored_violations(spark: SparkSession, d: str) -> DataFrame:
-    return machines.violations(kmer.transitions(spark, 3), colored_reduction_classes(spark, d), _colored(spark, 3), 1)
-
-
-@query("reduction_mse", f"{_refine_sql(3, 1, _COLOUR)}, a AS (SELECT v, rep, (v * 7) % 11 - 5.0 AS s, avg((v * 7) % 11 - 5.0) OVER (PARTITION BY rep) AS x FROM c3) SELECT round(avg((s - x) * (s - x)), 6) AS mse, count(DISTINCT rep) AS n_states FROM a")
-def reduction_mse(spark: SparkSession, d: str) -> DataFrame:
-    return machines.reduction_mse(machines.approximate_scores(colored_reduction_classes(spark, d), _toy_scores(spark, 3)))
-
-
-@query("ward_distance_pairs", "WITH s AS (SELECT unnest(range(0, 64)) AS v), x AS (SELECT v, (v * 7) % 11 - 5.0 AS s FROM s) SELECT a.v AS a, b.v AS b, CAST((a.s - b.s) * (a.s - b.s) / 2 AS DOUBLE) AS d FROM x a JOIN x b ON a.v % 16 = b.v % 16 AND a.v < b.v")
-def ward_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return machines.ward_distances(_toy_scores(spark, 3), 3)
-
-
-@query("colored_violations_found", "WITH s AS (SELECT unnest(range(0, 64)) AS v), k AS (SELECT v, v // 2 * 2 AS rep, ((v * 7) % 11) // 4 AS color FROM s), t AS (SELECT DISTINCT k.rep AS u, x AS sigma, ((k.v * 4 + x) % 64) // 2 * 2 AS v FROM k CROSS JOIN (SELECT unnest(range(0, 4)) AS x)), c AS (SELECT rep, min(color) AS color, count(DISTINCT color) AS n FROM k GROUP BY rep), o AS (SELECT u, string_agg(sigma || '>' || v, ' ' ORDER BY sigma, v) AS moves FROM t GROUP BY u), g AS (SELECT min(u) AS rep, count(*) AS n FROM o JOIN c ON c.rep = o.u GROUP BY moves, u % 4, color) SELECT rep, 'color' AS fault FROM c WHERE n > 1 UNION ALL SELECT u, 'successor' FROM (SELECT u, sigma FROM t GROUP BY u, sigma HAVING count(*) > 1) UNION ALL SELECT rep, 'mergeable' FROM g WHERE n > 1")
-def colored_violations_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of states that differ in the last letter are no valid classes."""
-    pairs = spark.range(64).select(F.col("id").alias("v"), (F.col("id") - F.col("id") % 2).alias("rep"))
-    return machines.violations(kmer.transitions(spark, 3), pairs, _colored(spark, 3), 1)
-
-
-def _traces(spark: SparkSession) -> DataFrame:
-    one = _toy_scores(spark, 4)
-    return machines.reduction_traces(one.select(F.lit("a").alias("fsm_id"), "v", "score").union(one.select(F.lit("b"), "v", F.col("score") * F.col("score") / 4)), 4)
-
-
-@query("reduction_trace")
-def reduction_trace(spark: SparkSession, d: str) -> DataFrame:
-    return _traces(spark)
-
-
 #: Traces from a table: for each brand the error grows as states go.
 _STEPS_SQL = "SELECT p_brand AS fsm_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS step, CAST(101 - row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS n_states, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) / 100.0 AS mse FROM part"
 
@@ -493,19 +295,6 @@ def partition_baseline(spark: SparkSession, d: str) -> DataFrame:
     return clustering.full_bin_report(baseline, "x", "color", 5)
 
 
-@query("patterns_per_bin", f"WITH {_lattice_sql(3)}, b AS (SELECT ((v * 7) % 11) // 4 AS color, kmer FROM lattice) SELECT CAST(c AS INT) AS color, CAST(count(kmer) AS BIGINT) AS n, coalesce(string_agg(kmer, ',' ORDER BY kmer), '') AS patterns FROM (SELECT unnest(range(0, 4)) AS c) LEFT JOIN b ON color = c GROUP BY 1")
-def patterns_per_bin(spark: SparkSession, d: str) -> DataFrame:
-    states = kmer.lattice(spark, 3).withColumn("color", F.expr("((v * 7) % 11) div 4"))
-    return clustering.patterns_per_bin(states, "kmer", "color", 4).withColumn("patterns", F.array_join("patterns", ","))
-
-
-@query("recolored_states", f"WITH {_lattice_sql(3)} SELECT v, CASE WHEN kmer < 'T' THEN CAST(((v * 7) % 11) // 4 AS BIGINT) END AS color FROM lattice")
-def recolored_states(spark: SparkSession, d: str) -> DataFrame:
-    states = kmer.lattice(spark, 3)
-    bins = clustering.patterns_per_bin(states.filter("kmer < 'T'").withColumn("color", F.expr("((v * 7) % 11) div 4")), "kmer", "color", 4)
-    return machines.recolor(states.withColumn("color", F.lit(9)), machines.from_coloring(states, bins)).select("v", F.col("color").cast("long").alias("color"))
-
-
 _COLORS_SQL = "SELECT l_linenumber AS k, floor(l_quantity / 10) AS color, floor(l_quantity / 7) AS other, l_quantity AS x FROM lineitem"
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import designer
-from ..operators import analytics, cost, kmer, machines, motif, regions, sampling, shaping
+from ..operators import analytics, kmer, motif, regions, sampling, shaping
 from ..sources import files
-from .queries import _COUNTS, _DNA_SQL, _FRONT_SQL, _MOTIF_SQL, _VALUES, _candidates, _dna, _lattice_sql, _score_sql, _weights, _windows_sql
+from .queries import _DNA_SQL, _FRONT_SQL, _MOTIF_SQL, _VALUES, _candidates, _dna, _lattice_sql, _score_sql, _weights, _windows_sql
 from .registry import query, table
 
 # --- hits with p-values
@@ -42,30 +42,6 @@ def hits_in_orfs(spark: SparkSession, d: str) -> DataFrame:
     return analytics.hits_in_regions(motif.scan_hits(rows, "seq", _weights(spark), _P), orfs, "doc_id").groupBy("doc_id", "region").agg(F.count("*").alias("n"))
 
 
-@query("pattern_threshold", f"WITH {_MOTIF_SQL}, {_lattice_sql(3)}, s AS (SELECT kmer, {_score_sql('kmer')} AS score FROM lattice), t AS (SELECT round(score, 9) AS score, sum(count(*)) OVER (ORDER BY round(score, 9) DESC) AS above FROM s GROUP BY 1) SELECT round(min(score), 6) AS threshold FROM t WHERE above <= {_P} * 64")
-def pattern_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(round(motif.threshold_for(spark, _weights(spark), _P), 6),)], "threshold double")
-
-
-@query("motif_mean_std", f"WITH {_MOTIF_SQL}, e AS (SELECT pos, sum(p * score) AS m, sum(p * score * score) - sum(p * score) * sum(p * score) AS v FROM pssm GROUP BY pos) SELECT round(sum(m), 6) AS mean, round(sqrt(sum(v)), 6) AS std FROM e")
-def motif_mean_std(spark: SparkSession, d: str) -> DataFrame:
-    mean, std = motif.mean_and_std(_weights(spark))
-    return spark.createDataFrame([(round(mean, 6), round(std, 6))], "mean double, std double")
-
-
-@query("motif_count_override", f"SELECT 'toy__G1_5' AS matrix_id, pos, base, CAST(CASE WHEN pos = 1 AND base = 'G' THEN 5 ELSE n END AS BIGINT) AS count FROM (VALUES {', '.join(f'{row!r}' for row in _COUNTS)}) t(matrix_id, pos, base, n)")
-def motif_count_override(spark: SparkSession, d: str) -> DataFrame:
-    return motif.override_counts(spark.createDataFrame(_COUNTS, "matrix_id string, pos int, base string, count long"), 1, "G", 5)
-
-
-@query("motif_machine", f"WITH {_MOTIF_SQL}, {_lattice_sql(3)}, s AS (SELECT v, kmer, {_score_sql('kmer')} AS f, {_score_sql("reverse(translate(kmer, 'ACGT', 'TGCA'))")} AS b FROM lattice) SELECT s.v, kmer, round(f, 6) AS forward, round(b, 6) AS backward, round(greatest(f, b), 6) AS double, CAST(4 AS BIGINT) AS n_out FROM s")
-def motif_machine(spark: SparkSession, d: str) -> DataFrame:
-    counts = spark.createDataFrame(_COUNTS, "matrix_id string, pos int, base string, count long")
-    _, moves, states = machines.motif_machine(counts, "toy", ("forward", "backward", "double"))
-    out = moves.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("n_out"))
-    return states.join(out, "v").select("v", "kmer", *[F.round(c, 6).alias(c) for c in ("forward", "backward", "double")], "n_out")
-
-
 #: Patterns of mixed lengths; the strand comes from a file's name.
 _PATTERNS = ["ACGT", "AAA", "TATATA", "GCGC", "CA"]
 
@@ -172,11 +148,6 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", analytics.format_duration(F.col("p_retailprice") * 37).alias("took"))
 
 
-@query("max_cost", "SELECT CAST(503 AS DOUBLE) AS bound")
-def max_cost(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(float(cost.max_cost(0.5, 1.0, 500.0)),)], "bound double")
-
-
 # --- samplers by phase
 
 
@@ -214,12 +185,6 @@ def no_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample(_candidates(spark, d), ["key"], "f", [], 0, method="none").select("key", "id", "f", "b")
 
 
-@query("sampler_names", "SELECT * FROM (VALUES ('k_0'), ('k_50__alpha_0.7'), ('k_5__alphas_(1.5, 1.0)__ratios_(0.5, 0.5)')) t(name)")
-def sampler_names(spark: SparkSession, d: str) -> DataFrame:
-    names = [sampling.params_id(0), sampling.params_id(50, 0.7), sampling.params_id(5, alphas=(1.5, 1.0), ratios=(0.5, 0.5))]
-    return spark.createDataFrame([(n,) for n in names], "name string")
-
-
 # --- a whole design run
 
 _DESIGN_TARGET = "ACGTA"
