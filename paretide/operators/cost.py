@@ -57,8 +57,8 @@ def coding_positions(marked: Column) -> Column:
     at = F.instr(marked, MARKER)
     seq = F.regexp_replace(marked, "\\*", "")
     marks = F.length(marked) - F.length(seq)
-    codons = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.floor((F.length(seq) - at - 2) / 3), F.lit(1)).cast("int")), lambda i: F.struct(i.alias("i"), F.substring(seq, at + i * 3, F.lit(3)).alias("c"))), lambda x: x["c"].isin(*STOPS))
-    stop = F.get(codons, F.lit(0))["i"]
+    codons = F.regexp_extract_all(F.substring(seq, at, F.length(seq)), F.lit("(?s).{3}"), F.lit(0))
+    stop = F.nullif(F.array_position(F.transform(codons, lambda c, i: (i >= 1) & c.isin(*STOPS)), F.lit(True)), F.lit(0)) - 1
     error = F.when(marks > 1, "more than one marker").when((marks == 1) & (F.substring(seq, at, F.lit(3)) != START), "no start codon").when((marks == 1) & stop.isNull(), "no stop codon")
     found = (marks == 1) & error.isNull()
     return F.struct(seq.alias("sequence"), F.when(found, at).alias("first"), F.when(found, at + 3 * stop + 2).alias("last"), error.alias("error"))

@@ -96,15 +96,16 @@ def classes_sql(m: int, suffix: int) -> str:
 
 def coding_regions(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, lang, source, seq) of every sequence with a start codon and a stop codon in its frame: from one to the other."""
-    marked = dna(spark, d).filter(F.instr("seq", "ATG") > 0).withColumn("seq", F.regexp_replace("seq", "^(.*?)ATG", "$1*ATG"))
-    found = marked.withColumn("c", cost.coding_positions(F.col("seq"))).filter(F.col("c.error").isNull())
-    return found.select("doc_id", "lang", "source", F.substring(F.col("c.sequence"), F.col("c.first"), F.col("c.last") - F.col("c.first") + 1).alias("seq"))
+    rows = dna(spark, d).withColumn("seq", F.substring(F.col("seq"), F.instr("seq", "ATG"), F.length("seq"))).filter(F.col("seq").startswith("ATG"))
+    stop = F.array_position(F.transform(F.regexp_extract_all("seq", F.lit("[ACGT]{3}"), F.lit(0)), lambda c: c.isin(*cost.STOPS)), F.lit(True))
+    found = rows.withColumn("_stop", stop.cast("int")).filter("_stop > 0")
+    return found.select("doc_id", "lang", "source", F.substring(F.col("seq"), F.lit(1), F.col("_stop") * 3).alias("seq"))
 
 
-CODING_SQL = f"""{DNA_SQL}, mk AS (SELECT doc_id, lang, source, seq, position('ATG' IN seq) AS at FROM dna WHERE position('ATG' IN seq) > 0),
-        cd AS (SELECT doc_id, at, seq, unnest(range(1, CAST(floor((length(seq) - at - 2) / 3) AS BIGINT) + 1)) AS i FROM mk),
-        sp AS (SELECT doc_id, min(i) AS i FROM cd WHERE substr(seq, at + 3 * i, 3) IN ('TAA', 'TAG', 'TGA') GROUP BY doc_id),
-        cds AS MATERIALIZED (SELECT doc_id, lang, source, substr(seq, at, 3 * sp.i + 3) AS seq FROM mk JOIN sp USING (doc_id))"""
+CODING_SQL = f"""{DNA_SQL}, mk AS (SELECT doc_id, lang, source, seq, position('ATG' IN seq) AS first FROM dna WHERE position('ATG' IN seq) > 0),
+        cd AS (SELECT doc_id, first, seq, unnest(range(1, CAST(floor((length(seq) - first - 2) / 3) AS BIGINT) + 1)) AS i FROM mk),
+        sp AS (SELECT doc_id, min(i) AS i FROM cd WHERE substr(seq, first + 3 * i, 3) IN ('TAA', 'TAG', 'TGA') GROUP BY doc_id),
+        cds AS MATERIALIZED (SELECT doc_id, lang, source, substr(seq, first, 3 * sp.i + 3) AS seq FROM mk JOIN sp USING (doc_id))"""
 
 
 def targets(spark: SparkSession, d: str, key: str, reached: tuple[int, int]) -> DataFrame:
