@@ -74,7 +74,7 @@ def design(targets: DataFrame, transitions: DataFrame, scores: DataFrame, m: int
     ``transitions`` (u, sigma, v) and ``scores`` (v, score) are a machine that keeps a state's last two letters; a state's
     score counts from layer m on. f is minus the sum of costs, b the sum of scores. ``k`` bounds the points of a job and
     state by universal sampling, ``max_ties`` those that one point is remembered to come from (the first letters in order;
-    0: all). Infinite costs are dropped before any sum. Empty targets have no layers.
+    0: all). What an infinite cost leads to is dropped at once. Empty targets have no layers.
     """
     spark = targets.sparkSession
     jobs = staged(targets.select(F.col("job").cast("string").alias("job"), "seq", "first", "last", F.length("seq").alias("n")).filter("n > 0"), "targets")
@@ -85,6 +85,7 @@ def design(targets: DataFrame, transitions: DataFrame, scores: DataFrame, m: int
     many = whole["jobs"] >= int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = Layers(folder(spark, "layers"), jobs, steps, [], last, m, start, cost)
     front = spark.createDataFrame([], _POINTS)
+    layer = _layer(known, m, cost, max_ties)
     for g0 in range(1, last + 1, block):
         g1 = min(g0 + block - 1, last)
         enter = jobs.filter((last - F.col("n")).between(g0 - 1, g1 - 1)).select("job", F.lit(start).cast("long").alias("v"), F.lit(0).alias("j"), F.lit(0.0).alias("f"), F.lit(0.0).alias("b"))
@@ -96,7 +97,9 @@ def design(targets: DataFrame, transitions: DataFrame, scores: DataFrame, m: int
             rows, near = rows.repartition("job"), near.repartition("job")
         rows = rows.join(near, "job")
         for t in range(g1 - g0 + 1):
-            rows = _layer(rows, known, t, m, cost, k, alpha, seed, g0 + t, max_ties)
+            rows = layer(rows)
+            if k:
+                rows = universal(rows, ["job", "u"], "f", [F.desc("f"), F.asc("b")], k, alpha, F.greatest(F.col("at") - 1, F.lit(1)), offset(seed + g0 + t, "job", "u"))
         place = F.row_number().over(Window.partitionBy("job", "u").orderBy(F.desc("f"), F.asc("b"))) - 1
         rows.select("job", F.col("u").alias("v"), place.cast("int").alias("j"), "f", "b", "froms").write.parquet(f"{out.path}/g={g1}")
         out.numbers.append(g1)
@@ -104,21 +107,21 @@ def design(targets: DataFrame, transitions: DataFrame, scores: DataFrame, m: int
     return out
 
 
-def _layer(rows: DataFrame, known: DataFrame, t: int, m: int, cost: Callable[[Place], Column], k: int, alpha: float, seed: int, g: int, max_ties: int) -> DataFrame:
-    """One letter more for the jobs that have entered; the others stay as they are."""
-    carried = ["job", "first", "last", "n", "at", "near"]
-    i = F.col("at") + t
+def _layer(known: DataFrame, m: int, cost: Callable[[Place], Column], max_ties: int) -> Callable[[DataFrame], DataFrame]:
+    """One letter more for the jobs that have entered; the others stay as they are. The expressions, built once, are those
+    of any layer: ``at`` is a job's position in it, the third letter of ``near`` the target's there."""
+    carried, at = ["job", "first", "last", "n", "at", "near"], F.col("at")
     stay = F.array(F.struct(F.lit("").alias("sigma"), F.col("u").alias("v"), F.lit(0.0).alias("score")))
-    each = rows.join(known, "u").withColumn("_o", F.explode(F.when(i >= 1, F.col("out")).otherwise(stay)))
-    here = Place(F.substring("near", t + 3, 1), codon_position(i, F.col("first"), F.col("last")), F.substring("near", t + 1, 3), F.col("ctx"), F.col("_o.sigma"))
-    each = each.withColumn("_c", F.when(i >= 1, cost(here)).otherwise(0.0)).filter(F.col("_c") < float("inf"))
+    moved = [*carried, "f", "b", "froms", "ctx", F.explode(F.when(at >= 1, F.col("out")).otherwise(stay)).alias("_o")]
+    here = Place(F.substring("near", 3, 1), codon_position(at, F.col("first"), F.col("last")), F.substring("near", 1, 3), F.col("ctx"), F.col("_o.sigma"))
+    f = F.col("f") - F.when(at >= 1, cost(here)).otherwise(0.0)
+    b = F.col("b") + F.when(at >= m, F.col("_o.score")).otherwise(0.0)
     froms = F.transform("froms", lambda x: F.struct(F.concat(x["word"], F.col("_o.sigma")).alias("word"), x["u"].alias("u"), x["j"].alias("j")))
-    gain = F.when(i >= m, F.col("_o.score")).otherwise(0.0)
-    each = each.select(*carried, F.col("_o.v").alias("u"), (F.col("f") - F.col("_c")).alias("f"), (F.col("b") + gain).alias("b"), froms.alias("froms"))
+    onward = ["job", "first", "last", "n", (at + 1).alias("at"), F.expr("substring(near, 2)").alias("near"), F.col("_o.v").alias("u"), f.alias("f"), b.alias("b"), froms.alias("froms")]
     ties = F.array_sort(F.flatten(F.collect_list("froms")))
-    points = each.groupBy(*carried, "u", "f", "b").agg((F.slice(ties, 1, max_ties) if max_ties else ties).alias("froms"))
-    front = _least(points, ["job", "u"])
-    return universal(front, ["job", "u"], "f", [F.desc("f"), F.asc("b")], k, alpha, F.greatest(i, F.lit(1)), offset(seed + g, "job", "u"))
+    merged = (F.slice(ties, 1, max_ties) if max_ties else ties).alias("froms")
+    possible = F.col("f") > float("-inf")
+    return lambda rows: _least(rows.join(known, "u").select(*moved).select(*onward).filter(possible).groupBy(*carried, "u", "f", "b").agg(merged), ["job", "u"])
 
 
 def front(layers: Layers, k: int = 0, alpha: float = 1.0, seed: int = 0) -> DataFrame:

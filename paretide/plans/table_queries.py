@@ -300,8 +300,8 @@ def codon_usage_scan(spark: SparkSession, d: str) -> DataFrame:
 
 # --- designs: consensus coding regions as targets, a machine of three letters
 
-#: Targets by source over positions that half of its regions reach, and short ones by language, that nine in ten reach.
-_WHOLE, _SHORT = ("source", (1, 2)), ("lang", (9, 10))
+#: Targets by source over positions that half of its regions reach, and shorter ones that three in four reach.
+_WHOLE, _SHORT = ("source", (1, 2)), ("source", (3, 4))
 
 
 def _design(spark: SparkSession, d: str, of: tuple[str, tuple[int, int]], name: str, **options: int) -> layers.Layers:
