@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 
 from .shared import frugal
 
-PIECE = 200_000
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+PIECE, LONG = 200_000, 100_000
+#: The white space of the library's regular expressions (Unicode's property), which is not that of this language's.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+#: How a pattern must end for the rule of long runs to hold.
+_TAIL = r"|\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=2)
@@ -43,10 +47,22 @@ def pieces(text: str, limit: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(text: str, enc: tiktoken.Encoding, limit: int = PIECE) -> list[int]:
+def _plain(text: str, enc: tiktoken.Encoding, limit: int) -> list[int]:
+    return [i for part in pieces(text, limit) for i in enc.encode_ordinary(part)]
+
+
+def encode(text: str, enc: tiktoken.Encoding, limit: int = PIECE, long: int = LONG) -> list[int]:
     if len(text) <= limit:
         return enc.encode_ordinary(text)
-    return [i for part in pieces(text, limit) for i in enc.encode_ordinary(part)]
+    ids: list[int] = []
+    at = 0
+    if enc._pat_str.endswith(_TAIL):
+        for run in re.finditer(f"[{_SPACE}]{{{long},}}", text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += _plain(text[at : run.start()], enc, limit)
+            ids += enc._encode_single_piece(text[run.start() : end])
+            at = end
+    return ids + _plain(text[at:], enc, limit)
 
 
 @frugal

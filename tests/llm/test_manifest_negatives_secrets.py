@@ -172,3 +172,19 @@ def test_chances_are_even_for_random_keys_and_tiny_for_names():
         assert np.mean(p < 0.01) < 0.04 and np.mean(p < 1e-5) < 0.002
     for word in ("InternationalizationConfiguration", "get_the_default_user_account_name", "abcdefghijklmnopqrstuvwxyzABCDEFG"):
         assert secrets.chances([word], secrets.encoding(word))[0] < 1e-4
+
+
+def test_long_runs_of_white_space_are_encoded_by_the_rule(spark):
+    from paretide.llm import bpe
+    from paretide.llm.queries import tokenizer
+
+    enc = bpe.encoding(*tokenizer())
+    r = random.Random(11)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "word", "!", "é", "\x1c", "7", "'s", *[c * r.randint(1, 30) for c in " \t\n\r\x85\xa0　"]]) for _ in range(r.randint(1, 25)))
+        assert bpe.encode(text, enc, limit=3, long=8) == enc.encode_ordinary(text)
+    texts = [a + c * 2_000_000 + b for c in (" ", "\n", "\t") for a, b in (("", ""), ("x", ""), ("", "y"), ("x", "y"))] + ["x" + " \n\t\r" * 500_000 + "y " * 150_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = bpe.op6(docs, *tokenizer()).collect()
+    assert {x["doc_id"]: x["decoded_sha256"] for x in got} == {i: sha(t) for i, t in enumerate(texts)}
+    assert bpe.op6(docs.limit(0), *tokenizer()).count() == 0
