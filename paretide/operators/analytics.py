@@ -7,6 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import in_ranges, with_previous, with_total
+from .staging import sized, staged
+
+#: Stretches between gaps that one task scans in ``close_runs``.
+STRETCHES = 1000
+
 
 def five_numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Least, quartiles (linear interpolation) and most of each key; 0 for a key without values."""
@@ -116,12 +122,14 @@ def close_pairs(states: DataFrame, group: str, score: str, color: str, eps: floa
 def close_runs(states: DataFrame, group: str, score: str, rep: str, eps: float) -> DataFrame:
     """(group, run, v, rep): runs of neighbours at most ``eps`` apart that hold each representative once.
 
-    A greedy scan in order of score, one task a group; every run of two or more is kept, the last of a group too.
+    A greedy scan in order of score; every run of two or more is kept, the last of a group too. A gap of more than ``eps``
+    always ends a run, so the order is cut there (over ranges, whatever a group's size) and ``STRETCHES`` stretches
+    without a gap are one task; run numbers follow from the tasks' counts.
     """
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, "v"]).reset_index(drop=True)
+        pdf = pdf.sort_values("_id").reset_index(drop=True)
         label, reps, last, at = [], set(), None, -1
         for s, r in zip(pdf[score], pdf[rep], strict=True):
             if last is None or s - last > eps or r in reps:
@@ -129,12 +137,20 @@ def close_runs(states: DataFrame, group: str, score: str, rep: str, eps: float)
             reps.add(r)
             label.append(at)
             last = s
-        pdf["run"] = label
-        pdf = pdf[pdf.groupby("run")["v"].transform("size") > 1]
-        return pdf[[group, "run", "v", rep]]
+        pdf["run"], pdf["_n"] = label, at + 1
+        return pdf[[group, "_task", "run", "_n", "v", rep]]
 
     kinds = dict(states.dtypes)
-    return states.groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, run int, v {kinds['v']}, `{rep}` {kinds[rep]}")
+    rows = with_previous(in_ranges(states.select(group, score, "v", rep), group, [score, "v"]), group, score, "_before")
+    rows = with_total(rows, group, F.when(F.col("_before").isNull() | (F.col(score) - F.col("_before") > eps), 1).otherwise(0), "_stretch")
+    tasks = rows.withColumn("_task", F.expr(f"(_stretch - 1) div {STRETCHES}")).drop("_before", "_stretch", "_part")
+    found = staged(tasks.groupBy(group, "_task").applyInPandas(run, f"`{group}` {kinds[group]}, _task long, run int, _n int, v {kinds['v']}, `{rep}` {kinds[rep]}"), "runs")
+    counts = in_ranges(found.groupBy(group, "_task").agg(F.max("_n").alias("_n")), group, ["_task"])
+    before = with_total(counts, group, F.col("_n"), "_upto").select(F.col(group).alias("_g"), F.col("_task").alias("_t"), (F.col("_upto") - F.col("_n")).alias("_before"))
+    size = F.count("*").over(Window.partitionBy(group, "_task", "run"))
+    kept = found.withColumn("_size", size).filter("_size > 1")
+    numbered = kept.join(sized(before), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_task") == F.col("_t")))
+    return numbered.select(group, (F.col("run") + F.col("_before")).cast("int").alias("run"), "v", rep)
 
 
 def overlapping_neighbours(hits: DataFrame, key: str) -> DataFrame:
@@ -271,9 +287,11 @@ def state_errors(approx: DataFrame) -> DataFrame:
 
 
 def state_ranks(approx: DataFrame) -> DataFrame:
-    """(rep, approx, rank from 0) of the states of a reduced machine by score: one row a state, ties by state."""
-    states = approx.groupBy("rep").agg(F.first("approx").alias("approx"))
-    return states.withColumn("rank", F.row_number().over(Window.orderBy("approx", "rep")) - 1)
+    """(rep, approx, rank from 0) of the states of a reduced machine by score: one row a state, ties by state. Ranks are
+    counted over ranges, so no task has all states."""
+    states = approx.groupBy("rep").agg(F.first("approx").alias("approx")).withColumn("_all", F.lit(0))
+    ranked = with_total(in_ranges(states, "_all", ["approx", "rep"]), "_all", F.lit(1), "_upto")
+    return ranked.select("rep", "approx", (F.col("_upto") - 1).cast("int").alias("rank"))
 
 
 def strand_efficiencies(efficiencies: DataFrame) -> DataFrame:
