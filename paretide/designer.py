@@ -7,7 +7,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import analytics, cost, design, machines, motif
+from .operators import analytics, cost, design, layers, machines, motif, sampling
+from .operators.staging import staged
 from .sources import files
 
 
@@ -33,19 +34,26 @@ def params_path(alpha: float, beta: float, w: float) -> str:
     return f"transition_{alpha:.2f}__transversion_{beta:.2f}__non_synonymous_codon_{w:.2f}"
 
 
-def run(spark: SparkSession, targets: dict[str, str], counts: DataFrame, matrix_id: str, usage: dict[str, float] | None = None, budgets: tuple[int, ...] = (50, 150, 250), alphas: tuple[float, ...] = (1.0, 0.7, 0.5), reduce_by: float | None = 0.875, p_value: float = 2e-3, max_ties: int = 0, costs: tuple[float, float, float] = (0.5, 1.0, 500.0)) -> DataFrame:
+def run(spark: SparkSession, targets: DataFrame | dict[str, str], counts: DataFrame, matrix_id: str, usage: dict[str, float] | None = None, budgets: tuple[int, ...] = (50, 150, 250), alphas: tuple[float, ...] = (1.0, 0.7, 0.5), reduce_by: float | None = 0.875, p_value: float = 2e-3, max_ties: int = 0, costs: tuple[float, float, float] = (0.5, 1.0, 500.0)) -> DataFrame:
     """(target, sampler, id, cost, binding_score, sequence, costs, n_substitutions, motif_hits) of every run of the sweep.
 
-    ``targets`` are marked sequences by name. ``usage`` has the costs of codons; without it, costs are those of exact
-    match. Every (target, budget, exponent) is a job of its own.
+    ``targets`` are marked sequences (job, seq), as a table or by name. ``usage`` has the costs of codons; without it,
+    costs are those of exact match. For each budget and exponent all targets are designed together, layer by layer.
     """
+    marked = spark.createDataFrame(list(targets.items()), "job string, seq string") if isinstance(targets, dict) else targets
+    whole = staged(cost.targets(marked.select(F.col("job").cast("string").alias("job"), "seq")), "targets")
     alpha, beta, w = costs
+    known = F.create_map(*[F.lit(x) for codon, c in (usage or {}).items() for x in (codon, float(c))]) if usage else None
+    name, params = ("codons", {"usage": known, "alpha": alpha, "beta": beta, "w": w}) if usage else ("exact", {})
     m, _, moves, scores = machine(counts, matrix_id, reduce_by)
-    tables = {t: cost.cost_table(seq, usage, alpha, beta, w) for t, seq in targets.items()}
-    table = cost.costs_frame(spark, tables)
-    jobs = spark.createDataFrame([(t, k, float(a)) for t in targets for k in budgets for a in alphas], "job string, k int, alpha double")
-    found = design.design_jobs(jobs, moves, scores, table, m, max_ties=max_ties)
-    named = found.withColumn("sampler", F.concat(F.lit("k_"), F.col("k").cast("string"), F.when(F.col("k") > 0, F.concat(F.lit("__alpha_"), F.col("alpha").cast("string"))).otherwise("")))
+    found = None
+    for k in budgets:
+        for a in alphas:
+            made = layers.design(whole, moves, scores, m, lambda at: cost.COSTS[name](at, **params), k, a, max_ties=max_ties)
+            rows = layers.sequences(made, layers.front(made, k, a), max_ties).select("job", F.lit(k).alias("k"), F.lit(float(a)).alias("alpha"), "f", "b", "seq")
+            found = rows if found is None else found.unionByName(rows)
+    table = cost.target_costs(whole, name, **params)
+    named = staged(found, "designs").withColumn("sampler", sampling.sampler_name(F.col("k"), F.col("alpha")))
     rows = analytics.numbered(named, ["job", "sampler"], "f").withColumn("key", F.concat_ws("/", "job", "sampler", "id"))
     # costs by position, in order, of each sequence
     each = design.cost_vectors(rows.select(F.col("key").alias("id"), "job", "seq"), table)
@@ -63,7 +71,7 @@ def design_files(spark: SparkSession, sequences: str, counts: DataFrame, matrix_
 
     A folder for each target and sampler holds ``results_metadata`` (JSON) and a file for each sequence.
     """
-    targets = {r["name"].rsplit(".", 1)[0]: r["seq"].upper() for r in files.sequences(spark, sequences).collect()}  # a sweep's inputs
+    targets = files.sequences(spark, sequences).select(F.regexp_replace("name", "\\.[^.]*$", "").alias("job"), F.upper("seq").alias("seq"))
     usage = None
     if codon_usage:
         usage = {r["codon"]: r["cost"] for r in cost.usage_costs(files.codon_usage(spark, codon_usage)).collect()}  # 64 rows

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import designer
 from ..operators import analytics, kmer, motif, regions, sampling, shaping
+from ..operators.staging import folder
 from ..sources import files
+from . import derived
 from .queries import _DNA_SQL, _FRONT_SQL, _MOTIF_SQL, _VALUES, _candidates, _dna, _lattice_sql, _score_sql, _weights, _windows_sql
 from .registry import query, table
 
@@ -187,34 +187,31 @@ def no_sample(spark: SparkSession, d: str) -> DataFrame:
 
 # --- a whole design run
 
-_DESIGN_TARGET = "ACGTA"
 #: Counts whose scores are whole numbers, so that sums and ties are exact in any order of addition.
 _EXACT = [("toy", i, b, n) for i, row in enumerate(((7, 3, 1, 1), (1, 1, 7, 3), (3, 1, 1, 7))) for b, n in zip("ACGT", row, strict=True)]
 
 
 def _design_run_sql() -> str:
     """All sequences of the target's length: mismatches against double-strand scores of their windows; the front, numbered."""
-    letters = " CROSS JOIN ".join(f"(VALUES ('A'), ('C'), ('G'), ('T')) l{i}(b{i})" for i in range(len(_DESIGN_TARGET)))
-    word = " || ".join(f"b{i}" for i in range(len(_DESIGN_TARGET)))
-    mismatch = " + ".join(f"CASE WHEN substr(seq, {i + 1}, 1) = '{x}' THEN 0 ELSE 1 END" for i, x in enumerate(_DESIGN_TARGET))
-    wins = " + ".join(f"(SELECT greatest(f, r) FROM sc WHERE kmer = substr(seq, {i}, 3))" for i in range(1, len(_DESIGN_TARGET) - 1))
     motif_sql = _MOTIF_SQL.replace(_VALUES, ", ".join(str(x) for x in _EXACT))
-    return f"""WITH {motif_sql}, {_lattice_sql(3)}, sc AS (SELECT kmer, {_score_sql('kmer')} AS f, {_score_sql("reverse(translate(kmer, 'ACGT', 'TGCA'))")} AS r FROM lattice),
+    return f"""WITH RECURSIVE {derived.targets_sql("'t'", (1, 1))}, {motif_sql}, {_lattice_sql(3)}, sc AS (SELECT kmer, {_score_sql('kmer')} AS f, {_score_sql("reverse(translate(kmer, 'ACGT', 'TGCA'))")} AS r FROM lattice),
         tail AS (SELECT a.kmer, count(*) / 64.0 AS p FROM sc a JOIN sc b ON round(b.f, 6) >= round(a.f, 6) GROUP BY a.kmer),
-        s AS (SELECT seq, CAST(-({mismatch}) AS DOUBLE) AS f, {wins} AS b FROM (SELECT {word} AS seq FROM {letters})),
+        grow AS (SELECT 0 AS i, '' AS seq, CAST(0 AS DOUBLE) AS f UNION ALL SELECT i + 1, g.seq || x, g.f - CASE WHEN substr(t.seq, i + 1, 1) = x THEN 0 ELSE 1 END FROM grow g JOIN tgt t ON i < t.n CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) l(x)),
+        each AS (SELECT g.seq, f, unnest(range(1, t.n - 1)) AS pos FROM grow g JOIN tgt t ON i = t.n), s AS (SELECT e.seq, e.f, sum(greatest(sc.f, sc.r)) AS b FROM each e JOIN sc ON kmer = substr(e.seq, pos, 3) GROUP BY 1, 2),
         front AS (SELECT * FROM s p WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.f >= p.f AND o.b <= p.b AND (o.f > p.f OR o.b < p.b))),
-        win AS (SELECT seq, unnest(range(1, {len(_DESIGN_TARGET) - 1})) AS pos FROM front),
+        win AS (SELECT seq, unnest(range(1, length(seq) - 1)) AS pos FROM front),
         hit AS (SELECT seq, pos FROM win JOIN tail ON kmer = substr(seq, pos, 3) WHERE p <= {_P} UNION ALL SELECT seq, pos FROM win JOIN tail ON kmer = reverse(translate(substr(seq, pos, 3), 'ACGT', 'TGCA')) WHERE p <= {_P})
         SELECT 't' AS target, printf('%03d', row_number() OVER (ORDER BY f DESC, b, seq)) AS id, -f AS cost, round(b, 6) AS binding_score, seq AS sequence, CAST(-f AS INT) AS n_substitutions, CAST((SELECT count(*) FROM hit WHERE hit.seq = front.seq) AS INT) AS n_hits FROM front"""
 
 
 @query("design_run", _design_run_sql())
 def design_run(spark: SparkSession, d: str) -> DataFrame:
-    """From a FASTA file and a motif to numbered results in JSON, read back."""
-    path = f"{files.shared_folder(spark)}/design-{uuid.uuid4().hex}"
-    files.write_fasta(spark.createDataFrame([("t", _DESIGN_TARGET)], "header string, seq string").coalesce(1), f"{path}/in/raw")
-    seq = files.fasta_records(spark, f"{path}/in/raw").first()
-    targets = {seq["header"]: seq["seq"]}
+    """From a FASTA file with the consensus of all coding regions, where every region reaches, to numbered results in JSON,
+    read back."""
+    path = folder(spark, "design")
+    regions_found = derived.coding_regions(spark, d).select(F.lit("t").alias("job"), "seq")
+    files.write_fasta(kmer.consensus(regions_found, "job", "seq", (1, 1)).select(F.col("job").alias("header"), "seq"), f"{path}/in/raw")
+    targets = files.fasta_records(spark, f"{path}/in/raw").select(F.col("header").alias("job"), "seq")
     counts = spark.createDataFrame(_EXACT, "matrix_id string, pos int, base string, count long")
     rows = designer.run(spark, targets, counts, "toy", budgets=(0,), alphas=(1.0,), reduce_by=None, p_value=_P)
     meta = F.struct(F.lit("00:00:00").alias("runtime"), F.lit(0).cast("long").alias("n_solutions"), F.col("target").alias("target_id"))
