@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -203,13 +204,19 @@ def trace_invariants(traces: DataFrame, scores: DataFrame, m: int) -> DataFrame:
     return out.select("fsm_id", "n_steps", "n_states", "mse", near(F.col("_d"), F.col("_sse")).alias("sums_agree"), (F.coalesce("_g", F.lit(0)) + F.coalesce("_s", F.lit(0)) + wrong).alias("n_faults"))
 
 
+def _reduced(n: int, last: int) -> float:
+    """Share of the ``last`` states that is gone; of none, what a division of doubles gives (without end if n is below 0)."""
+    return 1 - n / last if last else -math.copysign(math.inf, n)
+
+
 def pick_reductions(traces: DataFrame, origin_size: int, least_delta: float, least_ratio: float) -> DataFrame:
-    """The steps just before both the error and the reduction, against the last picked step, pass their thresholds."""
+    """The steps just before both the error and the reduction, against the last picked step, pass their thresholds. A
+    picked step may have 0 states."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(0, origin_size, 0.0), *pdf.sort_values("step")[["step", "n_states", "mse"]].itertuples(index=False)]
         last, out = (origin_size, 0.0), []
         for before, (_, n, mse) in zip(rows[1:], rows[2:], strict=False):
-            if mse - last[1] >= least_delta and 1 - n / last[0] >= least_ratio:
+            if mse - last[1] >= least_delta and _reduced(n, last[0]) >= least_ratio:
                 out.append(tuple(before))
                 last = (before[1], before[2])
         got = pd.DataFrame(out, columns=["step", "n_states", "mse"])
