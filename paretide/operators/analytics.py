@@ -83,10 +83,10 @@ def nearest(items: DataFrame, value: str, trace: DataFrame, key: list[str], at:
     rest = [c for c in trace.columns if c not in key]
     steps = trace.groupBy(*key, at).agg(F.min_by(F.struct(*rest), order).alias("_t"))
     both = items.withColumn("_x", F.col(value)).withColumn("_t", F.lit(None).cast(steps.schema["_t"].dataType)).unionByName(steps.withColumn("_x", F.col(at)).select(*key, "_x", "_t"), allowMissingColumns=True)
-    own = Window.partitionBy(*key).orderBy(F.asc("_x"), F.asc_nulls_last("_t"))
-    up, down = own.rowsBetween(Window.currentRow, Window.unboundedFollowing), own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    level = Window.partitionBy(*key, "_x")
-    both = both.withColumn("_a", F.coalesce(F.max("_t").over(level), F.last("_t", ignorenulls=True).over(down))).withColumn("_b", F.first("_t", ignorenulls=True).over(up))
+    # both ways as running values: a frame up to the end of a key would be gone through once for each row
+    running = lambda *order: Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down, up = running(F.asc("_x"), F.asc_nulls_last("_t")), running(F.desc("_x"), F.desc_nulls_first("_t"))
+    both = both.withColumn("_a", F.last("_t", ignorenulls=True).over(down)).withColumn("_b", F.last("_t", ignorenulls=True).over(up))
     found = both.filter(F.col("_t").isNull())
     da, db = F.abs(F.col(f"_a.{at}") - F.col("_x")), F.abs(F.col(f"_b.{at}") - F.col("_x"))
     pick = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull() | (da < db) | ((da == db) & (F.col(f"_a.{order}") <= F.col(f"_b.{order}"))), F.col("_a")).otherwise(F.col("_b"))
