@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def optimal_1d(values: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """Labels (in order of value) of the split of sorted distinct values into ``k`` runs with the least squared error."""
@@ -146,16 +148,32 @@ def compare_reductions(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("first", "second").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("v")).alias("members"))
 
 
-def reduction_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """For each state of two maps: its class in both, the members shared, and the members in one class only, by their
-    class in the other map (arrays of (other class, members), in order). Built from ``compare_reductions`` by joins."""
-    pairs = compare_reductions(a, b)
+def class_diffs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(first, second, shared, only_first, only_second) of each class of ``a`` and class of ``b`` that meet: the members
+    shared, and the members in one of them only, by their class in the other map (arrays of (other class, members), in
+    order). All states of such a pair differ alike, so this has a row for each pair and is as large as the maps times
+    their numbers of classes."""
+    pairs = staged(compare_reductions(a, b), "pairs")
+
+    def rest(own: str, other: str, name: str) -> DataFrame:
+        each = pairs.filter(F.col(own).isNotNull()).groupBy(own).agg(F.sort_array(F.collect_list(F.struct(F.col(other).alias("other"), "members"))).alias("_all"))
+        return pairs.select("first", "second").join(each, own).select("first", "second", F.filter("_all", lambda x: ~x["other"].eqNullSafe(F.col(other))).alias(name))
+
+    shared = pairs.filter("first is not null and second is not null").select("first", "second", F.col("members").alias("shared"))
+    return shared.join(rest("first", "second", "only_first"), ["first", "second"]).join(rest("second", "first", "only_second"), ["first", "second"])
+
+
+def state_diffs(a: DataFrame, b: DataFrame, diffs: DataFrame) -> DataFrame:
+    """For each state of two maps (v, first, second) the columns of its pair of classes in ``diffs``. The last step: what
+    follows it works on a row as wide as two classes for each state, the square of a class in all."""
     states = a.select("v", F.col("rep").alias("first")).join(b.select("v", F.col("rep").alias("second")), "v")
-    rows = lambda own, other: pairs.filter(f"{own} is not null").groupBy(own).agg(F.sort_array(F.collect_list(F.struct(F.col(other).alias("other"), "members"))).alias(f"by_{other}"))
-    out = states.join(rows("first", "second"), "first").join(rows("second", "first"), "second")
-    rest = lambda c, own: F.filter(c, lambda x: ~x["other"].eqNullSafe(F.col(own)))
-    shared = F.filter("by_second", lambda x: x["other"].eqNullSafe(F.col("second")))[0]["members"]
-    return out.select("v", "first", "second", shared.alias("shared"), rest("by_second", "second").alias("only_first"), rest("by_first", "first").alias("only_second"))
+    rest = [c for c in diffs.columns if c not in ("first", "second")]
+    return states.join(diffs.hint("shuffle_merge"), ["first", "second"]).select("v", "first", "second", *rest)
+
+
+def reduction_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """For each state of two maps: its class in both, and the columns of ``class_diffs`` for them."""
+    return state_diffs(a, b, class_diffs(a, b))
 
 
 def patterns_per_bin(scores: DataFrame, pattern: str, color: str, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from paretide.operators import analytics, machines
+from paretide.operators import analytics, clustering, machines
 
 
 def test_a_picked_step_may_have_no_states(spark):
@@ -24,3 +24,22 @@ def test_nearest_is_a_running_value_both_ways(spark):
         assert got[i] == (min(own)[1:] if own else (None, None))
     # Spark goes through such a frame from each row on to its end
     assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_differences_are_formed_once_a_pair_of_classes(spark):
+    r = random.Random(8)
+    maps = [{v: min(v, r.randrange(k)) for v in range(400)} for k in (3, 4)]
+    frames = [spark.createDataFrame(list(m.items()), "v long, rep long") for m in maps]
+    a, b = maps
+    want = {}
+    for v in a:
+        one, other = [u for u in a if a[u] == a[v]], [u for u in a if b[u] == b[v]]
+        only = lambda own, m: [(c, [u for u in own if m[u] == c]) for c in sorted({m[u] for u in own}) if c != m[v]]  # noqa: B023, E731
+        want[v] = (a[v], b[v], [u for u in one if b[u] == b[v]], only(one, b), only(other, a))
+    plain = lambda x: [(y["other"], y["members"]) for y in x]
+    got = clustering.reduction_diff(*frames)
+    assert {x["v"]: (x["first"], x["second"], x["shared"], plain(x["only_first"]), plain(x["only_second"])) for x in got.collect()} == want
+    assert clustering.class_diffs(*frames).count() == len(set(zip(a.values(), b.values(), strict=True)))
+    # no shuffle or sort after the join that gives each state its members
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") and "Exchange" not in plan.split("SortMergeJoin")[0]
