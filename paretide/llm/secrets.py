@@ -7,7 +7,7 @@ classes (digits, capitals, the rest), and the correlation of neighbours. Each gi
 times three, is the candidate's: it is evenly spread for random keys and tiny for words, names and paths.
 
 How tiny is learned from the corpus: runs of ordinary letters of the same document and length, with the candidates cut out,
-pass through the same battery (up to 20 for each document, encoding and length). By encoding and class of length, their
+pass through the same battery (all of them, side by side, for each document, encoding and length). By encoding and class of length, their
 share at a candidate's chance or above is the chance that ordinary text looks so random, and a Benjamini-Hochberg step
 over the class keeps the candidates among which at most 1 in 20 is expected to be ordinary, down to a chance of 10 ** -5.
 Longer runs can be told apart better and so pass at smaller chances; a class whose ordinary text can't be told from keys
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -52,8 +53,8 @@ ENCODINGS = {
 }
 _SETS = {name: frozenset(letters) for name, letters in ENCODINGS.items()}
 _OUTSIDE = {name: re.compile(f"[^{re.escape(letters)}]+") for name, letters in ENCODINGS.items()}
-#: Share of false finds, ordinary runs for each document, encoding and length, longest ordinary run.
-FALSE, ORDINARY, LONGEST = 0.05, 20, 256
+#: Share of false finds, longest ordinary run, letters of ordinary runs that are tested at a time.
+FALSE, LONGEST, AT_A_TIME = 0.05, 256, 1 << 20
 #: Steps of the chance's logarithm in which it is counted, and their number: from 1 down to 10 ** -20.
 STEPS, BINS = 20, 400
 #: The last step that may be kept: a chance of 10 ** -5, below which a run is no uniform choice, whatever ordinary text does.
@@ -123,8 +124,20 @@ def _length_class(n: int) -> int:
     return min(n, LONGEST).bit_length()
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int, str, int, int]], list[tuple[str, int, int]]]:
-    """(start, end, encoding, length class, bin) of each candidate, and (encoding, length class, bin) of ordinary runs."""
+def ordinary_bins(letters: str, name: str, size: int) -> Counter[int]:
+    """How many of the runs of ``size`` letters fall into each bin: all that stand side by side, and one up to the end."""
+    starts = [*range(0, len(letters) - size + 1, size)]
+    if len(letters) > size and len(letters) % size:
+        starts.append(len(letters) - size)
+    n, step = Counter(), max(1, AT_A_TIME // size)
+    for i in range(0, len(starts), step):
+        n.update(map(_bin, chances([letters[s : s + size] for s in starts[i : i + step]], name)))
+    return n
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int, str, int, int]], list[tuple[str, int, int, int]]]:
+    """(start, end, encoding, length class, bin) of each candidate, and (encoding, length class, bin, number) of the
+    ordinary runs of the candidates' encodings and lengths: all of the text."""
     runs = [m.span() for m in CANDIDATE.finditer(text)]
     if not runs:
         return [], []
@@ -149,21 +162,19 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> tuple[list[tuple[
     ordinary = []
     for name, size in sorted({(f[2], min(len(text[f[0] : f[1]].rstrip("=")), LONGEST)) for f in found}):
         letters = _OUTSIDE[name].sub("", rest if _SETS[name] & _SETS["lower"] else rest.upper())
-        if n := min(ORDINARY, len(letters) // size):
-            starts = [i * (len(letters) - size) // max(1, n - 1) for i in range(n)]
-            ordinary += [(name, _length_class(size), _bin(p)) for p in chances([letters[i : i + size] for i in starts], name)]
+        ordinary += [(name, _length_class(size), at, n) for at, n in sorted(ordinary_bins(letters, name, size).items())]
     return found, ordinary
 
 
 _SPAN = "array<struct<kind: string, start: long, end: long>>"
-_FOUND = f"doc_id long, base {_SPAN}, found array<struct<start: long, end: long, encoding: string, length: int, bin: int>>, ordinary array<struct<encoding: string, length: int, bin: int>>"
+_FOUND = f"doc_id long, base {_SPAN}, found array<struct<start: long, end: long, encoding: string, length: int, bin: int>>, ordinary array<struct<encoding: string, length: int, bin: int, n: long>>"
 
 
 @frugal
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length", pa.int32()), ("bin", pa.int32())]))
-    plain = pa.list_(pa.struct([("encoding", pa.string()), ("length", pa.int32()), ("bin", pa.int32())]))
+    plain = pa.list_(pa.struct([("encoding", pa.string()), ("length", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]))
     for b in batches:
         base, found, ordinary = [], [], []
         for text in b.column("text"):
@@ -172,14 +183,14 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs, others = candidates(t, own)
             base.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in own])
             found.append([dict(zip(("start", "end", "encoding", "length", "bin"), x, strict=True)) for x in runs])
-            ordinary.append([dict(zip(("encoding", "length", "bin"), x, strict=True)) for x in others])
+            ordinary.append([dict(zip(("encoding", "length", "bin", "n"), x, strict=True)) for x in others])
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, span), pa.array(found, run), pa.array(ordinary, plain)], names=["doc_id", "base", "found", "ordinary"])
 
 
 def limits(scanned: DataFrame, false: float = FALSE) -> DataFrame:
     """(encoding, length, bin): the last bin of each class that is kept. A few rows for each class, counted before a shuffle."""
     of = lambda c: scanned.select(F.explode(c).alias("x")).groupBy("x.encoding", "x.length", "x.bin")
-    counts = of("found").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("o")).union(of("ordinary").agg(F.lit(0).cast("long"), F.count("*")))
+    counts = of("found").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("o")).union(of("ordinary").agg(F.lit(0).cast("long"), F.sum("x.n")))
     counts = counts.groupBy("encoding", "length", "bin").agg(F.sum("n").alias("n"), F.sum("o").alias("o"))
     own = Window.partitionBy("encoding", "length")
     to_here = own.orderBy("bin")

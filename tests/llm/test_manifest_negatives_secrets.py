@@ -188,3 +188,14 @@ def test_long_runs_of_white_space_are_encoded_by_the_rule(spark):
     got = bpe.op6(docs, *tokenizer()).collect()
     assert {x["doc_id"]: x["decoded_sha256"] for x in got} == {i: sha(t) for i, t in enumerate(texts)}
     assert bpe.op6(docs.limit(0), *tokenizer()).count() == 0
+
+
+def test_thresholds_count_every_ordinary_run():
+    text = "ordinary words of a long text " * 200 + "key QX7Z2M9K4W1P8R5T end"
+    found, ordinary = secrets.candidates(text, [])
+    [(_, _, name, length, _)] = found
+    letters = "".join(c for c in text[: text.index("QX7Z")].upper() + " end".upper() if c in secrets.ENCODINGS[name])
+    assert {x[:2] for x in ordinary} == {(name, length)}
+    assert sum(x[3] for x in ordinary) == -(-len(letters) // 16) > 20
+    one, many = secrets.ordinary_bins(letters, name, 16), [secrets.chances([letters[i : i + 16]], name)[0] for i in [*range(0, len(letters) - 15, 16), len(letters) - 16][: -(-len(letters) // 16)]]
+    assert sorted(one.elements()) == sorted(map(secrets._bin, many))
