@@ -1,8 +1,12 @@
 """Steps that must grow no faster than their input, and odd values that ended a job."""
 
+import collections
 import random
 
-from paretide.operators import analytics, clustering, machines
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from paretide.operators import analytics, clustering, cost, kmer, machines
 from paretide.plans import io_queries
 from paretide.sources import files
 
@@ -55,3 +59,36 @@ def test_a_written_difference_has_each_state_once(spark, tmp_path, monkeypatch):
     got = {x["v"]: (x["n_shared"], x["n_only_first"]) for x in io_queries.reduction_diff_sink(spark, str(tmp_path)).collect()}
     assert got == {i: (50, 150) for i in range(600)}
     assert sum(len(x["members"]) for x in spark.read.json(at[0]).collect()) == len(rows)
+
+
+def test_counts_equal_windows_and_make_no_row_a_window(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(r.choice(["x", "y", None]), "".join(r.choice("ACGTN" if i % 9 == 0 else "ACGT") for _ in range(r.randrange(60)))) for i in range(200)] + [("x", None), ("y", "")]
+    monkeypatch.setattr(kmer, "LETTERS", 50)
+    df = spark.createDataFrame(rows, "k string, seq string")
+    for m in (1, 3, 6):
+        for bins in (1 << 22, 0):
+            monkeypatch.setattr(kmer, "BINS", bins)
+            want = collections.Counter((k, s[i : i + m]) for k, s in rows for i in range(len(s or "") - m + 1) if "N" not in s[i : i + m])
+            batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([s for _, s in rows])], names=["key", "seq"])
+            got = collections.Counter()
+            for b in kmer._counted(iter([batch, batch.slice(3, 0)]), m):
+                for x in b.to_pylist():
+                    got[x["key"], "".join("ACGT"[x["code"] // 4**i % 4] for i in reversed(range(m)))] += x["n"]
+            assert got == want
+    out = kmer.counts(df, "seq", 3, "k")
+    assert {(x["k"], x["kmer"]): x["n"] for x in out.collect()} == collections.Counter((k, s[i : i + 3]) for k, s in rows for i in range(len(s or "") - 2) if "N" not in s[i : i + 3])
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cost_totals_equal_the_costs_of_all_positions(spark):
+    rows = spark.createDataFrame([("a", "ATGGCCTAA", 1, 9), ("b", "CCATGAAANTAGG", 3, 12), ("c", "AC", None, None), ("d", "", None, None)], "job string, seq string, first int, last int")
+    usage = F.create_map(*[F.lit(x) for c in cost.AMINO_ACIDS for x in (c, 0.25)])
+    for name, params in (("exact", {}), ("codons", {"usage": usage})):
+        part = rows.filter("job <> 'b'") if name == "codons" else rows
+        want = {}
+        for x in cost.target_costs(part, name, **params).collect():
+            want.setdefault((x["job"], x["sigma"]), []).append(x["cost"])
+        finite = lambda c: [x for x in c if x < float("inf")]
+        got = cost.cost_totals(part, name, **params)
+        assert {(x["job"], x["sigma"]): (x["n"], x["n_forbidden"], x["total"], x["most"]) for x in got.collect()} == {k: (len(c), len(c) - len(finite(c)), sum(finite(c)), max(finite(c))) for k, c in want.items()}
