@@ -9,9 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__
 from paretide.operators import coding, cost, kmer, motifs
-from paretide.plans import derived
+from paretide.plans import derived, table_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,9 +100,9 @@ def test_a_long_sequence_with_hits_in_several_pieces_is_one_row(monkeypatch):
     assert got == [{"id": 1, "matrix_id": "m", "n_hits": 20, "best": 2.0, "first_start": 2}, {"id": 2, "matrix_id": "m", "n_hits": 1, "best": 2.0, "first_start": 1}]
 
 
-@pytest.mark.parametrize("name", ["dp_layer_sizes"])
-def test_a_design_query_reads_the_texts_once(spark, monkeypatch, name):
+@pytest.mark.parametrize("name", ["codons"])
+def test_a_design_draws_from_one_reading_of_the_texts(spark, monkeypatch, name):
     read, table = [], derived.table
     monkeypatch.setattr(derived, "table", lambda s, d, t: (read.append(t), table(s, d, t))[1])
-    __spark_entry__.queries()[name](spark, SF)
-    assert read == ["documents"]
+    targets, scores, _ = table_queries._drawn(spark, SF, table_queries._SHORT, name)
+    assert read == ["documents"] and targets.count() and scores.count() == 64
