@@ -100,7 +100,7 @@ def test_a_long_sequence_with_hits_in_several_pieces_is_one_row(monkeypatch):
     assert got == [{"id": 1, "matrix_id": "m", "n_hits": 20, "best": 2.0, "first_start": 2}, {"id": 2, "matrix_id": "m", "n_hits": 1, "best": 2.0, "first_start": 1}]
 
 
-@pytest.mark.parametrize("name", ["codons"])
+@pytest.mark.parametrize("name", ["codons", "exact"])
 def test_a_design_draws_from_one_reading_of_the_texts(spark, monkeypatch, name):
     read, table = [], derived.table
     monkeypatch.setattr(derived, "table", lambda s, d, t: (read.append(t), table(s, d, t))[1])
