@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,33 @@ def test_regions_and_counts_of_texts_equal_brute_force(monkeypatch, at_a_time):
         assert got == expected
 
 
+@pytest.mark.parametrize("at_a_time", [1, 7, 1 << 20])
+@pytest.mark.parametrize("others", ["", "N"])
+def test_windows_hold_inside_their_own_sequence(monkeypatch, at_a_time, others):
+    monkeypatch.setattr(kmer, "LETTERS", at_a_time)
+    r = random.Random(4)
+    seqs = ["", "A", *("".join(r.choice("ACGT" + others) for _ in range(r.randrange(14))) for _ in range(60)), "", "T" * 40, ""]
+    whole, place = "".join(seqs), kmer.places(pa.array(seqs))
+    for m in (1, 2, 3, 4, 5, 8, 9, 17):
+        want = [(i, j, coding._code(s[j : j + m])) for i, s in enumerate(seqs) for j in range(len(s) - m + 1) if "N" not in s[j : j + m]]
+        parts = list(kmer.stretches(*place, m))
+        assert [a for a, _, _ in parts] == list(range(0, len(whole) - m + 1, at_a_time))
+        assert [int(c) for _, code, holds in parts for c in code[holds]] == [c for _, _, c in want]
+        assert [tuple(map(int, x)) for part in kmer.codes(*place, m) for x in zip(*part, strict=True)] == want
+
+
+def test_regions_take_few_bytes_a_letter():
+    n = 1 << 20
+    letters, at = np.random.default_rng(1).integers(0, 4, n, dtype=np.uint8), np.r_[np.arange(0, n, 600), n]
+    tally = kmer.Tally(64)
+    tracemalloc.start()
+    row, _, _ = coding._found(letters, at, tally.add)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a code is one byte, and only start and stop codons have a row and a place
+    assert len(row) > 1000 and tally.whole.sum() == n - 2 * (len(at) - 1) and most < 16 * n
+
+
 def test_drawn_gives_targets_and_counts_without_a_row_for_a_letter(spark):
     data = rows(some_texts())
     df = spark.createDataFrame(data, "id int, key string, text string")
