@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
 from .staging import staged
 
+#: Bytes of text of the pairs of classes that a task shares among its states. Parquet keeps each text of a column once while
+#: they are no more than 1 MB; after that it may hold thousands of rows, as wide as they are, before it looks at their size.
+TASK_BYTES = 512 * 1024
+
 
 def optimal_1d(values: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """Labels (in order of value) of the split of sorted distinct values into ``k`` runs with the least squared error."""
@@ -148,32 +153,58 @@ def compare_reductions(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("first", "second").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("v")).alias("members"))
 
 
-def class_diffs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(first, second, shared, only_first, only_second) of each class of ``a`` and class of ``b`` that meet: the members
-    shared, and the members in one of them only, by their class in the other map (arrays of (other class, members), in
-    order). All states of such a pair differ alike, so this has a row for each pair and is as large as the maps times
-    their numbers of classes."""
-    pairs = staged(compare_reductions(a, b), "pairs")
+def _tasks(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """The ``pairs`` with both classes with ``_task``, and the number of tasks: a task has pairs of ``TASK_BYTES`` of text in
+    all, or one pair. Widths are summed in order, one of more than ``TASK_BYTES`` as that; the sums fall into windows of
+    this size, and a pair that leaves the window in which it begins has a number between those of both, alone."""
+    def text(own: str, other: str, name: str) -> DataFrame:
+        width = F.octet_length(F.array_join(F.col("members").cast("array<string>"), ",")) + F.coalesce(F.octet_length(F.col(other).cast("string")), F.lit(0)) + 2
+        return pairs.groupBy(own).agg(F.sum(width).alias(name))
+
+    wide = pairs.select("first", "second").join(text("first", "second", "_a"), "first").join(text("second", "first", "_b"), "second")
+    wide = wide.select("first", "second", F.lit(0).alias("_all"), F.least(F.col("_a") + F.col("_b"), F.lit(TASK_BYTES)).alias("_width"))
+    summed = ranges.with_total(ranges.in_ranges(wide, "_all", ["first", "second"]), "_all", F.col("_width"), "_end")
+    window = lambda at: F.floor(at / TASK_BYTES)
+    task = (window(F.col("_end") - F.col("_width")) + window(F.col("_end") - 1)).cast("int").alias("_task")
+    tasks = staged(summed.select(task, "first", "second").join(pairs.select("first", "second", "members"), ["first", "second"]), "tasks")
+    return tasks, (tasks.agg(F.max("_task")).first()[0] or 0) + 1
+
 
+def _dealt(df: DataFrame, n: int) -> DataFrame:
+    return df.repartitionById(n, F.col("_task")).hint("shuffle_merge")
+
+
+def _class_diffs(pairs: DataFrame, tasks: DataFrame, n: int) -> DataFrame:
+    """The columns of ``class_diffs`` and ``_task``, dealt by it."""
     def rest(own: str, other: str, name: str) -> DataFrame:
         each = pairs.filter(F.col(own).isNotNull()).groupBy(own).agg(F.sort_array(F.collect_list(F.struct(F.col(other).alias("other"), "members"))).alias("_all"))
-        return pairs.select("first", "second").join(each, own).select("first", "second", F.filter("_all", lambda x: ~x["other"].eqNullSafe(F.col(other))).alias(name))
+        return _dealt(tasks.select("_task", "first", "second").join(each, own).select("_task", "first", "second", F.filter("_all", lambda x: ~x["other"].eqNullSafe(F.col(other))).alias(name)), n)
 
-    shared = pairs.filter("first is not null and second is not null").select("first", "second", F.col("members").alias("shared"))
-    return shared.join(rest("first", "second", "only_first"), ["first", "second"]).join(rest("second", "first", "only_second"), ["first", "second"])
+    shared, own = _dealt(tasks.select("_task", "first", "second", F.col("members").alias("shared")), n), ["_task", "first", "second"]
+    return shared.join(rest("first", "second", "only_first"), own).join(rest("second", "first", "only_second"), own)
 
 
-def state_diffs(a: DataFrame, b: DataFrame, diffs: DataFrame) -> DataFrame:
-    """For each state of two maps (v, first, second) the columns of its pair of classes in ``diffs``. The last step: what
-    follows it works on a row as wide as two classes for each state, the square of a class in all."""
-    states = a.select("v", F.col("rep").alias("first")).join(b.select("v", F.col("rep").alias("second")), "v")
-    rest = [c for c in diffs.columns if c not in ("first", "second")]
-    return states.join(diffs.hint("shuffle_merge"), ["first", "second"]).select("v", "first", "second", *rest)
+def class_diffs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(first, second, shared, only_first, only_second) of each class of ``a`` and class of ``b`` that meet: the members
+    shared, and the members in one of them only, by their class in the other map (arrays of (other class, members), in
+    order). All states of such a pair differ alike, so this has a row for each pair and is as large as the maps times
+    their numbers of classes."""
+    pairs = staged(compare_reductions(a, b), "pairs")
+    return _class_diffs(pairs, *_tasks(pairs)).drop("_task")
 
 
-def reduction_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """For each state of two maps: its class in both, and the columns of ``class_diffs`` for them."""
-    return state_diffs(a, b, class_diffs(a, b))
+def reduction_diff(a: DataFrame, b: DataFrame, columns: list[Column | str] | None = None) -> DataFrame:
+    """For each state ``v`` of two maps: its class in both, and ``columns`` over those of ``class_diffs`` for them (all,
+    unless given), formed once a pair. The join with the states is the last step: what follows it works on a row as wide as
+    two classes for each state, the square of a class in all. A task has the states of one wide pair, or of pairs that are
+    narrow together, so a writer with a dictionary writes, and holds, a text once a pair."""
+    pairs = staged(compare_reductions(a, b), "pairs")
+    tasks, n = _tasks(pairs)
+    own = ["_task", "first", "second"]
+    diffs = _class_diffs(pairs, tasks, n).select(*own, *(columns or ["shared", "only_first", "only_second"]))
+    # not exploded from the diffs: that would hold all rows of a pair at a time
+    states = _dealt(tasks.select(*own, F.explode("members").alias("v")), n)
+    return states.join(diffs.hint("shuffle_merge"), own).select("v", *[c for c in diffs.columns if c != "_task"])
 
 
 def patterns_per_bin(scores: DataFrame, pattern: str, color: str, k: int) -> DataFrame:

@@ -236,9 +236,7 @@ def reduction_comparison(spark: SparkSession, d: str) -> DataFrame:
     SELECT m.v, m.x AS first, m.y AS second, array_to_string(p.vs, ',') AS shared, coalesce(a.t, '') AS only_first, coalesce(b.t, '') AS only_second FROM m JOIN p ON p.x = m.x AND p.y = m.y LEFT JOIN a ON a.v = m.v LEFT JOIN b ON b.v = m.v""")
 def reduction_diff(spark: SparkSession, d: str) -> DataFrame:
     line = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["other"].cast("string"), F.lit(":"), F.array_join(x["members"], ","))), ";")
-    maps = _maps(spark, d)
-    diffs = clustering.class_diffs(*maps).select("first", "second", F.array_join("shared", ",").alias("shared"), line("only_first").alias("only_first"), line("only_second").alias("only_second"))
-    return clustering.state_diffs(*maps, diffs)
+    return clustering.reduction_diff(*_maps(spark, d), [F.array_join("shared", ",").alias("shared"), line("only_first").alias("only_first"), line("only_second").alias("only_second")])
 
 
 def _optimal_sql(points: str, k: int) -> str:

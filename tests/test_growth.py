@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paretide.operators import analytics, clustering, cost, kmer, machines
-from paretide.plans import io_queries
+from paretide.plans import io_queries, queries
 from paretide.sources import files
 
 
@@ -51,6 +51,40 @@ def test_differences_are_formed_once_a_pair_of_classes(spark):
     assert plan.count("Exchange") and "Exchange" not in plan.split("SortMergeJoin")[0]
 
 
+def test_the_text_of_a_pair_of_classes_is_written_once(spark, tmp_path):
+    rows = [(10**15 + i, f"b{i % 20}", i // 20 % 24) for i in range(7200)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        queries.reduction_diff(spark, str(tmp_path)).write.option("compression", "none").parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    # 80 MB of text, a 15th of it different: if a task had more than the 1 MB of a writer's dictionary, each state would get its own
+    assert out.agg(F.count("*"), F.countDistinct("v"), F.sum(F.length("only_first") + F.length("only_second")) > 75e6).first()[:] == (7200, 7200, True)
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size < 10e6, size
+
+
+def test_a_task_has_one_wide_pair_or_narrow_ones(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "TASK_BYTES", 1000)
+    r = random.Random(4)
+    a, b = ({v: min(v, int(r.expovariate(0.4))) for v in r.sample(range(700), 600)} for _ in range(2))
+    frames = [spark.createDataFrame(list(m.items()), "v long, rep long") for m in (a, b)]
+    line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["other"], F.array_join(x["members"], ","))), ";")
+    lines = [F.array_join("shared", ",").alias("shared"), line("only_first").alias("only_first"), line("only_second").alias("only_second")]
+    got = clustering.reduction_diff(*frames, lines).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((x["v"], x["first"], x["second"]) for x in got) == sorted((v, a[v], b[v]) for v in a if v in b)
+    pairs = {(x["task"], x["first"], x["second"]): len(x["shared"] + x["only_first"] + x["only_second"]) for x in got}
+    assert len(pairs) == len({p[1:] for p in pairs})
+    tasks = collections.defaultdict(list)
+    for (t, _, _), width in pairs.items():
+        tasks[t].append(width)
+    assert all(len(w) == 1 or sum(w) <= 1000 for w in tasks.values())
+    assert any(len(w) > 1 for w in tasks.values()) and any(w[0] > 1000 for w in tasks.values())
+
+
 def test_a_written_difference_has_each_state_once(spark, tmp_path, monkeypatch):
     rows = [(i, f"b{i % 3}", i % 4) for i in range(600)]
     spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
