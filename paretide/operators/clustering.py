@@ -13,6 +13,8 @@ from .staging import staged
 #: Bytes of text of the pairs of classes that a task shares among its states. Parquet keeps each text of a column once while
 #: they are no more than 1 MB; after that it may hold thousands of rows, as wide as they are, before it looks at their size.
 TASK_BYTES = 512 * 1024
+#: Bytes of rows that a task forms of one pair, whose states are dealt to several tasks beyond it.
+SLICE_BYTES = 1 << 30
 
 
 def optimal_1d(values: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
@@ -154,19 +156,25 @@ def compare_reductions(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _tasks(pairs: DataFrame) -> tuple[DataFrame, int]:
-    """The ``pairs`` with both classes with ``_task``, and the number of tasks: a task has pairs of ``TASK_BYTES`` of text in
-    all, or one pair. Widths are summed in order, one of more than ``TASK_BYTES`` as that; the sums fall into windows of
-    this size, and a pair that leaves the window in which it begins has a number between those of both, alone."""
+    """(_task, first, second, _slice, states) of the ``pairs`` with both classes, and the number of tasks. A task has pairs of
+    ``TASK_BYTES`` of text in all, or one pair, or a slice of one pair's states if their rows are more than ``SLICE_BYTES``.
+    Widths are summed in order, one of more than ``TASK_BYTES`` as that; the sums fall into windows of this size, and a pair
+    that leaves the window in which it begins has a number between those of both, alone."""
     def text(own: str, other: str, name: str) -> DataFrame:
         width = F.octet_length(F.array_join(F.col("members").cast("array<string>"), ",")) + F.coalesce(F.octet_length(F.col(other).cast("string")), F.lit(0)) + 2
         return pairs.groupBy(own).agg(F.sum(width).alias(name))
 
-    wide = pairs.select("first", "second").join(text("first", "second", "_a"), "first").join(text("second", "first", "_b"), "second")
-    wide = wide.select("first", "second", F.lit(0).alias("_all"), F.least(F.col("_a") + F.col("_b"), F.lit(TASK_BYTES)).alias("_width"))
-    summed = ranges.with_total(ranges.in_ranges(wide, "_all", ["first", "second"]), "_all", F.col("_width"), "_end")
+    wide = pairs.select("first", "second", "n").join(text("first", "second", "_a"), "first").join(text("second", "first", "_b"), "second")
+    wide = wide.withColumn("_slices", F.least("n", F.ceil(F.col("n") * ((F.col("_a") + F.col("_b")) / SLICE_BYTES))))
+    width = F.when(F.col("_slices") > 1, TASK_BYTES).otherwise(F.least(F.col("_a") + F.col("_b"), F.lit(TASK_BYTES)))
+    rows = wide.select("first", "second", F.lit(0).alias("_all"), width.alias("_width"), "_slices", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
+    summed = ranges.with_total(ranges.in_ranges(rows, "_all", ["first", "second", "_slice"]), "_all", F.col("_width"), "_end")
     window = lambda at: F.floor(at / TASK_BYTES)
     task = (window(F.col("_end") - F.col("_width")) + window(F.col("_end") - 1)).cast("int").alias("_task")
-    tasks = staged(summed.select(task, "first", "second").join(pairs.select("first", "second", "members"), ["first", "second"]), "tasks")
+    begin = lambda k: F.floor(k * (F.col("n") / F.col("_slices"))).cast("int")
+    states = F.slice("members", begin(F.col("_slice")) + 1, F.when(F.col("_slice") + 1 < F.col("_slices"), begin(F.col("_slice") + 1)).otherwise(F.col("n").cast("int")) - begin(F.col("_slice")))
+    at = summed.select(task, "first", "second", "_slice", "_slices").join(pairs.select("first", "second", "n", "members"), ["first", "second"])
+    tasks = staged(at.select("_task", "first", "second", "_slice", states.alias("states")), "tasks")
     return tasks, (tasks.agg(F.max("_task")).first()[0] or 0) + 1
 
 
@@ -180,7 +188,8 @@ def _class_diffs(pairs: DataFrame, tasks: DataFrame, n: int) -> DataFrame:
         each = pairs.filter(F.col(own).isNotNull()).groupBy(own).agg(F.sort_array(F.collect_list(F.struct(F.col(other).alias("other"), "members"))).alias("_all"))
         return _dealt(tasks.select("_task", "first", "second").join(each, own).select("_task", "first", "second", F.filter("_all", lambda x: ~x["other"].eqNullSafe(F.col(other))).alias(name)), n)
 
-    shared, own = _dealt(tasks.select("_task", "first", "second", F.col("members").alias("shared")), n), ["_task", "first", "second"]
+    shared = pairs.select("first", "second", F.col("members").alias("shared"))
+    shared, own = _dealt(tasks.select("_task", "first", "second").join(shared, ["first", "second"]).select("_task", "first", "second", "shared"), n), ["_task", "first", "second"]
     return shared.join(rest("first", "second", "only_first"), own).join(rest("second", "first", "only_second"), own)
 
 
@@ -190,20 +199,21 @@ def class_diffs(a: DataFrame, b: DataFrame) -> DataFrame:
     order). All states of such a pair differ alike, so this has a row for each pair and is as large as the maps times
     their numbers of classes."""
     pairs = staged(compare_reductions(a, b), "pairs")
-    return _class_diffs(pairs, *_tasks(pairs)).drop("_task")
+    tasks, n = _tasks(pairs)
+    return _class_diffs(pairs, tasks.filter("_slice = 0"), n).drop("_task")
 
 
 def reduction_diff(a: DataFrame, b: DataFrame, columns: list[Column | str] | None = None) -> DataFrame:
     """For each state ``v`` of two maps: its class in both, and ``columns`` over those of ``class_diffs`` for them (all,
     unless given), formed once a pair. The join with the states is the last step: what follows it works on a row as wide as
-    two classes for each state, the square of a class in all. A task has the states of one wide pair, or of pairs that are
-    narrow together, so a writer with a dictionary writes, and holds, a text once a pair."""
+    two classes for each state, the square of a class in all. A task has states of one wide pair, or pairs that are narrow
+    together, so a writer with a dictionary writes, and holds, a text once a pair."""
     pairs = staged(compare_reductions(a, b), "pairs")
     tasks, n = _tasks(pairs)
     own = ["_task", "first", "second"]
     diffs = _class_diffs(pairs, tasks, n).select(*own, *(columns or ["shared", "only_first", "only_second"]))
     # not exploded from the diffs: that would hold all rows of a pair at a time
-    states = _dealt(tasks.select(*own, F.explode("members").alias("v")), n)
+    states = _dealt(tasks.select(*own, F.explode("states").alias("v")), n)
     return states.join(diffs.hint("shuffle_merge"), own).select("v", *[c for c in diffs.columns if c != "_task"])
 
 

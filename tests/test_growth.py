@@ -85,6 +85,17 @@ def test_a_task_has_one_wide_pair_or_narrow_ones(spark, monkeypatch):
     assert any(len(w) > 1 for w in tasks.values()) and any(w[0] > 1000 for w in tasks.values())
 
 
+def test_states_of_one_pair_are_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "SLICE_BYTES", 3000)
+    frames = [spark.createDataFrame([(v, v // k * k) for v in range(100, 200)], "v long, rep long") for k in (100, 100)]
+    frames[1] = frames[1].unionByName(spark.createDataFrame([(7, 5)], "v long, rep long"))
+    got = clustering.reduction_diff(*frames).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((x["v"], x["first"], x["second"], tuple(x["shared"]), *x["only_first"], *x["only_second"]) for x in got) == [(v, 100, 100, tuple(range(100, 200))) for v in range(100, 200)]
+    rows = collections.Counter(x["task"] for x in got)
+    assert len(rows) > 20 and max(rows.values()) * 400 <= 3000
+    assert clustering.class_diffs(*frames).count() == 1
+
+
 def test_a_written_difference_has_each_state_once(spark, tmp_path, monkeypatch):
     rows = [(i, f"b{i % 3}", i % 4) for i in range(600)]
     spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
